@@ -35,3 +35,16 @@ def merge(*dicts: dict) -> dict:
             raise ValueError(f"duplicate names {dup}")
         out |= d
     return out
+
+#: the scored view in SQL
+SCORED = TEL + """,
+sc AS (SELECT *, event_id % 11 / 20.0 AS adversarial_score, cpu_utilization / 200 AS economic_risk_score,
+  event_id % 10 / 20.0 AS silent_failure_probability, 1 - event_id % 7 / 20.0 AS completeness_score, 1 - event_id % 5 / 20.0 AS confidence_level,
+  event_id % 13 = 0 AS fallback_mode, CASE WHEN event_id % 2 = 0 THEN 'http' END AS trigger_type, event_id % 4 AS causal_depth,
+  CASE WHEN event_id % 3 = 0 THEN 2 ELSE 0 END AS parents,
+  CASE anomaly_type WHEN 'timeout_fallback' THEN 5 WHEN 'execution_failure' THEN 6 WHEN 'memory_spike' THEN 3 WHEN 'data_exfiltration' THEN 10 ELSE 0 END AS severity,
+  CASE anomaly_type WHEN 'timeout_fallback' THEN 'system' WHEN 'execution_failure' THEN 'execution' WHEN 'memory_spike' THEN 'performance'
+    WHEN 'data_exfiltration' THEN 'security' ELSE 'normal' END AS category,
+  CASE anomaly_type WHEN 'benign' THEN 'benign' WHEN 'data_exfiltration' THEN 'malicious' ELSE 'suspicious' END AS label,
+  CASE execution_phase WHEN 'init' THEN 'initialization' WHEN 'shutdown' THEN 'completion' WHEN 'error' THEN 'error' ELSE 'execution' END AS phase
+FROM tel)"""

@@ -43,3 +43,19 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("event_id") * 37) % 101).cast("double").alias("cpu_utilization"),
         (((F.col("event_id") * 7919) % 1000) * 65536).alias("network_io_bytes"),
     )
+
+
+def scored_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``telemetry`` with the score and context columns of a full record, derived from the id and the measures."""
+    return telemetry(spark, sf_dir).withColumns({
+        "adversarial_score": F.expr("event_id % 11 / 20D"),
+        "economic_risk_score": F.col("cpu_utilization") / 200,
+        "silent_failure_probability": F.expr("event_id % 10 / 20D"),
+        "completeness_score": F.expr("1 - event_id % 7 / 20D"),
+        "confidence_level": F.expr("1 - event_id % 5 / 20D"),
+        "fallback_mode": F.expr("event_id % 13 = 0"),
+        "trigger_type": F.expr("CASE WHEN event_id % 2 = 0 THEN 'http' END"),
+        "source": F.lit("primary"),
+        "causal_depth": F.expr("event_id % 4"),
+        "parent_chain": F.expr("CASE WHEN event_id % 3 = 0 THEN array('a', 'b') ELSE array() END"),
+    })
