@@ -155,3 +155,20 @@ def look_at(df: DataFrame, part: Sequence[str], name: str, index: Column, offere
         .where(~F.col("_r.gives"))
         .drop("_r", "_at")
     )
+
+
+def with_previous(df: DataFrame, keys: Sequence[str], columns: Sequence[str], lags: Sequence[int] = (1,), time: str = "ts_us",
+                  tie: str = "event_id", block: int = BLOCK) -> DataFrame:
+    """Add ``prev_<column>`` (or ``prev<k>_<column>``) in (time, tie) order of the key, and ``rn`` and ``key_rows``."""
+    reach = max(lags) + 1
+    out = blocked(df, keys, reach, max(block, reach), time, tie)
+    w = W.partitionBy(*keys, "blk").orderBy("rn")
+    out = out.withColumns({f"prev_{c}" if k == 1 else f"prev{k}_{c}": F.lag(c, k).over(w) for k in lags for c in columns})
+    return out.where(~F.col("halo")).drop("blk", "halo")
+
+
+def with_next(df: DataFrame, keys: Sequence[str], columns: Sequence[str], time: str = "ts_us", tie: str = "event_id") -> DataFrame:
+    """Add ``next_<column>``: time is mirrored, so the previous row is the next one."""
+    mirrored = df.withColumns({"_time": -F.col(time), "_tie": F.xxhash64(tie) if dict(df.dtypes)[tie] == "string" else -F.col(tie)})
+    out = with_previous(mirrored, keys, columns, time="_time", tie="_tie")
+    return out.withColumnsRenamed({f"prev_{c}": f"next_{c}" for c in columns}).drop("_time", "_tie", "rn", "key_rows")

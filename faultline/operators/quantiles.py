@@ -12,10 +12,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 10_000) -> DataFrame:
-    """(keys, p, q): linearly interpolated percentiles, as ``percentile`` gives them."""
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 10_000,
+                    pick_index: bool = False) -> DataFrame:
+    """(keys, p, q): linearly interpolated percentiles, as ``percentile`` gives them.
+
+    With ``pick_index`` the element at index floor(n * p) of the sorted values instead. Groups of
+    up to ``accuracy`` rows are ordered whole; beyond that the sketch's error bound holds.
+    """
     keys = list(keys)
-    slack = 2.0 / accuracy
+    slack = 3.0 / accuracy
     lows = [max(0.0, p - slack) for p in probs]
     highs = [min(1.0, p + slack) for p in probs]
     data = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
@@ -26,9 +31,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     bands = sketch.select(*keys, "_n", F.array(*[
         F.struct(F.lit(float(p)).alias("p"),
-                 (F.lit(float(p)) * (F.col("_n") - 1)).alias("at"),
-                 F.when(F.lit(lows[i]) <= 0, F.col("_min")).otherwise(F.col("_lo")[i]).alias("lo"),
-                 F.when(F.lit(highs[i]) >= 1, F.col("_max")).otherwise(F.col("_hi")[i]).alias("hi"))
+                 (F.floor(F.lit(float(p)) * F.col("_n")).cast("double") if pick_index else F.lit(float(p)) * (F.col("_n") - 1)).alias("at"),
+                 F.when((F.col("_n") <= accuracy) | F.lit(lows[i] <= 0), F.col("_min")).otherwise(F.col("_lo")[i]).alias("lo"),
+                 F.when((F.col("_n") <= accuracy) | F.lit(highs[i] >= 1), F.col("_max")).otherwise(F.col("_hi")[i]).alias("hi"))
         for i, p in enumerate(probs)]).alias("_bands"))
     values = data.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     joined = values.join(bands, keys) if keys else values.crossJoin(F.broadcast(bands))

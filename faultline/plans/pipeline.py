@@ -98,23 +98,23 @@ def intake(spark, sf_dir):
 
 
 _L2 = _INTAKE + """,
-g AS (SELECT *, CASE WHEN duration >= 1 THEN 0.2 ELSE 0 END + CASE WHEN memory_spike_kb >= 131072 THEN 0.3 ELSE 0 END
-    + CASE WHEN cpu_utilization >= 80 THEN 0.25 ELSE 0 END + CASE WHEN network_io_bytes >= 4096 THEN 0.15 ELSE 0 END + 0::DOUBLE AS s1,
+g AS (SELECT *, 0::DOUBLE + CASE WHEN duration >= 1 THEN 0.2 ELSE 0 END + CASE WHEN memory_spike_kb >= 131072 THEN 0.3 ELSE 0 END
+    + CASE WHEN cpu_utilization >= 80 THEN 0.25 ELSE 0 END + CASE WHEN network_io_bytes >= 4096 THEN 0.15 ELSE 0 END AS s1,
   economic_risk_score * 0.25 + silent_failure_probability * 0.25 + (1 - completeness_score) * 0.15 AS s2,
-  least(1, parents / 8.0 + least(0.25, causal_depth * 0.05)) AS s3,
-  CASE WHEN label <> 'benign' THEN 0.45 ELSE 0 END + CASE WHEN phase IN ('initialization','execution') THEN 0.1 ELSE 0 END
-    + CASE WHEN category IN ('security','silent_failure','execution') THEN 0.1 ELSE 0 END + CASE WHEN severity >= 7 THEN 0.1 ELSE 0 END + 0::DOUBLE AS s4 FROM j),
+  least(1, parents / 8.0 + least(0.25, causal_depth * 0.05::DOUBLE)) AS s3,
+  0::DOUBLE + CASE WHEN label <> 'benign' THEN 0.45 ELSE 0 END + CASE WHEN phase IN ('initialization','execution') THEN 0.1 ELSE 0 END
+    + CASE WHEN category IN ('security','silent_failure','execution') THEN 0.1 ELSE 0 END + CASE WHEN severity >= 7 THEN 0.1 ELSE 0 END AS s4 FROM j),
 d AS (SELECT *, (s1 * 0.7 + s2 * 0.65 + s3 * 0.6 + s4 * 0.75) / 2.7 AS agg,
   (CAST(s1 >= 0.3 AS INT) + CAST(s2 >= 0.3 AS INT) + CAST(s3 >= 0.3 AS INT) + CAST(s4 >= 0.3 AS INT)) / 4 AS cons FROM g),
 """
 
 
-@query(_L2.rstrip().rstrip(",") + """ SELECT event_id, round(s1, 4) AS rule_chain, round(s2, 4) AS drift_tracker, round(s3, 4) AS graph_immunized, round(s4, 4) AS semantic_deviation,
+@query(_L2.rstrip().rstrip(",") + """ SELECT event_id, round(s1, 6) AS rule_chain, round(s2, 6) AS drift_tracker, round(s3, 6) AS graph_immunized, round(s4, 6) AS semantic_deviation,
   round(agg, 4) AS aggregate_score, agg >= 0.3 AS anomaly_indicated, cons AS detector_consensus FROM d""")
 def detection_matrix(spark, sf_dir):
     good, _ = layers.split_valid(layers.intake(records.adapt(scored_telemetry(spark, sf_dir), AT)))
     out = layers.detection_matrix(good)
-    return out.select("event_id", *[r(c, 4).alias(c) for c in ("rule_chain", "drift_tracker", "graph_immunized", "semantic_deviation", "aggregate_score")],
+    return out.select("event_id", *[r(c).alias(c) for c in ("rule_chain", "drift_tracker", "graph_immunized", "semantic_deviation", "aggregate_score")],
                       "anomaly_indicated", "detector_consensus")
 
 
