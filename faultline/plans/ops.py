@@ -102,13 +102,13 @@ def economic_risk(spark, sf_dir):
 
 @query(f"""WITH {TEL}, c AS (SELECT *, {_COST} AS cost FROM tel), p AS (SELECT *, count(*) OVER a AS k, avg(cost) OVER a AS m FROM c
   WINDOW a AS (PARTITION BY function_id ORDER BY ts_us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW))
-SELECT event_id, k AS recent_count, round(m * 1e6, 8) AS micro_recent, CASE WHEN k / 60.0 > 10 THEN 'high_frequency' WHEN k / 60.0 > 1 THEN 'moderate_frequency' ELSE 'normal_frequency' END AS pattern,
+SELECT event_id, k AS recent_count, round(m * 1e6, 3) AS micro_recent, CASE WHEN k / 60.0 > 10 THEN 'high_frequency' WHEN k / 60.0 > 1 THEN 'moderate_frequency' ELSE 'normal_frequency' END AS pattern,
   CASE WHEN greatest(dow, cr) < 0.3 THEN NULL WHEN dow >= cr THEN 'denial_of_wallet' ELSE 'cryptomining' END AS attack
 FROM (SELECT *, CASE WHEN k / 60.0 > 5 THEN 0.3 ELSE 0 END + CASE WHEN cost / greatest(duration, 0.001) > 0.001 THEN 0.4 ELSE 0 END + CASE WHEN cpu_utilization > 90 THEN 0.3 ELSE 0 END AS dow,
   CASE WHEN cpu_utilization > 80 AND duration > 10 THEN 0.5 ELSE 0 END + CASE WHEN network_io_bytes < 1024 THEN 0.2 ELSE 0 END + CASE WHEN memory_spike_kb > 100000 THEN 0.3 ELSE 0 END AS cr FROM p)""")
 def attack_type(spark, sf_dir):
     out = E.attack_type(E.invocation_pattern(telemetry(spark, sf_dir)))
-    return out.select("event_id", F.col("recent_count").cast("bigint").alias("recent_count"), r(F.col("recent_cost") * 1e6, 8).alias("micro_recent"), "pattern", "attack")
+    return out.select("event_id", F.col("recent_count").cast("bigint").alias("recent_count"), r(F.col("recent_cost") * 1e6, 3).alias("micro_recent"), "pattern", "attack")
 
 
 _CAL = f"""WITH {TEL}, a AS (SELECT *, memory_spike_kb / 1024.0 AS mb, 0.0000166667 * (memory_spike_kb / 1048576.0) * duration + 0.0000002 + network_io_bytes / 1073741824.0 * 0.00001 AS cost FROM tel),

@@ -110,7 +110,7 @@ d AS (SELECT *, (s1 * 0.7 + s2 * 0.65 + s3 * 0.6 + s4 * 0.75) / 2.7 AS agg,
 
 
 @query(_L2.rstrip().rstrip(",") + """ SELECT event_id, round(s1, 6) AS rule_chain, round(s2, 6) AS drift_tracker, round(s3, 6) AS graph_immunized, round(s4, 6) AS semantic_deviation,
-  round(agg, 4) AS aggregate_score, agg >= 0.3 AS anomaly_indicated, cons AS detector_consensus FROM d""")
+  round(CAST(agg::VARCHAR AS DECIMAL(24, 18)), 4)::DOUBLE AS aggregate_score, agg >= 0.3 AS anomaly_indicated, cons AS detector_consensus FROM d""")
 def detection_matrix(spark, sf_dir):
     good, _ = layers.split_valid(layers.intake(records.adapt(scored_telemetry(spark, sf_dir), AT)))
     out = layers.detection_matrix(good)
@@ -122,14 +122,14 @@ _L3 = _L2 + """e AS (SELECT *, greatest(0.1, least(1, (0.8 + trust_score) / 2))
 f AS (SELECT *, greatest(0.1, least(1, eff * 0.7)) AS w1, greatest(0.1, least(1, eff * 0.65)) AS w2, greatest(0.1, least(1, eff * 0.6)) AS w3,
   greatest(0.1, least(1, eff * 0.75)) AS w4 FROM e),
 h AS (SELECT *, (s1 * w1 + s2 * w2 + s3 * w3 + s4 * w4) / (w1 + w2 + w3 + w4) AS raw FROM f),
-l AS (SELECT *, least(0.15, abs(round(agg, 4) - raw)) AS vol FROM h),
+l AS (SELECT *, least(0.15, abs(round(CAST(agg::VARCHAR AS DECIMAL(24, 18)), 4)::DOUBLE - raw)) AS vol FROM h),
 o AS (SELECT *, greatest(0, least(1, raw - vol + least(0.1, cons * 0.1))) AS fused FROM l),
 p AS (SELECT *, CASE WHEN fused >= 0.75 THEN 'escalate' WHEN fused >= 0.3 THEN 'review' ELSE 'observe' END AS decision,
   CASE WHEN fused >= 0.75 THEN 'high' WHEN fused >= 0.3 THEN 'medium' ELSE 'low' END AS band FROM o)
 """
 
 
-@query(_L3 + "SELECT event_id, round(fused, 4) AS fused_score, band AS risk_band, decision, round(vol, 3) AS volatility FROM p")
+@query(_L3 + "SELECT event_id, round(CAST(fused::VARCHAR AS DECIMAL(24, 18)), 4)::DOUBLE AS fused_score, band AS risk_band, decision, round(vol, 3) AS volatility FROM p")
 def trust_fusion(spark, sf_dir):
     out = layers.run_pipeline(scored_telemetry(spark, sf_dir), AT)
     return out.select("event_id", r("fused_score", 4).alias("fused_score"), "risk_band", "decision", r("volatility_adjustment", 3).alias("volatility"))
