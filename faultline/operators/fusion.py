@@ -125,3 +125,21 @@ def detection_stats(long: DataFrame) -> DataFrame:
         F.avg("confidence").alias("mean_confidence"),
         F.max("confidence").alias("max_confidence"),
     )
+
+
+def confidence_interval(verdicts: DataFrame, names: list[str] | None = None, z: float = 1.96) -> DataFrame:
+    """Bootstrap confidence of a verdict over its detectors' scores, in closed form.
+
+    Resampling n detector scores with replacement has mean m and variance var / n exactly, so the
+    limit of endlessly many resamples needs no random draws.
+    """
+    names = sorted(names or [c for c in verdicts.columns if c in DETECTORS])
+    n = float(len(names))
+    vals = [F.when(F.col(f"{d}.detected"), F.col(f"{d}.confidence")).otherwise(0.0) for d in names]
+    out = verdicts.withColumns({"_m": _sum(vals) / n, "_q": _sum([v * v for v in vals]) / n})
+    out = out.withColumns({"bootstrap_mean": F.col("_m"), "bootstrap_variance": F.greatest(F.lit(0.0), F.col("_q") - F.col("_m") * F.col("_m")) / n})
+    sd = F.sqrt("bootstrap_variance")
+    return out.withColumns({
+        "ci95_low": F.greatest(F.lit(0.0), F.col("_m") - z * sd), "ci95_high": F.least(F.lit(1.0), F.col("_m") + z * sd),
+        "model_uncertainty": sd, "data_uncertainty": 1 - _sum([F.col(f"{d}.detected").cast("double") for d in names]) / n,
+    }).drop("_m", "_q")

@@ -230,7 +230,7 @@ def _spread_min(values: DataFrame, edges: DataFrame, forward: bool, max_rounds:
     return cur
 
 
-def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> DataFrame:
     """(id, rank), ranks sum to 1; the mass of nodes without outgoing edges is shared evenly."""
     w = edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")) if "weight" in edges.columns else edges.select("src", "dst").distinct().withColumn("w", F.lit(1.0))
     total = w.groupBy("src").agg(F.sum("w").alias("t"))
@@ -238,29 +238,27 @@ def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, ever
     nodes = cut_lineage(nodes_of(edges).join(total.select(F.col("src").alias("id"), F.lit(True).alias("out")), "id", "left"))
     n = nodes.count()
     rank = nodes.select("id", F.col("out").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank"))
-    for i in range(iterations):
+    for _ in range(iterations):
         got = share.join(rank.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("s") * F.col("rank")).alias("g"))
         lost = rank.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
         rank = rank.drop("rank").join(got, "id", "left").crossJoin(F.broadcast(lost)).select(  # one row
             "id", "dangling", ((1 - damping) / n + damping * (F.coalesce("g", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if (i + 1) % every == 0 or i + 1 == iterations:
-            rank = cut_lineage(rank)
+        rank = cut_lineage(rank)  # read three times in the next round
     return rank.select("id", "rank")
 
 
-def eigenvector(edges: DataFrame, iterations: int = 20, every: int = 5) -> DataFrame:
+def eigenvector(edges: DataFrame, iterations: int = 20) -> DataFrame:
     """(id, centrality): power iteration x <- (A' + I) x, scaled to unit length."""
     e = cut_lineage(edges.select("src", "dst").distinct())
     nodes = cut_lineage(nodes_of(edges))
     n = nodes.count()
     x = nodes.withColumn("x", F.lit(1.0 / n))
-    for i in range(iterations):
+    for _ in range(iterations):
         got = e.join(x.select(F.col("id").alias("src"), "x"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("x").alias("g"))
         y = x.join(got, "id", "left").select("id", (F.col("x") + F.coalesce("g", F.lit(0.0))).alias("y"))
         norm = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"))
         x = y.crossJoin(F.broadcast(norm)).select("id", (F.col("y") / F.col("norm")).alias("x"))  # one row
-        if (i + 1) % every == 0 or i + 1 == iterations:
-            x = cut_lineage(x)
+        x = cut_lineage(x)
     return x.withColumnRenamed("x", "centrality")
 
 

@@ -22,14 +22,14 @@ def query(sql: str | None):
 
 
 @query(f"""WITH {TEL} SELECT event_id, CASE WHEN execution_phase = 'init' THEN 'cold_start' WHEN execution_phase = 'error' THEN 'error' WHEN memory_spike_kb > 512000 THEN 'memory_spike' WHEN duration > 30 THEN 'timeout'
-  WHEN network_io_bytes > 10485760 THEN 'network_io' ELSE 'function_invocation' END AS node_type, CAST(15 AS INT) AS n_features, round(ts_us / 1e6 % 86400, 4) AS time_of_day FROM tel""")
+  WHEN network_io_bytes > 10485760 THEN 'network_io' ELSE 'function_invocation' END AS node_type, CAST(15 AS INT) AS n_features, round(ts_us / 1e6 % 86400, 6) AS time_of_day FROM tel""")
 def graph_nodes(spark, sf_dir):
-    return G.graph_nodes(telemetry(spark, sf_dir)).select("event_id", "node_type", F.size("features").alias("n_features"), r(F.col("features")[6], 4).alias("time_of_day"))
+    return G.graph_nodes(telemetry(spark, sf_dir)).select("event_id", "node_type", F.size("features").alias("n_features"), r(F.col("features")[6], 6).alias("time_of_day"))
 
 
 _PAIRS = f"""WITH {TEL}, h AS (SELECT *, row_number() OVER (PARTITION BY function_id ORDER BY ts_us, event_id) AS rn FROM tel),
 p AS (SELECT a.event_id AS src, b.event_id AS dst, a.rn AS ar, b.rn AS br, a.execution_phase AS ap, b.execution_phase AS bp, a.memory_spike_kb AS am, b.memory_spike_kb AS bm, a.cpu_utilization AS ac, b.cpu_utilization AS bc,
-  a.network_io_bytes AS an, b.network_io_bytes AS bn, a.duration AS ad, b.duration AS bd, a.anomaly_type AS at, b.anomaly_type AS bt, a.ts_us AS ats, b.ts_us AS bts FROM h a JOIN h b ON a.function_id = b.function_id AND b.rn > a.rn AND b.ts_us - a.ts_us <= {{w}})
+  a.network_io_bytes AS an, b.network_io_bytes AS bn, a.duration AS ad, b.duration AS bd, a.anomaly_type AS aty, b.anomaly_type AS bty, a.ts_us AS ats, b.ts_us AS bts FROM h a JOIN h b ON a.function_id = b.function_id AND b.rn > a.rn AND b.ts_us - a.ts_us <= {{w}})
 """
 
 
@@ -59,8 +59,8 @@ def recent_edges(spark, sf_dir):
 @query(_PAIRS.replace("{w}", "600000000").replace("row_number() OVER (PARTITION BY function_id ORDER BY ts_us, event_id) AS rn", "row_number() OVER w AS rn, coalesce((ts_us - lag(ts_us) OVER w) / 1e6, 0) AS arr").replace("AS rn, coalesce((ts_us - lag(ts_us) OVER w) / 1e6, 0) AS arr FROM tel", "AS rn, coalesce((ts_us - lag(ts_us) OVER w) / 1e6, 0) AS arr FROM tel WINDOW w AS (PARTITION BY function_id ORDER BY ts_us, event_id)").replace("a.ts_us AS ats", "a.arr AS aa, b.arr AS ba, a.ts_us AS ats") + """,
 q AS (SELECT *, CASE ap WHEN 'init' THEN 0 WHEN 'invoke' THEN 1 WHEN 'shutdown' THEN 2 END AS ra, CASE bp WHEN 'init' THEN 0 WHEN 'invoke' THEN 1 WHEN 'shutdown' THEN 2 END AS rb FROM p),
 c AS (SELECT src, 0.4 * (1 - (bts - ats) / 600000000.0) + 0.25 * CASE WHEN ap = bp THEN 1 ELSE coalesce(1 - abs(ra - rb) / 3.0, 0) END + 0.2 * CASE WHEN aa = 0 OR ba = 0 THEN 0.5 ELSE least(aa, ba) / greatest(aa, ba) END + 0.075 AS temporal,
-  0.2 * exp(-abs(ad - bd)) + 0.2 * exp(-abs(am - bm) / 10000.0) + 0.15 * exp(-abs(ac - bc) / 100) + 0.1 * exp(-abs(an - bn) / 10000.0) + 0.15 * CASE WHEN ap = bp THEN 1 ELSE 0.5 END + 0.1 + 0.1 * CASE WHEN at = bt THEN 1 ELSE 0 END AS behavioural,
-  CASE WHEN ats = bts THEN 0 ELSE least(1, exp(-(bts - ats) / 60000000.0) * CASE WHEN am > 50000 OR ac > 80 THEN 1.5 ELSE 1 END * CASE WHEN at <> 'benign' AND bt <> 'benign' THEN 1.3 ELSE 1 END) END AS causal FROM q),
+  0.2 * exp(-abs(ad - bd)) + 0.2 * exp(-abs(am - bm) / 10000.0) + 0.15 * exp(-abs(ac - bc) / 100) + 0.1 * exp(-abs(an - bn) / 10000.0) + 0.15 * CASE WHEN ap = bp THEN 1 ELSE 0.5 END + 0.1 + 0.1 * CASE WHEN aty = bty THEN 1 ELSE 0 END AS behavioural,
+  CASE WHEN ats = bts THEN 0 ELSE least(1, exp(-(bts - ats) / 60000000.0) * CASE WHEN am > 50000 OR ac > 80 THEN 1.5 ELSE 1 END * CASE WHEN aty <> 'benign' AND bty <> 'benign' THEN 1.3 ELSE 1 END) END AS causal FROM q),
 x AS (SELECT *, least(1, (temporal + behavioural + causal) / 3 * CASE WHEN CAST(temporal > 0.7 AS INT) + CAST(behavioural > 0.7 AS INT) + CAST(causal > 0.7 AS INT) >= 2 THEN 1.2
    WHEN CAST(temporal > 0.7 AS INT) + CAST(behavioural > 0.7 AS INT) + CAST(causal > 0.7 AS INT) = 1 AND CAST(temporal BETWEEN 0.4 AND 0.7 AS INT) + CAST(behavioural BETWEEN 0.4 AND 0.7 AS INT) + CAST(causal BETWEEN 0.4 AND 0.7 AS INT) >= 2 THEN 1.1 ELSE 1 END) AS conf FROM c)
 SELECT type, count(*) AS n, round(avg(conf), 6) AS mean_confidence FROM (SELECT 'temporal' AS type, conf FROM x WHERE temporal >= 0.2 UNION ALL SELECT 'behavioural', conf FROM x WHERE behavioural >= 0.25 UNION ALL SELECT 'causal', conf FROM x WHERE causal >= 0.15) GROUP BY 1""")
@@ -69,10 +69,10 @@ def correlation_edges(spark, sf_dir):
     return e.groupBy("type").agg(F.count(F.lit(1)).alias("n"), r(F.avg("confidence")).alias("mean_confidence"))
 
 
-@query(f"WITH {TEL} SELECT event_id, round((ts_us - lag(ts_us) OVER (PARTITION BY function_id ORDER BY ts_us, event_id)) / 1e6, 4) AS inter_arrival FROM tel")
+@query(f"WITH {TEL} SELECT event_id, round((ts_us - lag(ts_us) OVER (PARTITION BY function_id ORDER BY ts_us, event_id)) / 1e6, 6) AS inter_arrival FROM tel")
 def inter_arrival(spark, sf_dir):
     out = H.with_previous(telemetry(spark, sf_dir), ["function_id"], ["ts_us"])
-    return out.select("event_id", r((F.col("ts_us") - F.col("prev_ts_us")) / 1e6, 4).alias("inter_arrival"))
+    return out.select("event_id", r((F.col("ts_us") - F.col("prev_ts_us")) / 1e6, 6).alias("inter_arrival"))
 
 
 @query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, lead(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS w, label FROM embeddings)
@@ -230,8 +230,8 @@ def k_hop_subgraph(spark, sf_dir):
     return G.k_hop(_events_graph(spark, sf_dir), seeds, 2).select("src", "dst", "type")
 
 
-@query("WITH RECURSIVE " + _LAST5 + """, bs AS (SELECT dst, arg_min(src, (-round(weight, 12), src)) AS src FROM ed GROUP BY 1), w AS (SELECT event_id AS id, event_id AS at, 1 AS n FROM tel WHERE anomaly_type = 'timeout_fallback' UNION ALL SELECT w.id, bs.src, n + 1 FROM w JOIN bs ON bs.dst = w.at WHERE n <= 15)
-SELECT id, CAST(max(n) AS INT) AS length, CAST(sum(at) AS BIGINT) AS node_sum FROM w GROUP BY 1""")
+@query("WITH RECURSIVE " + _LAST5 + """, bs AS (SELECT dst, arg_min(src, (-round(weight, 12), src)) AS src FROM ed GROUP BY 1), w AS (SELECT event_id AS id, event_id AS pos, 1 AS n FROM tel WHERE anomaly_type = 'timeout_fallback' UNION ALL SELECT w.id, bs.src, n + 1 FROM w JOIN bs ON bs.dst = w.pos WHERE n <= 15)
+SELECT id, CAST(max(n) AS INT) AS length, CAST(sum(pos) AS BIGINT) AS node_sum FROM w GROUP BY 1""")
 def trace_path(spark, sf_dir):
     e = _events_graph(spark, sf_dir).withColumn("weight", F.round("weight", 12))
     starts = telemetry(spark, sf_dir).where("anomaly_type = 'timeout_fallback'").select(F.col("event_id").alias("id"))

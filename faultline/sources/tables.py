@@ -20,7 +20,11 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Time runs 60 times faster than in the source, so five-minute frames hold several rows.
     """
-    ev = table(spark, sf_dir, "events")
+    return telemetry_of(table(spark, sf_dir, "events"))
+
+
+def telemetry_of(ev: DataFrame) -> DataFrame:
+    """The same projection over any event frame, batch or stream."""
     err = F.col("event_type") == "error"
     phase = F.when(F.col("event_type") == "signup", "init").when(
         F.col("event_type") == "purchase", "shutdown"
