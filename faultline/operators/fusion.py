@@ -87,7 +87,8 @@ def fuse(verdicts: DataFrame, names: list[str] | None = None, weights: dict[str,
     return out.withColumns({
         "consensus": F.col("fusion_votes") / F.lit(float(len(names))),
         "primary_type": F.when(F.col("fusion_votes") > 0, F.col("_top.kind")).otherwise("benign"),
-        "fused_anomaly": (F.col("fusion_score") > 0.5) & (F.col("fusion_confidence") > 0.6)
+        # twelve places: a tie must not hang on the order of summation
+        "fused_anomaly": (F.round("fusion_score", 12) > 0.5) & (F.round("fusion_confidence", 12) > 0.6)
         & (F.col("fusion_votes") >= need),
         "decision_confidence": F.least("fusion_score", "fusion_confidence", F.col("fusion_votes") / F.lit(float(need))),
     }).drop("_top")
@@ -127,19 +128,35 @@ def detection_stats(long: DataFrame) -> DataFrame:
     )
 
 
-def confidence_interval(verdicts: DataFrame, names: list[str] | None = None, z: float = 1.96) -> DataFrame:
-    """Bootstrap confidence of a verdict over its detectors' scores, in closed form.
 
-    Resampling n detector scores with replacement has mean m and variance var / n exactly, so the
-    limit of endlessly many resamples needs no random draws.
+def _normal_cdf(x: Column) -> Column:
+    """Standard normal distribution function (Abramowitz and Stegun 7.1.26, error below 2e-7)."""
+    a = F.abs(x) / 2 ** 0.5
+    t = 1 / (1 + 0.3275911 * a)
+    erf = 1 - t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-a * a)
+    return F.when(x >= 0, (1 + erf) / 2).otherwise((1 - erf) / 2)
+
+
+def confidence_interval(fused: DataFrame, names: list[str] | None = None, weights: dict[str, float] | None = None,
+                        trust: dict[str, float] | None = None, z: float = 1.96) -> DataFrame:
+    """Bootstrap confidence of a fused verdict, in closed form.
+
+    One resample draws n detectors with replacement and adds up their weighted scores y. The sum
+    has mean n * avg(y) and variance n * var(y) exactly, so the limit of endlessly many resamples
+    needs no random draws. The p-value is the share of resamples at most 0.5.
     """
-    names = sorted(names or [c for c in verdicts.columns if c in DETECTORS])
-    n = float(len(names))
-    vals = [F.when(F.col(f"{d}.detected"), F.col(f"{d}.confidence")).otherwise(0.0) for d in names]
-    out = verdicts.withColumns({"_m": _sum(vals) / n, "_q": _sum([v * v for v in vals]) / n})
-    out = out.withColumns({"bootstrap_mean": F.col("_m"), "bootstrap_variance": F.greatest(F.lit(0.0), F.col("_q") - F.col("_m") * F.col("_m")) / n})
-    sd = F.sqrt("bootstrap_variance")
+    names = sorted(names or [c for c in fused.columns if c in DETECTORS])
+    weights, trust = weights or FUSION_WEIGHTS, trust or {}
+    w = {d: weights.get(d, 0.01) * trust.get(d, TRUST["medium"]) for d in names}
+    n, total = float(len(names)), sum(w.values())
+    y = [F.col(f"{d}.detected").cast("double") * F.col(f"{d}.confidence") * F.lit(w[d] / total) for d in names]
+    out = fused.withColumns({"_s": _sum(y), "_q": _sum([v * v for v in y])})
+    out = out.withColumns({"bootstrap_mean": F.col("_s"), "bootstrap_variance": F.greatest(F.lit(0.0), F.col("_q") - F.col("_s") * F.col("_s") / n)})
+    out = out.withColumn("_sd", F.sqrt("bootstrap_variance"))
+    out = out.withColumns({
+        "ci95_low": F.greatest(F.lit(0.0), F.col("_s") - z * F.col("_sd")), "ci95_high": F.col("_s") + z * F.col("_sd"),
+        "p_value": F.when(F.col("_sd") > 0, _normal_cdf((0.5 - F.col("_s")) / F.nullif("_sd", F.lit(0.0)))).otherwise((F.col("_s") <= 0.5).cast("double"))})
     return out.withColumns({
-        "ci95_low": F.greatest(F.lit(0.0), F.col("_m") - z * sd), "ci95_high": F.least(F.lit(1.0), F.col("_m") + z * sd),
-        "model_uncertainty": sd, "data_uncertainty": 1 - _sum([F.col(f"{d}.detected").cast("double") for d in names]) / n,
-    }).drop("_m", "_q")
+        "model_uncertainty": F.col("bootstrap_variance"), "data_uncertainty": F.abs(F.col("fusion_confidence") - F.col("fusion_score")),
+        "epistemic_uncertainty": (F.col("ci95_high") - F.col("ci95_low")) / 2, "aleatoric_uncertainty": F.lit(min(0.1, 1 / n)),
+    }).drop("_s", "_q", "_sd")
