@@ -39,6 +39,8 @@ PATTERNS = {
     "nhs": r"\b\d{3}[\s\-]?\d{3}[\s\-]?\d{4}\b",
     "icd10": r"\b[A-Z]\d{2}\.\d{1,4}\b",
 }
+# a character every match of the pattern contains
+HINTS = {"email": "@", "ssn": "-", "ipv4": ".", "ipv6": ":", "icd10": "."}
 # --- fixed values: patterns of each regime, in the order they are applied ---
 REGIMES = {
     "gdpr": ("email", "phone", "ssn", "credit_card", "ipv4", "ipv6", "iban", "dob", "nhs"),
@@ -117,13 +119,15 @@ def sanitise_url(url: Column) -> Column:
 def redact_intake(text: Column) -> Column:
     v = F.regexp_replace(text, EMAIL, "[REDACTED_EMAIL]")
     v = F.regexp_replace(v, LOOSE_PHONE, "[REDACTED_PHONE]")
-    return F.regexp_replace(v, LOOSE_CARD, "[REDACTED_CARD]")
+    # no pattern matches without a digit or an at sign
+    return F.when(text.rlike("[0-9@]"), F.regexp_replace(v, LOOSE_CARD, "[REDACTED_CARD]")).otherwise(text)
 
 
-def redact_struct(kind: T.StructType, path: str) -> tuple[Column, list[Column]]:
-    """Redacted copy of a struct column, and per leaf its path when it was changed.
+def redact_struct(kind: T.StructType, path: str, copy: str) -> tuple[Column, list[Column]]:
+    """Redacted copy of struct column ``path``, and per leaf its path when column ``copy`` holds a changed one.
 
-    Key names are judged while planning, so only string leaves cost anything at run time.
+    Key names are judged while planning, so only string leaves cost anything at run time. The
+    copy is to be added as a column first, so that nothing is replaced twice.
     """
     import re
 
@@ -139,9 +143,8 @@ def redact_struct(kind: T.StructType, path: str) -> tuple[Column, list[Column]]:
             elif isinstance(f.dataType, T.StructType):
                 fields.append(walk(f.dataType, here).alias(f.name))
             elif isinstance(f.dataType, T.StringType):
-                clean = redact_intake(F.col(here))
-                fields.append(clean.alias(f.name))
-                hits.append(F.when(clean != F.col(here), F.lit(here)))
+                fields.append(redact_intake(F.col(here)).alias(f.name))
+                hits.append(F.when(F.col(copy + here[len(path):]) != F.col(here), F.lit(here)))
             else:
                 fields.append(F.col(here).alias(f.name))
         return F.struct(*fields)
@@ -177,6 +180,8 @@ def privacy_filter(df, column: str, regime: str = "gdpr", out: str = "filtered",
     for name in names:
         pattern = PATTERNS[name]
         found = F.regexp_extract_all("_v", F.lit(pattern), F.lit(0))
+        if name in HINTS:  # texts without the pattern's fixed character are not searched
+            found = F.when(F.contains("_v", F.lit(HINTS[name])), found).otherwise(F.expr("CAST(array() AS array<string>)"))
         if name == "credit_card":
             found = F.filter(found, luhn_valid)
         df = df.withColumn("_m", found)
@@ -184,7 +189,7 @@ def privacy_filter(df, column: str, regime: str = "gdpr", out: str = "filtered",
             tag = F.lit(f"[REDACTED_{name.upper()}]")
             text = F.aggregate(F.array_distinct("_m"), F.col("_v"), _pseudonym if critical else _swap(tag))
         else:
-            text = F.regexp_replace("_v", pattern, f"[REDACTED_{name.upper()}]")
+            text = F.when(F.size("_m") > 0, F.regexp_replace("_v", pattern, f"[REDACTED_{name.upper()}]")).otherwise(F.col("_v"))
         df = df.withColumns({f"_n_{name}": F.size("_m"), "_v": text})
     counts = F.create_map(*[x for n in names for x in (F.lit(n), F.col(f"_n_{n}"))])
     return df.withColumns({out: F.col("_v"), "actions": F.map_filter(counts, lambda _, n: n > 0)}).drop(
