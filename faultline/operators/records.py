@@ -94,8 +94,8 @@ def emit_metrics(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 def uuid_like(value: Column) -> Column:
     """Deterministic id in UUID form, from a hash."""
-    h = F.sha2(value, 256)
-    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
+    # one hash, cut by groups
+    return F.regexp_replace(F.sha2(value, 256), "^(.{8})(.{4})(.{4})(.{4})(.{12}).*$", "$1-$2-$3-$4-$5")
 
 
 def adapt(df: DataFrame, processed_at: str | None = None) -> DataFrame:

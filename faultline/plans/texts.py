@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from faultline.functions import text as TX
 from faultline.operators import preservation, validation
 from faultline.plans.common import TEL, Query, r
-from faultline.sources.tables import table, telemetry
+from faultline.sources.tables import spread, table, telemetry
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -37,13 +37,13 @@ s AS (SELECT id, md5(e) AS digest, array_to_string(list_filter([CASE WHEN a <> t
 
 @query("WITH src AS (SELECT page_id AS id, html AS v FROM pages), " + _SANI + "SELECT id AS page_id, digest, flags FROM s")
 def sanitise_pages(spark, sf_dir):
-    out = TX.sanitise(table(spark, sf_dir, "pages"), "html")
+    out = TX.sanitise(spread(table(spark, sf_dir, "pages")), "html")
     return out.select("page_id", F.md5("sanitised").alias("digest"), F.concat_ws(",", "flags").alias("flags"))
 
 
 @query("WITH src AS (SELECT doc_id AS id, text AS v FROM documents), " + _SANI + "SELECT id AS doc_id, digest, flags FROM s")
 def sanitise_documents(spark, sf_dir):
-    out = TX.sanitise(table(spark, sf_dir, "documents"), "text")
+    out = TX.sanitise(spread(table(spark, sf_dir, "documents")), "text")
     return out.select("doc_id", F.md5("sanitised").alias("digest"), F.concat_ws(",", "flags").alias("flags"))
 
 
@@ -51,25 +51,25 @@ def sanitise_documents(spark, sf_dir):
   regexp_extract(url, '^([^:]+)://', 1) || '://' || lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)) || regexp_extract(url, '^[^:/?#]+://[^/?#]*(.*)$', 1) ELSE '' END AS clean_url FROM pages""")
 def sanitise_url(spark, sf_dir):
     withuser = F.regexp_replace("url", "^(https?://)", "$1user:pw@")
-    return table(spark, sf_dir, "pages").select("page_id", TX.sanitise_url(withuser).alias("clean_url"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", TX.sanitise_url(withuser).alias("clean_url"))
 
 
 @query(r"""SELECT page_id, trim(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/') || '/end' AS clean_path FROM pages""")
 def sanitise_path(spark, sf_dir):
     raw = F.concat(F.regexp_extract("url", r"^[^:/?#]+://[^/?#]*([^?#]*)", 1), F.lit(r"/./tmp\..\//end"))
-    return table(spark, sf_dir, "pages").select("page_id", TX.sanitise_path(raw).alias("clean_path"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", TX.sanitise_path(raw).alias("clean_path"))
 
 
 @query(r"""SELECT conv_id, turn, md5(trim(regexp_replace(text || chr(7), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), ' ')) AS digest FROM conversations""")
 def strip_control_chars(spark, sf_dir):
-    t = table(spark, sf_dir, "conversations")
+    t = spread(table(spark, sf_dir, "conversations"))
     return t.select("conv_id", "turn", F.md5(TX.strip_control(F.concat("text", F.lit("\x07")))).alias("digest"))
 
 
 @query(f"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, {_lit(TX.EMAIL)}, '[REDACTED_EMAIL]', 'g'), {_lit(TX.LOOSE_PHONE)}, '[REDACTED_PHONE]', 'g'),
   {_lit(TX.LOOSE_CARD)}, '[REDACTED_CARD]', 'g')) AS digest FROM documents""")
 def redact_intake(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(TX.redact_intake(F.col("text"))).alias("digest"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.md5(TX.redact_intake(F.col("text"))).alias("digest"))
 
 
 _SSN = (r"\b(?:00[1-9]|0[1-9]\d|[1-578]\d\d|6[0-57-9]\d|66[0-57-9])-(?:0[1-9]|[1-9]\d)-(?:000[1-9]|00[1-9]\d|0[1-9]\d\d|[1-9]\d{3})\b")
@@ -100,7 +100,7 @@ def _regime_query(regime: str) -> None:
     names = TX.REGIMES[regime]
 
     def run(spark, sf_dir):
-        out = TX.privacy_filter(table(spark, sf_dir, "documents"), "text", regime)
+        out = TX.privacy_filter(spread(table(spark, sf_dir, "documents")), "text", regime)
         return out.select("doc_id", F.md5("filtered").alias("digest"), *[F.coalesce(F.col("actions")[n], F.lit(0)).cast("bigint").alias(n) for n in names])
 
     QUERIES[f"privacy_filter_{regime}"] = run
@@ -117,19 +117,19 @@ _SPANS = " UNION ALL ".join(
 
 @query(f"SELECT doc_id, rule, count(*) AS n, md5(string_agg(value, '|' ORDER BY value)) AS digest FROM ({_SPANS}) GROUP BY doc_id, rule")
 def detect_pii(spark, sf_dir):
-    spans = table(spark, sf_dir, "documents").select("doc_id", F.inline(TX.detect_spans(F.col("text"))))
+    spans = spread(table(spark, sf_dir, "documents")).select("doc_id", F.inline(TX.detect_spans(F.col("text"))))
     return spans.groupBy("doc_id", "rule").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("value")), "|")).alias("digest"))
 
 
 @query(f"SELECT pii_type, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({_SPANS}) GROUP BY pii_type")
 def privacy_report(spark, sf_dir):
-    spans = table(spark, sf_dir, "documents").select("doc_id", F.inline(TX.detect_spans(F.col("text"))))
+    spans = spread(table(spark, sf_dir, "documents")).select("doc_id", F.inline(TX.detect_spans(F.col("text"))))
     return spans.groupBy("pii_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
 @query(None)
 def redact_pii(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").withColumn("spans", TX.detect_spans(F.col("text")))
+    t = spread(table(spark, sf_dir, "documents")).withColumn("spans", TX.detect_spans(F.col("text")))
     return t.select("doc_id", F.size("spans").alias("n"), F.md5(TX.redact_spans(F.col("text"), F.col("spans"))).alias("masked"),
                     F.md5(TX.redact_spans(F.col("text"), F.col("spans"), "hash")).alias("hashed"))
 
@@ -149,12 +149,12 @@ def _pad(byte: int) -> str:
 
 @query(f"""SELECT doc_id, sha256('{_pad(0x5C)}'::BLOB || unhex(sha256('{_pad(0x36)}'::BLOB || encode(text)))) AS digest FROM documents""")
 def hash_fields(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", TX.keyed_hash(F.col("text"), "salt").alias("digest"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", TX.keyed_hash(F.col("text"), "salt").alias("digest"))
 
 
 @query(None)
 def hash_blake2b(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", TX.keyed_hash(F.col("text"), "salt", "blake2b").alias("digest"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", TX.keyed_hash(F.col("text"), "salt", "blake2b").alias("digest"))
 
 
 _CONTENT = """sha256('{"anomaly_type":"' || anomaly_type || '","event_id":' || event_id || ',"function_id":"' || function_id || '","memory_spike_kb":' || memory_spike_kb
@@ -189,11 +189,11 @@ def payload_hash(spark, sf_dir):
 @query("""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents), k AS (SELECT doc_id, ch, count(*) AS n FROM c WHERE ch <> '' GROUP BY ALL)
 SELECT doc_id, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM k GROUP BY doc_id""")
 def text_entropy(spark, sf_dir):
-    return preservation.char_entropy(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", r("entropy").alias("entropy"))
+    return preservation.char_entropy(spread(table(spark, sf_dir, "documents")), "doc_id", "text").select("doc_id", r("entropy").alias("entropy"))
 
 
 @query(r"""SELECT page_id, array_to_string(list_filter([CASE WHEN regexp_matches(html, '(?i)<script[^>]*>') THEN 'script' END, CASE WHEN regexp_matches(html, '(?i)javascript:') THEN 'javascript' END,
   CASE WHEN regexp_matches(html, '(?i)on\w+\s*=') THEN 'handler' END, CASE WHEN regexp_matches(html, '(?i)union\s+select|drop\s+table') THEN 'sql' END,
   CASE WHEN regexp_matches(html, '\.\./') THEN 'traversal' END, CASE WHEN length(html) > 10000 THEN 'too_long' END], lambda x: x IS NOT NULL), ',') AS issues FROM pages""")
 def payload_safety(spark, sf_dir):
-    return validation.payload_safety(table(spark, sf_dir, "pages"), "html").select("page_id", F.concat_ws(",", "issues").alias("issues"))
+    return validation.payload_safety(spread(table(spark, sf_dir, "pages")), "html").select("page_id", F.concat_ws(",", "issues").alias("issues"))

@@ -15,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the scan yields fewer splits than there are cores.
+
+    Text and record pipelines are narrow and heavy on CPU: one small file would keep them on one
+    core. Real inputs have more splits than cores and pass through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invocation telemetry derived from the event table, one row per event.
 
@@ -51,7 +61,7 @@ def telemetry_of(ev: DataFrame) -> DataFrame:
 
 def scored_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``telemetry`` with the score and context columns of a full record, derived from the id and the measures."""
-    return telemetry(spark, sf_dir).withColumns({
+    return spread(telemetry(spark, sf_dir)).withColumns({
         "adversarial_score": F.expr("event_id % 11 / 20D"),
         "economic_risk_score": F.col("cpu_utilization") / 200,
         "silent_failure_probability": F.expr("event_id % 10 / 20D"),
