@@ -44,6 +44,18 @@ def index_rows(df: DataFrame, keys: Sequence[str], time: str = "ts_us", tie: str
     )
 
 
+def running_total(df: DataFrame, keys: Sequence[str], columns: dict[str, Column], time: str = "ts_us", tie: str = "event_id", slot: int = SLOT_US) -> DataFrame:
+    """Running sums over the whole life of a key, by the same slots: offsets of earlier slots plus a sum within one."""
+    keys = list(keys)
+    slotted = df.withColumn("_slot", F.expr(f"{time} DIV {slot}")).withColumns({f"_v_{n}": c for n, c in columns.items()})
+    sums = slotted.groupBy(*keys, "_slot").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in columns])
+    upto = W.partitionBy(*keys).orderBy("_slot")
+    offsets = sums.select(*keys, "_slot", *[(F.sum(f"_s_{n}").over(upto) - F.col(f"_s_{n}")).alias(f"_o_{n}") for n in columns])
+    w = W.partitionBy(*keys, "_slot").orderBy(time, tie).rowsBetween(W.unboundedPreceding, 0)
+    out = slotted.join(offsets, [*keys, "_slot"]).withColumns({n: F.col(f"_o_{n}") + F.sum(f"_v_{n}").over(w) for n in columns})
+    return out.drop("_slot", *[f"_v_{n}" for n in columns], *[f"_o_{n}" for n in columns])
+
+
 def blocks(df: DataFrame, limit: int = HISTORY, block: int = BLOCK) -> DataFrame:
     """Assign ``blk`` and copy each row into the later blocks whose history reaches it (``halo``)."""
     if block < limit:

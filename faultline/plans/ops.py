@@ -345,8 +345,8 @@ def execution_state(spark, sf_dir):
     return O.execution_state(O.sampling_profile(telemetry(spark, sf_dir))).select("event_id", "state", "profile_anomaly")
 
 
-@query(_SMP + """SELECT event_id, round(greatest(0.01, least(1, least(1, 0.1 * CASE state WHEN 'cold_start' THEN 5 WHEN 'warm_start' THEN 2.5 WHEN 'high_latency' THEN 3 WHEN 'memory_pressure' THEN 2 WHEN 'cpu_intensive' THEN 2 ELSE 1 END
-  * CASE WHEN profile_anomaly IS NOT NULL THEN 3 ELSE 1 END) * CASE WHEN n > 100 AND vd > power(ad * 0.5, 2) THEN 1.3 ELSE 1 END))::DOUBLE, 6) AS sample_rate FROM s""")
+@query(_SMP + """SELECT event_id, round(greatest(0.01, least(1, least(1, least(1, 0.1 * CASE state WHEN 'cold_start' THEN 5 WHEN 'warm_start' THEN 2.5 WHEN 'high_latency' THEN 3 WHEN 'memory_pressure' THEN 2 WHEN 'cpu_intensive' THEN 2 ELSE 1 END
+  * CASE WHEN profile_anomaly IS NOT NULL THEN 3 ELSE 1 END) * CASE WHEN n > 100 AND ac2 / n > 0.1 THEN 1.5 ELSE 1 END) * CASE WHEN n > 100 AND vd > power(ad * 0.5, 2) THEN 1.3 ELSE 1 END))::DOUBLE, 6) AS sample_rate FROM (SELECT *, count(profile_anomaly) OVER (PARTITION BY function_id ORDER BY ts_us, event_id) AS ac2 FROM s)""")
 def adaptive_sample(spark, sf_dir):
     out = O.adaptive_sample(O.execution_state(O.sampling_profile(telemetry(spark, sf_dir))))
     return out.select("event_id", r("sample_rate").alias("sample_rate"))
