@@ -230,7 +230,7 @@ def redact_spans(text: Column, spans: Column, policy: str = "mask") -> Column:
 
 
 def mask_value(value: Column, strategy: str = "mask") -> Column:
-    """Redaction of a whole value. Masked e-mails keep the domain, masked numbers the last four digits."""
+    """Redaction of a whole value (tags are assumed). Masked e-mails keep the domain, masked numbers the last four digits."""
     n = F.length(value)
     if strategy == "hash":
         return F.concat(F.lit("HASH_"), F.substring(F.sha2(value, 256), 1, 16))

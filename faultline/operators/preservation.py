@@ -30,7 +30,7 @@ def assess_preservation(pairs: DataFrame, fields: Sequence[str] = CRITICAL, befo
     })
 
 
-# --- fixed values: similarity bands ---
+# fixed bounds with assumed names: similarity bands
 BANDS = ((0.95, "excellent"), (0.8, "good"), (0.6, "moderate"), (0.4, "poor"), (0.2, "critical"))
 
 
@@ -156,7 +156,7 @@ def budget_ledger(uses: DataFrame, allowance: float, key: str = "budget_id", tim
 
 def behavioural_features(df: DataFrame) -> DataFrame:
     """Feature list of a record (name, value, importance x confidence) and a signature of its order."""
-    # --- fixed values: feature -> importance, confidence ---
+    # assumed values: feature -> importance, confidence
     spec = {"duration": (0.9, 0.95), "memory_spike_kb": (0.8, 0.9), "cpu_utilization": (0.7, 0.9), "network_io_bytes": (0.6, 0.85)}
     feats = F.array_sort(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value"), F.lit(i * c).alias("weight")) for n, (i, c) in spec.items()]))
     text = F.concat_ws("|", F.transform(feats, lambda f: F.concat(f["name"], F.lit(":"), F.format_string("%.4f", f["value"]))))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-# --- fixed values: fields of the known versions, name -> type ---
+# assumed values: fields of the known versions, name -> type
 VERSIONS = {
     "v1.0": {"id": "string", "timestamp": "double", "function": "string", "phase": "string", "data": "string"},
     "v2.0": {"record_id": "string", "timestamp": "double", "function_name": "string", "execution_phase": "string", "anomaly_type": "string", "telemetry_data": "string"},
