@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("language", "pieces")
+AREAS = ("language", "vectors", "toxicity", "chat", "pieces")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
