@@ -1,10 +1,12 @@
-"""Connected components of a link table by repeated hooking to smaller neighbours and pointer jumping."""
+"""Connected components of a link table, and of candidates that meet in buckets."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
-from faultline.llm.common import cut
+from faultline.llm.common import cut, store
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -29,3 +31,36 @@ def components(links: DataFrame) -> DataFrame:
             break
         edges = small
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b"))).distinct()
+
+
+def bucket_components(buckets: DataFrame, verified: Callable[[DataFrame], DataFrame], fits: str = "true") -> DataFrame:
+    """(id, component) of the ids that have a link, for buckets (key, id, size) and an exact check of pairs.
+
+    Candidates are the pairs of a bucket; ``verified`` turns pairs (a, b) into (a, b, linked). Every candidate is
+    either checked or already connected by other links: first each id of a bucket against the bucket's smallest one,
+    then those still apart against its largest one, then the pairs of a bucket whose ids are in two components. So a
+    bucket of n copies costs n checks, not n * n. ``fits`` (SQL over x.size and y.size) leaves out pairs that no link can join.
+    """
+    ends = buckets.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
+    buckets = store(buckets.join(ends, "key"))
+    tested = store(verified(buckets.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()))
+    for last_round in (False, True):
+        at = components(tested.filter("linked").select("a", "b"))
+        placed = store(buckets.join(at, "id", "left").withColumn("component", F.coalesce("component", "id")))
+        if last_round:
+            split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+            left = placed.join(split, "key").select("key", "id", "size", "component")
+            pairs = left.alias("x").join(left.alias("y"), "key").filter(F.expr(f"x.id < y.id AND x.component <> y.component AND ({fits})")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        else:
+            end = at.select(F.col("id").alias("last"), F.col("component").alias("end"))
+            apart = placed.join(end, "last", "left").filter("id <> last AND component <> coalesce(end, last)")
+            pairs = apart.select(F.col("id").alias("a"), F.col("last").alias("b"))
+        fresh = pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        more = store(verified(fresh))
+        tested = tested.union(more)
+    return components(tested.filter("linked").select("a", "b"))
+
+
+def semi(df: DataFrame, ids: DataFrame, on: list[str], rows: int = 400_000) -> DataFrame:
+    """Rows of ``df`` whose key is in ``ids`` (a stored table): broadcast if it counts at most ``rows``, else shuffled."""
+    return df.join(F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids, on, "left_semi")

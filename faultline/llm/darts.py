@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm.common import cut, mix64, steps, store, table
-from faultline.llm.components import components
+from faultline.llm.common import mix64, steps, store, table
+from faultline.llm.components import bucket_components, semi
 from faultline.llm.words import runs, text_bytes, word_hashes, words
 
 #: words of a shingle, bands, coordinates of a band: a pair of similarity 0.8 misses all bands with probability 7e-5
@@ -168,28 +168,13 @@ def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int
     known = rows_.filter("id IS NOT NULL")
     base = store(sketch(known, bands, rows, length))
     same = store(base.filter("size > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys")))
-    member = same.select("rep", "h1", "size", F.explode("keys").alias("key"))
-    shared = member.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("first"), F.max("rep").alias("last")).filter("n > 1")
-    buckets = store(member.join(shared, "key").select("key", "rep", "h1", "size", "first", "last"))
-    wanted = buckets.select("rep", "h1").distinct()
-    # texts of the documents that meet another one anywhere; equal ids with another text are told apart by the hash
-    texts = store(known.withColumn("h1", F.xxhash64("text")).join(wanted.withColumnRenamed("rep", "id"), ["id", "h1"]).groupBy("id", "h1").agg(F.first("text").alias("text")).groupBy("id").agg(F.min_by("text", "h1").alias("text")))
-
-    tested = cut(verified(buckets.filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), texts, least, length))
-    for last_round in (False, True):
-        at = cut(components(tested.filter("linked").select("a", "b")))
-        placed = buckets.join(at.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        if last_round:
-            split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-            left = placed.join(split, "key").select("key", "rep", "size", "component")
-            pairs = left.alias("x").join(left.alias("y"), "key").filter(F.expr(f"x.rep < y.rep AND x.component <> y.component AND least(x.size, y.size) >= {least} * greatest(x.size, y.size)")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        else:
-            end = at.select(F.col("id").alias("last"), F.col("component").alias("end"))
-            apart = placed.join(end, "last", "left").filter("rep <> last AND component <> coalesce(end, last)")
-            pairs = apart.select(F.least("rep", "last").alias("a"), F.greatest("rep", "last").alias("b"))
-        fresh = pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        tested = cut(tested.union(verified(fresh, texts, least, length)))
-    at = components(tested.filter("linked").select("a", "b"))
+    member = same.select("rep", "size", F.explode("keys").alias("key"))
+    shared = member.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("key")
+    buckets = store(member.join(shared, "key").select("key", F.col("rep").alias("id"), "size"))
+    # texts of the documents that meet another one anywhere
+    wanted = store(buckets.select("id").distinct())
+    texts = store(semi(known, wanted, ["id"]).withColumn("h1", F.xxhash64("text")).join(same.select(F.col("rep").alias("id"), "h1"), ["id", "h1"], "left_semi").groupBy("id").agg(F.first("text").alias("text")))
+    at = bucket_components(buckets, lambda pairs: verified(pairs, texts, least, length), f"least(x.size, y.size) >= {least} * greatest(x.size, y.size)")
     reps = same.select("h1", "h2", "rep").join(at.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("class_id"))
     out = base.select("id", "h1", "h2", "size").join(reps, ["h1", "h2"], "left").select("id", F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"))
     return out.union(rows_.filter("id IS NULL").select("id", "id")).select(F.col("id").alias(id_col), "class_id")

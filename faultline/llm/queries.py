@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("language", "passages", "darts", "vectors", "toxicity", "chat", "pieces")
+AREAS = ("language", "passages", "lines", "darts", "vectors", "toxicity", "chat", "pieces")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
