@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("language", "passages", "lines", "darts", "vectors", "toxicity", "chat", "pieces")
+import corpus_pipeline
+
+AREAS = ("language", "passages", "lines", "darts", "vectors", "mixing", "toxicity", "chat", "pieces")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -12,3 +14,7 @@ for _area in AREAS:
     _module = import_module(f"faultline.llm.{_area}")
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
