@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from faultline.llm.common import cut, store
@@ -33,32 +35,61 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b"))).distinct()
 
 
-def bucket_components(buckets: DataFrame, verified: Callable[[DataFrame], DataFrame], fits: str = "true") -> DataFrame:
-    """(id, component) of the ids that have a link, for buckets (key, id, size) and an exact check of pairs.
+def tiles(rows: DataFrame, keys: list[str], tile: int) -> DataFrame:
+    """``rows`` with ``own`` (whether a row asks), dealt out so that in every group each asking row meets every row.
 
-    Candidates are the pairs of a bucket; ``verified`` turns pairs (a, b) into (a, b, linked). Every candidate is
-    either checked or already connected by other links: first each id of a bucket against the bucket's smallest one,
-    then those still apart against its largest one, then the pairs of a bucket whose ids are in two components. So a
-    bucket of n copies costs n checks, not n * n. ``fits`` (SQL over x.size and y.size) leaves out pairs that no link can join.
+    Adds i, j, asks, answers: a group of more than ``tile`` rows is split into parts, and part i's asking rows meet part j's rows
+    in tile (i, j). A tile holds about two parts, however large its group is; within it, asks and answers say which role a row
+    has. A row stands once in a tile.
     """
-    ends = buckets.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n")).select(*keys, F.ceil(F.col("__n") / tile).cast("int").alias("parts"))
+    placed = rows.join(counts, keys).withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int"))
+    seq = F.sequence(F.lit(0), F.col("parts") - 1)
+    answering = F.transform(seq, lambda i: F.struct(i.alias("i"), F.col("part").alias("j"), (F.col("own") & (i == F.col("part"))).alias("asks"), F.lit(True).alias("answers")))
+    asking = F.transform(F.filter(seq, lambda j: j != F.col("part")), lambda j: F.struct(F.col("part").alias("i"), j.alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("answers")))
+    return placed.select(*rows.columns, F.inline(F.concat(answering, F.when(F.col("own"), asking).otherwise(F.array()))))
+
+
+def merge(root: np.ndarray, a: int, others: np.ndarray) -> None:
+    """Joins the classes of ``a`` and ``others`` in ``root``, the class of each element."""
+    ends = np.unique(root[np.append(others, a)])
+    if len(ends) > 1:
+        root[np.isin(root, ends)] = ends[0]
+
+
+Matcher = Callable[[list[str], np.ndarray, np.ndarray], Iterator[tuple[int, np.ndarray]]]
+
+
+def bucket_components(buckets: DataFrame, texts: DataFrame, verified: Callable[[DataFrame], DataFrame], matches: Matcher, tile: int = 1_024) -> DataFrame:
+    """(id, component) of the ids that have a link, for buckets (key, id) and texts (id, text).
+
+    Candidates are the pairs of a bucket. First every id is checked against the smallest one of its bucket by ``verified``,
+    which turns pairs (a, b) into (a, b, linked): n copies cost n checks. The ids that are then still apart from their
+    bucket's smallest one join the group of its component, where ``matches`` holds them against all ids of the group, a tile at
+    a time: (texts, asking rows, answering rows) to (asking row, linked rows). So each candidate is checked exactly
+    or connected otherwise, and no pair becomes a row unless it is one of the first kind.
+    """
+    ends = buckets.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     buckets = store(buckets.join(ends, "key"))
-    tested = store(verified(buckets.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()))
-    for last_round in (False, True):
-        at = components(tested.filter("linked").select("a", "b"))
-        placed = store(buckets.join(at, "id", "left").withColumn("component", F.coalesce("component", "id")))
-        if last_round:
-            split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-            left = placed.join(split, "key").select("key", "id", "size", "component")
-            pairs = left.alias("x").join(left.alias("y"), "key").filter(F.expr(f"x.id < y.id AND x.component <> y.component AND ({fits})")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        else:
-            end = at.select(F.col("id").alias("last"), F.col("component").alias("end"))
-            apart = placed.join(end, "last", "left").filter("id <> last AND component <> coalesce(end, last)")
-            pairs = apart.select(F.col("id").alias("a"), F.col("last").alias("b"))
-        fresh = pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        more = store(verified(fresh))
-        tested = tested.union(more)
-    return components(tested.filter("linked").select("a", "b"))
+    star = store(verified(buckets.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()).filter("linked").select("a", "b"))
+    at = components(star)
+    hubs = at.select(F.col("id").alias("first"), F.col("component").alias("hub"))
+    placed = buckets.filter("n > 2").join(at, "id", "left").join(hubs, "first", "left")
+    placed = placed.select("key", "id", F.coalesce("component", "id").alias("component"), F.coalesce("hub", "first").alias("hub"))
+    split = placed.filter("component <> hub").select("key").distinct()
+    rows = store(placed.join(split, "key", "left_semi").select("hub", "id", (F.col("component") != F.col("hub")).alias("own")).distinct())
+    tiled = tiles(rows, ["hub"], tile).join(texts, "id")
+
+    def join(group: pa.Table) -> pa.Table:
+        ids, own = group["id"].to_numpy(), group["asks"].to_numpy(zero_copy_only=False).astype(bool)
+        root = np.arange(len(ids))
+        for a, others in matches(group["text"].to_pylist(), np.flatnonzero(own), np.flatnonzero(group["answers"].to_numpy(zero_copy_only=False).astype(bool))):
+            merge(root, a, others)
+        some = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.table({"a": ids[root[some]], "b": ids[some]})
+
+    more = tiled.groupBy("hub", "i", "j").applyInArrow(join, "a bigint, b bigint")
+    return components(star.union(more))
 
 
 def semi(df: DataFrame, ids: DataFrame, on: list[str], rows: int = 400_000) -> DataFrame:

@@ -154,27 +154,49 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, length: int = SHI
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, linked boolean")
 
 
+def matches(texts: list[str], asks: np.ndarray, answers: np.ndarray, least: float, length: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
+    """For each asking text the answering ones of weighted similarity >= ``least``, from an inverted index of shingles."""
+    owner, element, weight = shingles(pa.array(texts, pa.string()), length)
+    copy = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)  # a shingle that occurs n times is n elements
+    owner, element = np.repeat(owner, weight), mix64(np.repeat(element, weight) + copy.astype(U) * U(0x9E3779B97F4A7C15))
+    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+    size = np.diff(bounds)
+    known, number = np.unique(element, return_inverse=True)
+    order = np.argsort(number, kind="stable")
+    first = np.searchsorted(number[order], np.arange(len(known) + 1))
+    holder = owner[order]
+    answering = np.zeros(len(texts), bool)
+    answering[answers] = True
+    for a in asks:
+        mine = number[bounds[a] : bounds[a + 1]]
+        n = first[mine + 1] - first[mine]
+        at = np.repeat(first[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(holder[at], minlength=len(texts))
+        ok = answering & (both > 0) & (both >= least * (size[a] + size - both))
+        ok[a] = False
+        if ok.any():
+            yield int(a), np.flatnonzero(ok)
+
+
 def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, length: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id), one row per row: the smallest id among the documents connected by near-duplicate links.
 
     A link joins two documents with equal texts of at least one word, or with weighted Jaccard similarity of their
-    ``length``-word shingles (weight: how often a shingle occurs) >= ``least`` that share the key of a band. Documents
+    ``length``-word shingles (weight: how often a shingle occurs) >= ``least`` that meet in the bucket of a band. Documents
     without words (null, empty, white space) are classes of their own, as are rows of null id (null class). Rows that
-    repeat an id share its class if their texts do. Every candidate is either checked exactly or already connected:
-    first each member of a bucket against the bucket's first document, then those left apart against the bucket's last
-    one, then every pair of a bucket that is still in two components.
+    repeat an id share its class if their texts do.
     """
     rows_ = docs.selectExpr(f"CAST(`{id_col}` AS bigint) AS id", f"CAST(`{text_col}` AS string) AS text")
     known = rows_.filter("id IS NOT NULL")
     base = store(sketch(known, bands, rows, length))
-    same = store(base.filter("size > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys")))
-    member = same.select("rep", "size", F.explode("keys").alias("key"))
+    same = store(base.filter("size > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")))
+    member = same.select("rep", F.explode("keys").alias("key"))
     shared = member.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("key")
-    buckets = store(member.join(shared, "key").select("key", F.col("rep").alias("id"), "size"))
+    buckets = store(member.join(shared, "key").select("key", F.col("rep").alias("id")))
     # texts of the documents that meet another one anywhere
     wanted = store(buckets.select("id").distinct())
     texts = store(semi(known, wanted, ["id"]).withColumn("h1", F.xxhash64("text")).join(same.select(F.col("rep").alias("id"), "h1"), ["id", "h1"], "left_semi").groupBy("id").agg(F.first("text").alias("text")))
-    at = bucket_components(buckets, lambda pairs: verified(pairs, texts, least, length), f"least(x.size, y.size) >= {least} * greatest(x.size, y.size)")
+    at = bucket_components(buckets, texts, lambda pairs: verified(pairs, texts, least, length), lambda *rows: matches(*rows, least, length))
     reps = same.select("h1", "h2", "rep").join(at.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("class_id"))
     out = base.select("id", "h1", "h2", "size").join(reps, ["h1", "h2"], "left").select("id", F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"))
     return out.union(rows_.filter("id IS NULL").select("id", "id")).select(F.col("id").alias(id_col), "class_id")

@@ -112,6 +112,20 @@ def _band(codes: list[tuple[int, np.ndarray, np.ndarray]], edits: int) -> np.nda
     return done
 
 
+def matches(texts: list[str], asks: np.ndarray, answers: np.ndarray, edits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each asking line the other answering lines at most ``edits`` edits away; lengths and characters are compared first."""
+    size = np.array([len(t) for t in texts])
+    sums = np.zeros((len(texts), 64), np.int32)  # how often each character (of 64 classes) occurs: two for each edit at most
+    for i, t in enumerate(texts):
+        sums[i] = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % 64, minlength=64)
+    for a in asks:
+        near = answers[(np.abs(size[answers] - size[a]) <= edits) & (answers != a)]
+        near = near[np.abs(sums[near] - sums[a]).sum(axis=1) <= 2 * edits]
+        ok = within([(texts[a], texts[b]) for b in near], edits) if len(near) else np.zeros(0, bool)
+        if ok.any():
+            yield int(a), near[ok]
+
+
 def occurrences(docs: DataFrame, shortest: int) -> DataFrame:
     """(id, no, line) of every line of at least ``shortest`` characters: its number in the text and its hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,10 +145,10 @@ def near_lines(docs: DataFrame, edits: int, shortest: int) -> DataFrame:
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
             distinct = {line for text in b.column(1).to_pylist() for line in text.split("\n") if len(line) >= shortest}
-            found = [(line_id(line), len(line), keys(line, edits)) for line in distinct]
-            n = [len(f[2]) for f in found]
-            key = np.fromiter((k for f in found for k in f[2]), np.int64, sum(n))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(np.array([f[0] for f in found], np.int64), n)), pa.array(np.repeat(np.array([f[1] for f in found], np.int32), n))], ["key", "id", "size"])
+            found = [(line_id(line), keys(line, edits)) for line in distinct]
+            n = [len(f[1]) for f in found]
+            key = np.fromiter((k for f in found for k in f[1]), np.int64, sum(n))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(np.array([f[0] for f in found], np.int64), n))], ["key", "id"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
@@ -142,9 +156,9 @@ def near_lines(docs: DataFrame, edits: int, shortest: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([line_id(x) for x in distinct], pa.int64()), pa.array(distinct, pa.string())], ["id", "text"])
 
     # copies of a line have met within a step; what is left of a key is its different lines
-    rows = docs.mapInArrow(probe, "key bigint, id bigint, size int")
+    rows = docs.mapInArrow(probe, "key bigint, id bigint")
     met = rows.select("*", F.min("id").over(_by_key()).alias("low"), F.max("id").over(_by_key()).alias("high")).filter("low < high")
-    buckets = store(met.select("key", "id", "size").distinct())
+    buckets = store(met.select("key", "id").distinct())
     wanted = store(buckets.select("id").distinct())
     texts = store(semi(docs.mapInArrow(read, "id bigint, text string"), wanted, ["id"]).groupBy("id").agg(F.first("text").alias("text")))
 
@@ -157,7 +171,7 @@ def near_lines(docs: DataFrame, edits: int, shortest: int) -> DataFrame:
         held = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         return held.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a bigint, b bigint, linked boolean")
 
-    return bucket_components(buckets, verified, f"abs(x.size - y.size) <= {edits}")
+    return bucket_components(buckets, texts, verified, lambda *rows: matches(*rows, edits))
 
 
 def _by_key():

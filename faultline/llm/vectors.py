@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faultline.llm.common import cut, table
-from faultline.llm.components import components
+from faultline.llm.components import components, merge, tiles
 
 #: distinct vectors for each pivot, the most pivots altogether (their table is broadcast), rows of a tile's side
 PER_PIVOT, MAX_PIVOTS, TILE = 2_000, 4_096, 2_048
@@ -84,20 +84,13 @@ def range_links(vectors: DataFrame, least: float = 0.93, per_pivot: int = PER_PI
                 i, c = np.nonzero(near)
                 take.append(at[i]), to.append(c.astype(np.int32)), own.append(np.zeros(len(i), bool))
             out = b.take(pa.array(np.concatenate(take)))
-            yield pa.RecordBatch.from_arrays([*out.columns[:4], pa.array(np.concatenate(to)), pa.array(np.concatenate(own))], [*b.schema.names[:4], "cell", "own"])
-
-    spreaded = rows.mapInArrow(spread, "g string, rep bigint, weight bigint, vec array<double>, cell int, own boolean")
-    counts = spreaded.groupBy("g", "cell").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / tile).cast("int")).select("g", "cell", "parts")
-    placed = spreaded.join(counts, ["g", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep", F.lit("part")), F.col("parts")).cast("int"))
-    seq = F.sequence(F.lit(0), F.col("parts") - 1)
-    tiles = F.concat(
-        F.transform(seq, lambda i: F.struct(i.alias("i"), F.col("part").alias("j"), (F.col("own") & (i == F.col("part"))).alias("asks"), F.lit(True).alias("answers"))),
-        F.when(F.col("own"), F.transform(F.filter(seq, lambda j: j != F.col("part")), lambda j: F.struct(F.col("part").alias("i"), j.alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("answers")))).otherwise(F.array()),
-    )
-    tiled = placed.select("g", "cell", "rep", "weight", "vec", F.inline(tiles))
+            yield pa.RecordBatch.from_arrays([*out.columns[:4], pa.array(np.concatenate(to)), pa.array(np.concatenate(own))], ["g", "id", "weight", "vec", "cell", "own"])
+
+    spreaded = rows.mapInArrow(spread, "g string, id bigint, weight bigint, vec array<double>, cell int, own boolean")
+    tiled = tiles(spreaded, ["g", "cell"], tile)
 
     def join(rows: pa.Table) -> pa.Table:
-        rep, weight = rows["rep"].to_numpy(), rows["weight"].to_numpy()
+        rep, weight = rows["id"].to_numpy(), rows["weight"].to_numpy()
         asks, answers = rows["asks"].to_numpy(zero_copy_only=False).astype(bool), np.flatnonzero(rows["answers"].to_numpy(zero_copy_only=False).astype(bool))
         m = _matrix(rows["vec"])
         root, n = np.arange(len(rep)), np.zeros(len(rep), np.int64)
@@ -108,9 +101,7 @@ def range_links(vectors: DataFrame, least: float = 0.93, per_pivot: int = PER_PI
             linked &= rep[at][:, None] != rep[answers][None, :]
             n[at] = linked @ weight[answers]
             for k in np.flatnonzero(linked.any(axis=1)):
-                ends = np.unique(root[np.append(answers[linked[k]], at[k])])
-                if len(ends) > 1:
-                    root[np.isin(root, ends)] = ends[0]
+                merge(root, at[k], answers[linked[k]])
         some = np.flatnonzero((n > 0) | (np.bincount(root, minlength=len(root))[root] > 1))
         return pa.table({"rep": rep[some], "root": rep[root[some]], "n": n[some]})
 
