@@ -117,18 +117,28 @@ def fragments(folded: str, shortest: int = 4, longest: int = 7) -> set[str]:
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
-    """Weighted logistic regression with a constant, by Newton steps."""
-    x = np.column_stack([np.ones(len(x)), x])
-    beta = np.zeros(x.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        g = x.T @ (weight * (y - p)) - ridge * beta
-        h = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(beta))
-        step = np.linalg.solve(h, g)
-        beta += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-9:
-            break
-    return tuple(map(float, beta))
+    """Weighted logistic regression with a constant, by Newton steps; no feature may lower the score.
+
+    Of the subsets of features whose coefficients all come out positive the likeliest is taken, the others count zero.
+    """
+    best, least = np.zeros(1 + x.shape[1]), math.inf
+    for chosen in range(1 << x.shape[1]):
+        use = [0, *(k + 1 for k in range(x.shape[1]) if chosen >> k & 1)]
+        a = np.column_stack([np.ones(len(x)), x])[:, use]
+        beta = np.zeros(len(use))
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
+            h = (a * (weight * p * (1 - p) + 1e-9)[:, None]).T @ a + ridge * np.eye(len(beta))
+            step = np.clip(np.linalg.solve(h, a.T @ (weight * (y - p)) - ridge * beta), -5, 5)
+            beta += step
+            if np.abs(step).max() < 1e-9:
+                break
+        z = np.clip(a @ beta, -30, 30)
+        loss = float((weight * (np.log1p(np.exp(z)) - y * z)).sum() + ridge / 2 * (beta @ beta))
+        if (beta[1:] >= 0).all() and loss < least:
+            least, best = loss, np.zeros(1 + x.shape[1])
+            best[use] = beta
+    return tuple(map(float, best))
 
 
 def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", docs_per_class: int = 4_000, entries: int = 400, support: int = 4, share: float = 0.01, least_weight: float = 2.5, exceptions: tuple[str, ...] = ()) -> Lexicon:
