@@ -229,17 +229,21 @@ def redact_spans(text: Column, spans: Column, policy: str = "mask") -> Column:
     return F.aggregate(ordered, text, lambda t, s: F.overlay(t, cover(s), s["start"] + 1, F.length(s["value"])))
 
 
-def mask_value(value: Column, strategy: str = "mask") -> Column:
-    """Redaction of a whole value (tags are assumed). Masked e-mails keep the domain, masked numbers the last four digits."""
+def mask_value(value: Column, strategy: str = "mask", partial: bool = False) -> Column:
+    """Redaction of a whole value; ``partial`` keeps its first two characters.
+
+    Masked e-mails keep the domain, masked numbers the last four digits. The tags and lengths are fixed values.
+    """
     n = F.length(value)
+    head, rest = F.substring(value, 1, 2), F.substring(value, 3, 1 << 30)
     if strategy == "hash":
-        return F.concat(F.lit("HASH_"), F.substring(F.sha2(value, 256), 1, 16))
+        return F.concat(head, F.substring(F.md5(rest), 1, 8)) if partial else F.substring(F.sha2(value, 256), 1, 16)
     if strategy == "pseudonymize":
-        return F.concat(F.lit("PSEUDO_"), F.substring(F.md5(value), 1, 8))
+        return F.concat(F.lit("PSEUDO_"), head, F.lit("_"), F.substring(F.sha1(rest), 1, 6)) if partial else F.concat(F.lit("PSEUDO_"), F.substring(F.sha1(value), 1, 12))
     if strategy == "anonymize":
-        return F.lit("[ANONYMIZED]")
+        return F.concat(F.lit("ANON_"), head, F.lit("_"), F.substring(F.md5(rest), 1, 4)) if partial else F.concat(F.lit("ANON_"), F.substring(F.md5(value), 1, 8))
     if strategy == "encrypt":
-        return F.concat(F.lit("[ENCRYPTED:"), F.substring(F.sha2(value, 256), 1, 16), F.lit("]"))
+        return F.lit("[ENCRYPTED_PARTIAL]" if partial else "[ENCRYPTED_FULL]")
     return (F.when(value.contains("@"), F.concat(F.repeat(F.lit("*"), F.length(F.substring_index(value, "@", 1))), F.lit("@"),
                                                 F.substring_index(value, "@", -1)))
             .when(value.rlike(r"^[\d\s()+\-]{7,}$"), F.concat(F.repeat(F.lit("*"), F.greatest(n - 4, F.lit(0))), F.right(value, F.lit(4))))

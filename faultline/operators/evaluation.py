@@ -61,8 +61,8 @@ def _pos_neg(label: str) -> dict[str, Column]:
 def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Tie-aware area under the ROC curve: the Mann-Whitney statistic over distinct scores."""
     r = ranked_counts(df, score, _pos_neg(label), by)
-    u = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))
-    return r.groupBy(*by).agg(F.coalesce(u / F.nullif(F.max("pos_all") * F.max("neg_all"), F.lit(0)), F.lit(0.5)).alias("auc"))
+    u = F.sum(F.col("pos").cast("double") * (F.col("neg_below") + F.col("neg") / 2))
+    return r.groupBy(*by).agg(F.coalesce(u / F.nullif(F.max("pos_all").cast("double") * F.max("neg_all"), F.lit(0.0)), F.lit(0.5)).alias("auc"))
 
 
 def curve_points(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -119,10 +119,15 @@ def threshold_by_cost(sweep: DataFrame, max_fpr: float = 0.05, min_recall: float
     return best.select(F.when(F.col("found"), "optimal_found").otherwise("best_compromise").alias("status"), F.when(F.col("found"), F.col("a")).otherwise(F.col("b")).alias("r")).select("status", "r.*")
 
 
-def cost_benefit(chosen: DataFrame, attacks: float = 10.0, loss: float = 10000.0, system_cost: float = 20000.0) -> DataFrame:
-    """Yearly benefit, cost, return and break-even number of attacks of a chosen threshold row."""
-    return chosen.withColumns({"benefit": F.col("recall") * attacks * loss, "cost": F.lit(system_cost) + F.col("fpr") * 365 * 100}).withColumns({
-        "roi": (F.col("benefit") - F.col("cost")) / F.col("cost"), "break_even_attacks": F.col("cost") / F.nullif(F.col("recall") * loss, F.lit(0.0))})
+def cost_benefit(chosen: DataFrame, attacks: float = 50.0, loss: float = 25_000.0, system_cost: float = 50_000.0, fp_cost: float = 100.0) -> DataFrame:
+    """Yearly benefit and cost of a chosen threshold row, the return in percent, the attack cost that breaks even, and
+    the return with twice and half the attacks or twice the cost of one."""
+    out = chosen.withColumns({"prevented": F.col("recall") * attacks, "cost": F.lit(system_cost) + F.col("fpr") * 365 * fp_cost}).withColumn("benefit", F.col("prevented") * loss)
+    back = lambda times: (times * F.col("benefit") - F.col("cost")) / F.col("cost") * 100
+    return out.withColumns({
+        "net_benefit": F.col("benefit") - F.col("cost"), "roi_percent": back(1.0), "break_even_attack_cost": F.col("cost") / F.greatest("prevented", F.lit(1.0)),
+        "roi_double_attacks": back(2.0), "roi_half_attacks": back(0.5), "roi_double_attack_cost": back(2.0)}).withColumns({
+        "financially_justified": F.col("roi_percent") > 200, "risk": F.when(F.col("roi_percent") > 500, "low").when(F.col("roi_percent") > 200, "medium").otherwise("high")})
 
 
 def score_gap(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -156,8 +161,8 @@ def compare_scores(pairs: DataFrame, a: str, b: str) -> DataFrame:
                      F.var_samp(a).alias("sa"), F.var_samp(b).alias("sb"))
     both = pairs.select(F.inline(F.array(F.struct(F.col(a).alias("score"), F.lit(True).alias("is_a")), F.struct(F.col(b).alias("score"), F.lit(False).alias("is_a")))))
     r = ranked_counts(both, "score", {"x": F.col("is_a"), "y": ~F.col("is_a")})
-    u = r.agg(F.sum(F.col("x") * (F.col("y_below") + F.col("y") / 2)).alias("u"),
-              F.sum(F.col("x") * F.col("y_below")).alias("more"), F.sum(F.col("x") * (F.col("y_all") - F.col("y_below") - F.col("y"))).alias("less"))
+    u = r.agg(F.sum(F.col("x").cast("double") * (F.col("y_below") + F.col("y") / 2)).alias("u"),
+              F.sum(F.col("x").cast("double") * F.col("y_below")).alias("more"), F.sum(F.col("x").cast("double") * (F.col("y_all") - F.col("y_below") - F.col("y"))).alias("less"))
     diff = pairs.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0").select(F.abs("d").alias("score"), (F.col("d") > 0).alias("up"))
     q = ranked_counts(diff, "score", {"p": F.col("up"), "m": ~F.col("up")})
     rank = F.col("p_below") + F.col("m_below") + (F.col("p") + F.col("m") + 1) / 2

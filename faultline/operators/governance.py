@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def latest_consent(log: DataFrame, as_of: int, subject: str = "subject", policy: str = "policy") -> DataFrame:
-    """Latest consent per subject and policy by ``granted_at``: withdrawn wins, expired becomes unknown."""
-    last = log.groupBy(subject, policy).agg(F.max(F.struct("granted_at", "status", "expires_at")).alias("c"))
+    """Latest consent per subject and policy by ``granted_at`` among those granted up to ``as_of``: withdrawn wins, expired becomes unknown."""
+    last = log.where(F.col("granted_at") <= as_of).groupBy(subject, policy).agg(F.max(F.struct("granted_at", "status", "expires_at")).alias("c"))
     state = F.when(F.col("c.status") == "withdrawn", "withdrawn").when(F.col("c.expires_at") < as_of, "unknown").otherwise(F.col("c.status"))
     return last.select(subject, policy, state.alias("consent"))
 

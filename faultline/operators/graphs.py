@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -144,13 +145,18 @@ def nodes_of(edges: DataFrame) -> DataFrame:
 
 
 def degree_stats(edges: DataFrame) -> DataFrame:
-    """Degrees, role and bottleneck flag (total degree above mean + 2 sd) per node."""
-    both = edges.select(F.inline(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))))
+    """Degrees, role, bottleneck flag (in-degree above mean + 2 sd) and flow score of each node; edges count once.
+
+    A node is a source or sink if the larger of its two degrees is above 2.
+    """
+    one = edges.select("src", "dst").distinct()
+    both = one.select(F.inline(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))))
     d = both.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree")).withColumn("degree", F.col("in_degree") + F.col("out_degree"))
-    s = d.agg(F.avg("degree").alias("_m"), F.stddev_pop("degree").alias("_s"))
-    return d.crossJoin(F.broadcast(s)).withColumns({  # one row
-        "role": F.expr("CASE WHEN in_degree = 0 THEN 'source' WHEN out_degree = 0 THEN 'sink' ELSE 'inner' END"),
-        "bottleneck": F.expr("degree > _m + 2 * _s"), "flow": F.expr("least(in_degree, out_degree) / greatest(greatest(in_degree, out_degree), 1)")}).drop("_m", "_s")
+    s = d.agg(F.avg("in_degree").alias("_m"), F.stddev_pop("in_degree").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    out = d.crossJoin(F.broadcast(s)).withColumns({  # one row
+        "role": F.expr("CASE WHEN out_degree > in_degree AND out_degree > 2 THEN 'source' WHEN in_degree > out_degree AND in_degree > 2 THEN 'sink' ELSE 'inner' END"),
+        "bottleneck": F.expr("in_degree > _m + 2 * _s")})
+    return out.withColumn("flow", F.expr("0.4D * degree / (2 * _n) + CASE WHEN bottleneck THEN 0.6D ELSE 0D END + CASE WHEN role <> 'inner' THEN 0.3D ELSE 0D END")).drop("_m", "_s", "_n")
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -177,11 +183,11 @@ def triangles(edges: DataFrame) -> DataFrame:
         "clustering", F.expr("CASE WHEN degree > 1 THEN 2 * triangles / (CAST(degree AS DOUBLE) * (degree - 1)) ELSE 0D END"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component = smallest id), by alternating large-star and small-star steps (log rounds)."""
     e = cut_lineage(undirected(edges).select(F.col("b").alias("u"), F.col("a").alias("v")))
     mark = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -197,11 +203,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return roots.select("id", F.coalesce("component", "id").alias("component"))
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """(id, component): forward colouring by the smallest id, then backward reach within a colour."""
     e = cut_lineage(edges.where("src <> dst").select("src", "dst").distinct())
     left, done = cut_lineage(nodes_of(edges)), None
-    for _ in range(max_rounds):
+    while True:
         color = left.withColumn("c", F.col("id"))
         color = _spread_min(color, e, forward=True)
         inner = e.join(color.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(color.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd")
@@ -217,21 +223,23 @@ def strong_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     return done
 
 
-def _spread_min(values: DataFrame, edges: DataFrame, forward: bool, max_rounds: int = 1000) -> DataFrame:
+def _spread_min(values: DataFrame, edges: DataFrame, forward: bool) -> DataFrame:
     """Smallest value ``c`` among a node and all nodes that reach it (or that it reaches)."""
     a, b = ("src", "dst") if forward else ("dst", "src")
     cur = cut_lineage(values.select("id", "c"))
-    for _ in range(max_rounds):
+    while True:
         msg = edges.join(cur, edges[a] == cur["id"]).groupBy(F.col(b).alias("id")).agg(F.min("c").alias("n"))
         new = cut_lineage(cur.join(msg, "id", "left").select("id", F.least("c", "n").alias("c"), (F.col("n") < F.col("c")).alias("changed")))
         cur = new.select("id", "c")
         if new.where("changed").isEmpty():
             return cur
-    return cur
 
 
-def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> DataFrame:
-    """(id, rank), ranks sum to 1; the mass of nodes without outgoing edges is shared evenly."""
+def pagerank(edges: DataFrame, tolerance: float = 1e-6, iterations: int = 100, damping: float = 0.85) -> DataFrame:
+    """(id, rank), ranks sum to 1; the mass of nodes without outgoing edges is shared evenly.
+
+    Ends when the ranks change by at most ``tolerance`` a node on average; not getting there in ``iterations`` rounds is an error.
+    """
     w = edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")) if "weight" in edges.columns else edges.select("src", "dst").distinct().withColumn("w", F.lit(1.0))
     total = w.groupBy("src").agg(F.sum("w").alias("t"))
     share = cut_lineage(w.join(total, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("s")))
@@ -241,25 +249,30 @@ def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> D
     for _ in range(iterations):
         got = share.join(rank.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("s") * F.col("rank")).alias("g"))
         lost = rank.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
-        rank = rank.drop("rank").join(got, "id", "left").crossJoin(F.broadcast(lost)).select(  # one row
-            "id", "dangling", ((1 - damping) / n + damping * (F.coalesce("g", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
+        rank = rank.withColumnRenamed("rank", "was").join(got, "id", "left").crossJoin(F.broadcast(lost)).select(  # one row
+            "id", "dangling", "was", ((1 - damping) / n + damping * (F.coalesce("g", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
         rank = cut_lineage(rank)  # read three times in the next round
-    return rank.select("id", "rank")
+        if (rank.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0) <= tolerance * n:
+            return rank.select("id", "rank")
+        rank = rank.drop("was")
+    raise ArithmeticError(f"ranks still change by more than {tolerance} after {iterations} rounds")
 
 
-def eigenvector(edges: DataFrame, iterations: int = 20) -> DataFrame:
-    """(id, centrality): power iteration x <- (A' + I) x, scaled to unit length."""
+def eigenvector(edges: DataFrame, tolerance: float = 1e-6, iterations: int = 100) -> DataFrame:
+    """(id, centrality): power iteration x <- (A' + I) x, scaled to unit length; ends as `pagerank` does."""
     e = cut_lineage(edges.select("src", "dst").distinct())
     nodes = cut_lineage(nodes_of(edges))
     n = nodes.count()
     x = nodes.withColumn("x", F.lit(1.0 / n))
     for _ in range(iterations):
         got = e.join(x.select(F.col("id").alias("src"), "x"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("x").alias("g"))
-        y = x.join(got, "id", "left").select("id", (F.col("x") + F.coalesce("g", F.lit(0.0))).alias("y"))
+        y = x.join(got, "id", "left").select("id", "x", (F.col("x") + F.coalesce("g", F.lit(0.0))).alias("y"))
         norm = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"))
-        x = y.crossJoin(F.broadcast(norm)).select("id", (F.col("y") / F.col("norm")).alias("x"))  # one row
-        x = cut_lineage(x)
-    return x.withColumnRenamed("x", "centrality")
+        x = cut_lineage(y.crossJoin(F.broadcast(norm)).select("id", F.col("x").alias("was"), (F.col("y") / F.col("norm")).alias("x")))  # one row
+        if (x.agg(F.sum(F.abs(F.col("x") - F.col("was")))).first()[0] or 0.0) <= tolerance * n:
+            return x.select("id", F.col("x").alias("centrality"))
+        x = x.drop("was")
+    raise ArithmeticError(f"centralities still change by more than {tolerance} after {iterations} rounds")
 
 
 def pivots(edges: DataFrame, count: int = 100, seed: int = 42) -> DataFrame:
@@ -267,7 +280,7 @@ def pivots(edges: DataFrame, count: int = 100, seed: int = 42) -> DataFrame:
     return nodes_of(edges).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(count)
 
 
-def sampled_paths(edges: DataFrame, sources: DataFrame, max_depth: int = 1000) -> tuple[DataFrame, DataFrame]:
+def sampled_paths(edges: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Betweenness and closeness from breadth-first search out of the pivot nodes.
 
     One row per (pivot, reached node): distance and number of shortest paths. Dependencies are
@@ -276,7 +289,7 @@ def sampled_paths(edges: DataFrame, sources: DataFrame, max_depth: int = 1000) -
     e = cut_lineage(edges.where("src <> dst").select("src", "dst").distinct())
     level = cut_lineage(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("paths")))
     seen, levels = level, [level]
-    for d in range(1, max_depth + 1):
+    for d in count(1):
         nxt = levels[-1].join(e, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
         nxt = cut_lineage(nxt.join(seen, ["s", "v"], "left_anti").select("s", "v", F.lit(d).alias("d"), "paths"))
         if nxt.isEmpty():
@@ -330,20 +343,29 @@ def structure_metrics(edges: DataFrame) -> DataFrame:
     return part.crossJoin(F.broadcast(e)).crossJoin(F.broadcast(c)).withColumn("density", F.expr("edges / (CAST(nodes AS DOUBLE) * (nodes - 1))"))  # one row each
 
 
-def robustness(edges: DataFrame) -> DataFrame:
-    """Percolation threshold from degree moments, attack surface (centralisation) and a recovery estimate."""
+def robustness(edges: DataFrame, betweenness: DataFrame | None = None) -> DataFrame:
+    """Percolation threshold from degree moments, attack surface and recovery time.
+
+    The attack surface is the mean of three terms: degree centralisation, missing clustering, and the centralisation of
+    ``betweenness`` (id, betweenness), which counts 0.5 where it is not given.
+    """
     s = triangles(edges).agg(F.count(F.lit(1)).alias("n"), F.avg("degree").alias("k1"), F.avg(F.pow("degree", 2)).alias("k2"), F.max("degree").alias("kmax"), F.avg("clustering").alias("clustering"))
+    if betweenness is None:
+        s = s.withColumn("central", F.lit(0.5))
+    else:
+        b = betweenness.agg(F.max("betweenness").alias("bmax"), F.sum("betweenness").alias("bsum"))
+        s = s.crossJoin(F.broadcast(b)).withColumn("central", F.expr("CASE WHEN bsum > 0 THEN least(1D, bmax / (bsum / n) / 10) ELSE 0.1D END"))  # one row
     return s.select("n", F.expr("CASE WHEN k2 / k1 > 2 THEN 1 - 1 / (k2 / k1 - 1) ELSE 0D END").alias("percolation_threshold"),
-                    F.expr("(n * kmax - n * k1) / ((n - 1D) * (n - 2))").alias("attack_surface"), F.expr("least(1D, k1 / 10 + clustering / 2)").alias("recovery"))
+                    F.expr("(least(1D, kmax / k1 / 10) + 1 - clustering + central) / 3").alias("attack_surface"), F.expr("ln(n + 1) / (1 + k1 / 10) * (1 - clustering / 2)").alias("recovery"))
 
 
-def cascade_spread(edges: DataFrame, seeds: DataFrame, threshold: float = 0.3, max_rounds: int = 100) -> DataFrame:
+def cascade_spread(edges: DataFrame, seeds: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Nodes failing when the failed share of their neighbours reaches the threshold, with the round."""
     u = undirected(edges)
     both = cut_lineage(u.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(u.select(F.col("b").alias("x"), F.col("a").alias("y"))))
     deg = cut_lineage(both.groupBy("x").agg(F.count(F.lit(1)).alias("k")))
     failed = cut_lineage(seeds.select("id", F.lit(0).alias("round")))
-    for i in range(1, max_rounds + 1):
+    for i in count(1):
         hit = both.join(failed.select(F.col("id").alias("y")), "y").groupBy("x").agg(F.count(F.lit(1)).alias("f"))
         new = hit.join(deg, "x").where(F.col("f") / F.col("k") >= threshold).select(F.col("x").alias("id")).join(failed, "id", "left_anti")
         new = cut_lineage(new.withColumn("round", F.lit(i)))
@@ -389,10 +411,10 @@ def k_hop(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     return edges.join(reach.select(F.col("id").alias("src")), "src", "left_semi").join(reach.select(F.col("id").alias("dst")), "dst", "left_semi")
 
 
-def trace_paths(edges: DataFrame, starts: DataFrame, strength: str = "weight", hops: int = 15, direction: str = "backward") -> DataFrame:
-    """Path of each start along the strongest edge, at most ``hops`` long."""
+def trace_paths(edges: DataFrame, starts: DataFrame, strength: str = "weight", hops: int = 15, direction: str = "backward", least: float = 0.3) -> DataFrame:
+    """Path of each start along the strongest edge, at most ``hops`` long; edges below ``least`` are not followed."""
     here, there = ("dst", "src") if direction == "backward" else ("src", "dst")
-    best = edges.groupBy(F.col(here).alias("at")).agg(F.min(F.struct((-F.col(strength)).alias("o"), F.col(there).alias("to"))).alias("m")).select("at", F.col("m.to").alias("to"))
+    best = edges.where(F.col(strength) >= least).groupBy(F.col(here).alias("at")).agg(F.min(F.struct((-F.col(strength)).alias("o"), F.col(there).alias("to"))).alias("m")).select("at", F.col("m.to").alias("to"))
     best = cut_lineage(best)
     cur = starts.select("id", F.col("id").alias("at"), F.array("id").alias("path"))
     for i in range(hops):

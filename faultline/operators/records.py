@@ -190,13 +190,15 @@ def correlation_id(*candidates: str) -> Column:
 
 
 def time_features(df: DataFrame) -> DataFrame:
-    """The eleven columns of the classical detectors' feature row."""
+    """The eleven columns of the classical detectors' feature row, after the id.
+
+    Flags that the record lacks are derived: a cold start is an init phase, an error an error phase; without a
+    ``source`` column no record is of the primary source.
+    """
     sec = "ts_us / 1000000"
+    flag = lambda name, phase: F.coalesce(F.col(name).cast("int"), F.lit(0)) if name in df.columns else (F.col("execution_phase") == phase).cast("int")
+    primary = (F.upper("source") == "PRIMARY").cast("int") if "source" in df.columns else F.lit(0)
     return df.select(
-        "event_id", "duration", F.expr("memory_spike_kb / 1024").alias("memory_mb"), "cpu_utilization", "network_io_bytes",
-        F.expr(f"({sec} % 86400) / 3600").alias("hour_of_day"), F.expr(f"floor({sec} / 86400) % 7").alias("day_of_week"),
-        F.expr("CAST(execution_phase = 'init' AS INT)").alias("is_cold_start"),
-        F.expr("CAST(execution_phase = 'error' AS INT)").alias("is_error"),
-        F.expr("CAST(execution_phase = 'timeout' AS INT)").alias("is_timeout"),
-        F.expr("CAST(execution_phase = 'shutdown' AS INT)").alias("is_shutdown"),
-        F.expr("memory_spike_kb / 1024 / greatest(duration, 0.001D)").alias("memory_rate"))
+        "event_id", "duration", "memory_spike_kb", "cpu_utilization", "network_io_bytes", flag("is_cold_start", "init").alias("is_cold_start"), flag("error_occurred", "error").alias("error_occurred"),
+        F.expr(f"({sec} % 86400) / 3600").alias("hour_of_day"), F.expr(f"floor({sec} / 86400) % 7").alias("day_of_week"), F.expr("memory_spike_kb / 1024").alias("memory_mb"),
+        (F.upper("execution_phase") == "INVOKE").cast("int").alias("execution_phase_invoke"), primary.alias("source_primary"))

@@ -127,18 +127,31 @@ def merkle_roots(leaves: DataFrame, batch: str, position: str, digest: str) -> D
 
 
 def merkle_proofs(leaves: DataFrame, batch: str, position: str, digest: str) -> DataFrame:
-    """Siblings of each leaf within its run of 256, bottom up, with the run's root.
+    """Siblings of each leaf, bottom up, and the root of its batch, for batches of any size.
 
-    Proofs of larger batches continue with the proofs of the run roots, by the same function.
+    Runs of 256 nodes are folded eight levels at a time, as in `merkle_roots`. A leaf's proof is its path in its run
+    followed by the path of the run's root one step up: log256(n) joins on (batch, run).
     """
-    runs = leaves.groupBy(batch, F.expr(f"{position} DIV {FAN}").alias("run")).agg(F.transform(F.array_sort(F.collect_list(F.struct(position, digest))), lambda x: x[digest]).alias("l0"))
-    for k in range(8):
-        runs = runs.withColumn(f"l{k + 1}", F.when(F.size(f"l{k}") > 1, F.expr(_LEVEL.format(f"l{k}"))).otherwise(F.col(f"l{k}")))
-    at = lambda k: f"(i DIV {2 ** k})"
-    steps = [F.expr(f"""CASE WHEN size(l{k}) > 1 THEN named_struct('sibling', coalesce(get(l{k}, CAST({at(k)} + 1 - 2 * ({at(k)} % 2) AS INT)), l{k}[{at(k)}]),
-        'direction', CASE WHEN {at(k)} % 2 = 0 THEN 'right' ELSE 'left' END) END""") for k in range(8)]
-    out = runs.select(batch, "run", F.col("l8")[0].alias("root"), F.posexplode("l0").alias("i", "leaf"), *[f"l{k}" for k in range(8)])
-    return out.select(batch, (F.col("run") * FAN + F.col("i")).alias(position), "leaf", "root", F.array_compact(F.array(*steps)).alias("proof"))
+    sizes = leaves.groupBy(batch).agg((F.max(position) + 1).alias("_n"))
+    largest = sizes.agg(F.max("_n")).first()[0] or 0  # one number, to know the number of rounds
+    nodes = leaves.select(batch, F.col(position).alias("_i"), F.col(digest).alias("_h")).join(sizes, batch)
+    out = leaves.select(batch, position, F.col(digest).alias("leaf"), F.col(position).alias("_at"), F.array().cast("array<struct<sibling:string,direction:string>>").alias("proof"))
+    while True:
+        runs = nodes.groupBy(batch, "_n", F.expr(f"_i DIV {FAN}").alias("_b")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_h"))), lambda x: x["_h"]).alias("l0"))
+        left = F.col("_n")
+        for k in range(8):
+            runs = runs.withColumn(f"n{k}", left).withColumn(f"l{k + 1}", F.when(left > 1, F.expr(_LEVEL.format(f"l{k}"))).otherwise(F.col(f"l{k}"))).withColumn("_n", F.ceil(left / 2))
+        at = lambda k: f"(i DIV {2 ** k})"
+        steps = [F.expr(f"""CASE WHEN n{k} > 1 THEN named_struct('sibling', coalesce(get(l{k}, CAST({at(k)} + 1 - 2 * ({at(k)} % 2) AS INT)), l{k}[{at(k)}]),
+            'direction', CASE WHEN {at(k)} % 2 = 0 THEN 'right' ELSE 'left' END) END""") for k in range(8)]
+        wide = runs.select(batch, "_b", "_n", F.col("l8")[0].alias("_h"), F.posexplode("l0").alias("i", "_own"), *[f"l{k}" for k in range(8)], *[f"n{k}" for k in range(8)])
+        paths = wide.select(batch, (F.col("_b") * FAN + F.col("i")).alias("_at"), "_b", F.array_compact(F.array(*steps)).alias("_path"), F.col("_h").alias("root"))
+        out = out.join(paths, [batch, "_at"]).select(batch, position, "leaf", F.col("_b").alias("_at"), F.concat("proof", "_path").alias("proof"), "root")
+        largest = -(-largest // FAN)
+        if largest <= 1:
+            return out.select(batch, position, "leaf", "root", "proof")
+        out = out.drop("root")
+        nodes = runs.select(batch, F.col("_b").alias("_i"), F.col("l8")[0].alias("_h"), "_n")
 
 
 def verify_proof(leaf: Column, proof: Column, root: Column) -> Column:

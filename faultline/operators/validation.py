@@ -147,10 +147,10 @@ def completeness(df: DataFrame, fields: Iterable[str] = COMPLETENESS_FIELDS) ->
     return df.withColumn("missing_fields", miss).withColumn("completeness", 1 - F.size("missing_fields") / F.lit(float(len(fields))))
 
 
-# assumed values: suspicious content
+# fixed values: suspicious content
 SUSPICIOUS = {
-    "script": r"(?i)<script[^>]*>", "javascript": r"(?i)javascript:", "handler": r"(?i)on\w+\s*=",
-    "sql": r"(?i)union\s+select|drop\s+table", "traversal": r"\.\./",
+    "script": r"(?i)<script[^>]*>", "javascript": "(?i)javascript:", "vbscript": "(?i)vbscript:", "data_html": "(?i)data:text/html", "eval": r"(?i)eval\s*\(",
+    "exec": r"(?i)exec\s*\(", "import_os": r"(?i)import\s+os", "dynamic_import": "(?i)__import__", "subprocess": "(?i)subprocess", "shell": "(?i)shell=true",
 }
 
 
@@ -165,8 +165,7 @@ def payload_safety(df: DataFrame, column: str, max_length: int = 10_000, truncat
     for p in SUSPICIOUS.values():
         clean = F.regexp_replace(clean, p, "[REMOVED]")
     return df.withColumns({"issues": _errors(issues), "clean": clean}).withColumn(
-        "risk_level", F.expr("CASE WHEN size(issues) = 0 THEN 'none' WHEN array_contains(issues, 'script') OR array_contains(issues, 'sql') THEN 'high'"
-                             " WHEN size(issues) > 1 THEN 'medium' ELSE 'low' END"))
+        "severity", F.expr("CASE WHEN size(array_remove(issues, 'too_long')) > 0 THEN 'critical' WHEN size(issues) > 0 THEN 'warning' ELSE 'none' END"))
 
 
 def filter_detections(df: DataFrame, *, severity=None, anomaly_type=None, function=None, since=None, until=None, technique=None,

@@ -23,13 +23,13 @@ def query(sql: str | None):
 
 
 _SC = f"""WITH {TEL}, s AS (SELECT event_id, function_id, anomaly_type, anomaly_type <> 'benign' AS label,
-  round(CAST(least(1, duration / 40 + cpu_utilization / 400 + CASE WHEN execution_phase = 'error' THEN 0.3 ELSE 0 END + CASE WHEN anomaly_type = 'memory_spike' THEN 0.1 ELSE 0 END)::VARCHAR AS DECIMAL(24, 18)), 3)::DOUBLE AS score FROM tel)
+  round(least(1, duration / 40 + cpu_utilization / 400 + CASE WHEN execution_phase = 'error' THEN 0.3 ELSE 0 END + CASE WHEN anomaly_type = 'memory_spike' THEN 0.1 ELSE 0 END) + 1e-9, 3)::DOUBLE AS score FROM tel)
 """
 
 
 def _scores(spark, sf_dir):
     score = F.expr("""least(1D, duration / 40 + cpu_utilization / 400 + CASE WHEN execution_phase = 'error' THEN 0.3D ELSE 0D END + CASE WHEN anomaly_type = 'memory_spike' THEN 0.1D ELSE 0D END)""")
-    return telemetry(spark, sf_dir).select("event_id", "function_id", "anomaly_type", (F.col("anomaly_type") != "benign").alias("label"), F.round(score, 3).alias("score"))
+    return telemetry(spark, sf_dir).select("event_id", "function_id", "anomaly_type", (F.col("anomaly_type") != "benign").alias("label"), F.round(score + 1e-9, 3).alias("score"))
 
 
 _CM = """count(*) FILTER (WHERE label AND {p}) AS tp, count(*) FILTER (WHERE NOT label AND {p}) AS fp, count(*) FILTER (WHERE label AND NOT {p}) AS fn, count(*) FILTER (WHERE NOT label AND NOT {p}) AS tn"""
@@ -105,11 +105,12 @@ def threshold_by_cost(spark, sf_dir):
     return out.select("status", "threshold", r("f1").alias("f1"), r("daily_cost", 4).alias("daily_cost"))
 
 
-@query(_BC + "SELECT threshold, round(rc * 100000, 4) AS benefit, round(20000 + fpr * 36500, 4) AS cost, round((rc * 100000 - 20000 - fpr * 36500) / (20000 + fpr * 36500), 6) AS roi, round((20000 + fpr * 36500) / nullif(rc * 10000, 0), 6) AS break_even_attacks FROM z")
+@query(_BC + """, b AS (SELECT threshold, rc * 50 AS prevented, rc * 50 * 25000 AS benefit, 50000 + fpr * 36500 AS cost FROM z)
+SELECT threshold, round(benefit, 4) AS benefit, round(cost, 4) AS cost, round((benefit - cost) / cost * 100, 6) AS roi_percent, round(cost / greatest(prevented, 1), 6) AS break_even_attack_cost, round((0.5 * benefit - cost) / cost * 100, 6) AS roi_half_attacks,
+  CASE WHEN (benefit - cost) / cost > 5 THEN 'low' WHEN (benefit - cost) / cost > 2 THEN 'medium' ELSE 'high' END AS risk FROM b""")
 def cost_benefit(spark, sf_dir):
     chosen = V.threshold_by_cost(V.threshold_sweep(_scores(spark, sf_dir), "label", "score", V.sweep_thresholds()))
-    out = V.cost_benefit(chosen)
-    return out.select("threshold", r("benefit", 4).alias("benefit"), r("cost", 4).alias("cost"), r("roi").alias("roi"), r("break_even_attacks").alias("break_even_attacks"))
+    return V.cost_benefit(chosen).select("threshold", r("benefit", 4).alias("benefit"), r("cost", 4).alias("cost"), *[r(c).alias(c) for c in ("roi_percent", "break_even_attack_cost", "roi_half_attacks")], "risk")
 
 
 @query(_SC + """SELECT count(*) FILTER (WHERE NOT label) AS benign_n, round(avg(score) FILTER (WHERE NOT label), 6) AS benign_mean, count(*) FILTER (WHERE label) AS anomaly_n, round(avg(score) FILTER (WHERE label), 6) AS anomaly_mean,

@@ -59,7 +59,7 @@ def evolve_schema(spark, sf_dir):
     return out.select("key", "kind", "records", "action")
 
 
-@query("""WITH c AS (SELECT o_custkey, arg_max(CASE o_orderpriority WHEN '1-URGENT' THEN 'withdrawn' WHEN '2-HIGH' THEN 'denied' ELSE 'granted' END, (o_orderdate, CASE o_orderpriority WHEN '1-URGENT' THEN 'withdrawn' WHEN '2-HIGH' THEN 'denied' ELSE 'granted' END)) AS s, max(o_orderdate) AS d FROM orders GROUP BY 1),
+@query("""WITH c AS (SELECT o_custkey, arg_max(CASE o_orderpriority WHEN '1-URGENT' THEN 'withdrawn' WHEN '2-HIGH' THEN 'denied' ELSE 'granted' END, (o_orderdate, CASE o_orderpriority WHEN '1-URGENT' THEN 'withdrawn' WHEN '2-HIGH' THEN 'denied' ELSE 'granted' END)) AS s, max(o_orderdate) AS d FROM orders WHERE epoch_us(o_orderdate) <= 900000000000000 GROUP BY 1),
 e AS (SELECT c_custkey, c_name, CASE WHEN s = 'withdrawn' THEN s WHEN epoch_us(d) + 31536000000000 < 900000000000000 THEN 'unknown' ELSE coalesce(s, 'unknown') END AS consent FROM customer LEFT JOIN c ON o_custkey = c_custkey)
 SELECT c_custkey AS subject, consent, consent <> 'granted' AS violation, CASE WHEN consent <> 'granted' THEN c_name ELSE '[REDACTED]' END AS c_name FROM e""")
 def apply_consent(spark, sf_dir):

@@ -51,9 +51,9 @@ def _events_graph(spark, sf_dir):
     return G.recent_edges(telemetry(spark, sf_dir), "function_id")
 
 
-@query("WITH " + _LAST5 + "SELECT src, dst, type, round(weight, 6) AS weight FROM ed")
+@query("WITH " + _LAST5 + "SELECT src, dst, type, round(weight + 1e-9, 6) AS weight FROM ed")
 def recent_edges(spark, sf_dir):
-    return _events_graph(spark, sf_dir).withColumn("weight", r("weight"))
+    return _events_graph(spark, sf_dir).withColumn("weight", r(F.col("weight") + 1e-9))  # away from ties
 
 
 @query(_PAIRS.replace("{w}", "600000000").replace("row_number() OVER (PARTITION BY function_id ORDER BY ts_us, event_id) AS rn", "row_number() OVER w AS rn, coalesce((ts_us - lag(ts_us) OVER w) / 1e6, 0) AS arr").replace("AS rn, coalesce((ts_us - lag(ts_us) OVER w) / 1e6, 0) AS arr FROM tel", "AS rn, coalesce((ts_us - lag(ts_us) OVER w) / 1e6, 0) AS arr FROM tel WINDOW w AS (PARTITION BY function_id ORDER BY ts_us, event_id)").replace("a.ts_us AS ats", "a.arr AS aa, b.arr AS ba, a.ts_us AS ats") + """,
@@ -114,10 +114,11 @@ def _actors(spark, sf_dir):
     return p.where("prev_user_id IS NOT NULL").groupBy(F.col("prev_user_id").alias("src"), F.col("user_id").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-@query("WITH " + _ACT + """, d AS (SELECT id, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT src AS id, 0 AS i, 1 AS o FROM g UNION ALL SELECT dst, 1, 0 FROM g) GROUP BY 1), s AS (SELECT avg(in_degree + out_degree) AS m, stddev_pop(in_degree + out_degree) AS sd FROM d)
-SELECT id, in_degree, out_degree, in_degree + out_degree > m + 2 * sd AS bottleneck, round(least(in_degree, out_degree) / greatest(greatest(in_degree, out_degree), 1), 6) AS flow FROM d, s""")
+@query("WITH " + _ACT + """, d AS (SELECT id, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT src AS id, 0 AS i, 1 AS o FROM g UNION ALL SELECT dst, 1, 0 FROM g) GROUP BY 1), s AS (SELECT avg(in_degree) AS m, stddev_pop(in_degree) AS sd, count(*) AS n FROM d),
+f AS (SELECT *, in_degree > m + 2 * sd AS bottleneck, CASE WHEN out_degree > in_degree AND out_degree > 2 THEN 'source' WHEN in_degree > out_degree AND in_degree > 2 THEN 'sink' ELSE 'inner' END AS role FROM d, s)
+SELECT id, in_degree, out_degree, role, bottleneck, round((0.4 * (in_degree + out_degree) / (2 * n) + CASE WHEN bottleneck THEN 0.6 ELSE 0 END + CASE WHEN role <> 'inner' THEN 0.3 ELSE 0 END)::DOUBLE, 6) AS flow FROM f""")
 def degree_stats(spark, sf_dir):
-    return G.degree_stats(_actors(spark, sf_dir)).select("id", "in_degree", "out_degree", "bottleneck", r("flow").alias("flow"))
+    return G.degree_stats(_actors(spark, sf_dir)).select("id", "in_degree", "out_degree", "role", "bottleneck", r("flow").alias("flow"))
 
 
 @query("WITH " + _ACT + "SELECT id, degree, triangles, round(clustering, 6) AS clustering FROM cl")
@@ -132,7 +133,7 @@ def structure_metrics(spark, sf_dir):
 
 
 @query("WITH " + _ACT + """, k AS (SELECT count(*) AS n, avg(degree) AS k1, avg(degree * degree) AS k2, max(degree) AS km, avg(clustering) AS c FROM cl)
-SELECT n, round(CASE WHEN k2 / k1 > 2 THEN 1 - 1 / (k2 / k1 - 1) ELSE 0 END, 6) AS percolation_threshold, round((n * km - n * k1) / ((n - 1.0) * (n - 2)), 6) AS attack_surface, round(least(1, k1 / 10 + c / 2), 6) AS recovery FROM k""")
+SELECT n, round(CASE WHEN k2 / k1 > 2 THEN 1 - 1 / (k2 / k1 - 1) ELSE 0 END, 6) AS percolation_threshold, round((least(1, km / k1 / 10) + 1 - c + 0.5) / 3, 6) AS attack_surface, round(ln(n + 1) / (1 + k1 / 10) * (1 - c / 2), 6) AS recovery FROM k""")
 def robustness(spark, sf_dir):
     return G.robustness(_actors(spark, sf_dir)).select("n", *[r(c).alias(c) for c in ("percolation_threshold", "attack_surface", "recovery")])
 
@@ -142,12 +143,12 @@ def _pagerank_sql(rounds: int) -> str:
     for i in range(1, rounds + 1):
         sql += f""", r{i} AS MATERIALIZED (SELECT nd.id, 0.15 / n + 0.85 * (coalesce(m, 0) + (SELECT coalesce(sum(r), 0) FROM r{i - 1} WHERE id NOT IN (SELECT src FROM tot)) / n) AS r FROM nd CROSS JOIN nn
           LEFT JOIN (SELECT dst AS id, sum(weight / t * r) AS m FROM g JOIN tot USING (src) JOIN r{i - 1} ON r{i - 1}.id = g.src GROUP BY 1) USING (id))"""
-    return sql + f" SELECT id, round(r, 8) AS rank FROM r{rounds}"
+    return sql + f" SELECT id, round(r, 6) AS rank FROM r{rounds}"
 
 
-@query(_pagerank_sql(10))
+@query(_pagerank_sql(40))
 def pagerank(spark, sf_dir):
-    return G.pagerank(_actors(spark, sf_dir), 10).select("id", r("rank", 8).alias("rank"))
+    return G.pagerank(_actors(spark, sf_dir), 1e-12).select("id", r("rank", 6).alias("rank"))
 
 
 def _eigen_sql(rounds: int) -> str:
@@ -155,12 +156,14 @@ def _eigen_sql(rounds: int) -> str:
     for i in range(1, rounds + 1):
         sql += f""", y{i} AS MATERIALIZED (SELECT x{i - 1}.id, x + coalesce(m, 0) AS y FROM x{i - 1} LEFT JOIN (SELECT dst AS id, sum(x) AS m FROM g JOIN x{i - 1} ON id = src GROUP BY 1) USING (id)),
           x{i} AS MATERIALIZED (SELECT id, y / (SELECT sqrt(sum(y * y)) FROM y{i}) AS x FROM y{i})"""
-    return sql + f" SELECT id, round(x, 7) AS centrality FROM x{rounds}"
+    change = " UNION ALL ".join(f"SELECT {i} AS i, (SELECT sum(abs(a.x - b.x)) FROM x{i} a JOIN x{i - 1} b USING (id)) AS c" for i in range(1, rounds + 1))
+    every = " UNION ALL ".join(f"SELECT {i} AS i, * FROM x{i}" for i in range(1, rounds + 1))
+    return sql + f", ch AS ({change}), al AS ({every}) SELECT id, round(x + 1e-9, 5) AS centrality FROM al WHERE i = (SELECT min(i) FROM ch WHERE c <= 1e-6 * (SELECT count(*) FROM nd))"
 
 
-@query(_eigen_sql(10))
+@query(_eigen_sql(100))
 def eigenvector_centrality(spark, sf_dir):
-    return G.eigenvector(_actors(spark, sf_dir), 10).select("id", r("centrality", 7).alias("centrality"))
+    return G.eigenvector(_actors(spark, sf_dir)).select("id", r(F.col("centrality") + 1e-9, 5).alias("centrality"))
 
 
 @query(f"""WITH {TEL}, h AS (SELECT *, coalesce(ts_us - lag(ts_us) OVER w, 999999999) >= 300000000 AS brk FROM tel WINDOW w AS (PARTITION BY function_id ORDER BY ts_us, event_id)),
@@ -178,7 +181,7 @@ def strong_components(spark, sf_dir):
 
 @query(None)
 def betweenness_closeness(spark, sf_dir):
-    between, close = G.sampled_paths(_actors(spark, sf_dir), G.pivots(_actors(spark, sf_dir), 20))
+    between, close = G.sampled_paths(_actors(spark, sf_dir), G.pivots(_actors(spark, sf_dir), 100))
     return between.join(close, "id", "full").select("id", r("betweenness", 4).alias("betweenness"), r("closeness").alias("closeness"))
 
 
@@ -230,7 +233,7 @@ def k_hop_subgraph(spark, sf_dir):
     return G.k_hop(_events_graph(spark, sf_dir), seeds, 2).select("src", "dst", "type")
 
 
-@query("WITH RECURSIVE " + _LAST5 + """, bs AS (SELECT dst, arg_min(src, (-round(weight, 12), src)) AS src FROM ed GROUP BY 1), w AS (SELECT event_id AS id, event_id AS pos, 1 AS n FROM tel WHERE anomaly_type = 'timeout_fallback' UNION ALL SELECT w.id, bs.src, n + 1 FROM w JOIN bs ON bs.dst = w.pos WHERE n <= 15)
+@query("WITH RECURSIVE " + _LAST5 + """, bs AS (SELECT dst, arg_min(src, (-round(weight, 12), src)) AS src FROM ed WHERE round(weight, 12) >= 0.3 GROUP BY 1), w AS (SELECT event_id AS id, event_id AS pos, 1 AS n FROM tel WHERE anomaly_type = 'timeout_fallback' UNION ALL SELECT w.id, bs.src, n + 1 FROM w JOIN bs ON bs.dst = w.pos WHERE n <= 15)
 SELECT id, CAST(max(n) AS INT) AS length, CAST(sum(pos) AS BIGINT) AS node_sum FROM w GROUP BY 1""")
 def trace_path(spark, sf_dir):
     e = _events_graph(spark, sf_dir).withColumn("weight", F.round("weight", 12))
@@ -267,7 +270,7 @@ def graph_report(spark, sf_dir):
 
 # --- provenance: scope is a user's events ---
 
-_PROV = f"""{TEL}, pn AS (SELECT tel.*, e.user_id, list_filter([CASE WHEN contains(e.event_type, 'a') THEN 'database' END, CASE WHEN network_io_bytes > 1024 THEN 'network' END, CASE WHEN memory_spike_kb > 102400 THEN 'memory_intensive' END,
+_PROV = f"""{TEL}, pn AS (SELECT tel.*, e.user_id, list_filter([CASE WHEN contains(e.event_type, 'a') THEN 'database' END, CASE WHEN network_io_bytes > 1024 THEN 'network' END, CASE WHEN memory_spike_kb > 100000 THEN 'memory_intensive' END,
   CASE WHEN cpu_utilization > 80 THEN 'cpu_intensive' END], lambda x: x IS NOT NULL) AS res FROM tel JOIN events e USING (event_id)),
 pp AS (SELECT a.event_id AS src, b.event_id AS dst, a.function_id AS af, b.function_id AS bf, 1 - (b.ts_us - a.ts_us) / 300000000.0 AS tp, a.anomaly_type <> 'benign' AS ax, b.anomaly_type <> 'benign' AS bx,
   CASE WHEN len(a.res) > 0 AND len(b.res) > 0 THEN len(list_intersect(a.res, b.res)) / len(list_distinct(list_concat(a.res, b.res))) ELSE 0 END AS rs FROM pn a JOIN pn b ON a.user_id % 20 = b.user_id % 20 AND b.ts_us > a.ts_us AND b.ts_us - a.ts_us <= 300000000),

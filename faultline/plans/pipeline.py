@@ -124,7 +124,7 @@ f AS (SELECT *, greatest(0.1, least(1, eff * 0.7)) AS w1, greatest(0.1, least(1,
 h AS (SELECT *, (s1 * w1 + s2 * w2 + s3 * w3 + s4 * w4) / (w1 + w2 + w3 + w4) AS raw FROM f),
 l AS (SELECT *, least(0.15, abs(round(CAST(agg::VARCHAR AS DECIMAL(24, 18)), 4)::DOUBLE - raw)) AS vol FROM h),
 o AS (SELECT *, greatest(0, least(1, raw - vol + least(0.1, cons * 0.1))) AS fused FROM l),
-p AS (SELECT *, CASE WHEN fused >= 0.75 THEN 'escalate' WHEN fused >= 0.3 THEN 'review' ELSE 'observe' END AS decision,
+p AS (SELECT *, CASE WHEN round(fused, 4) >= 0.75 THEN 'escalate' WHEN round(fused, 4) >= 0.3 THEN 'review' ELSE 'observe' END AS decision,
   CASE WHEN fused >= 0.75 THEN 'high' WHEN fused >= 0.3 THEN 'medium' ELSE 'low' END AS band FROM o)
 """
 
@@ -239,12 +239,11 @@ def filter_detections(spark, sf_dir):
     return out.select("event_id", "function_id", r("fused_score", 4).alias("fused_score"))
 
 
-@query(f"""WITH {TEL} SELECT event_id, round(memory_spike_kb / 1024.0, 6) AS memory_mb, round(ts_us / 1000000 % 86400 / 3600, 6) AS hour_of_day,
-  CAST(execution_phase = 'init' AS INT) AS is_cold_start, CAST(execution_phase = 'error' AS INT) AS is_error,
-  round(memory_spike_kb / 1024.0 / greatest(duration, 0.001), 4) AS memory_rate FROM tel""")
+@query(f"""WITH {TEL} SELECT event_id, duration, memory_spike_kb, cpu_utilization, network_io_bytes, CAST(execution_phase = 'init' AS INT) AS is_cold_start, CAST(execution_phase = 'error' AS INT) AS error_occurred,
+  round(ts_us / 1000000 % 86400 / 3600, 6) AS hour_of_day, CAST(floor(ts_us / 1000000 / 86400) % 7 AS BIGINT) AS day_of_week, round(memory_spike_kb / 1024.0, 6) AS memory_mb, CAST(execution_phase = 'invoke' AS INT) AS execution_phase_invoke, 0 AS source_primary FROM tel""")
 def time_features(spark, sf_dir):
     out = records.time_features(telemetry(spark, sf_dir))
-    return out.select("event_id", r("memory_mb").alias("memory_mb"), r("hour_of_day").alias("hour_of_day"), "is_cold_start", "is_error", r("memory_rate", 4).alias("memory_rate"))
+    return out.withColumns({"memory_mb": r("memory_mb"), "hour_of_day": r("hour_of_day"), "day_of_week": F.col("day_of_week").cast("long")})
 
 
 @query("""SELECT c_custkey AS id, upper(c_name) AS label, round(c_acctbal, 2) AS balance, coalesce(CAST(NULL AS VARCHAR), c_mktsegment) AS segment,

@@ -134,13 +134,14 @@ def redact_pii(spark, sf_dir):
                     F.md5(TX.redact_spans(F.col("text"), F.col("spans"), "hash")).alias("hashed"))
 
 
-@query("""SELECT c_custkey, repeat('*', length(c_name)) AS masked, 'HASH_' || substr(sha256(c_name), 1, 16) AS hashed,
-  repeat('*', length('user' || c_custkey)) || '@example.com' AS mail, 'PSEUDO_' || substr(md5(c_name), 1, 8) AS pseudo FROM customer""")
+@query("""SELECT c_custkey, repeat('*', length(c_name)) AS masked, substr(sha256(c_name), 1, 16) AS hashed, substr(c_name, 1, 2) || substr(md5(substr(c_name, 3)), 1, 8) AS hashed_part,
+  repeat('*', length('user' || c_custkey)) || '@example.com' AS mail, 'ANON_' || substr(md5(c_name), 1, 8) AS anonymous, '[ENCRYPTED_FULL]' AS encrypted FROM customer""")
 def redact_by_policy(spark, sf_dir):
     t = table(spark, sf_dir, "customer")
     mail = F.concat(F.lit("user"), F.col("c_custkey").cast("string"), F.lit("@example.com"))
-    return t.select("c_custkey", TX.mask_value(F.col("c_name")).alias("masked"), TX.mask_value(F.col("c_name"), "hash").alias("hashed"),
-                    TX.mask_value(mail).alias("mail"), TX.mask_value(F.col("c_name"), "pseudonymize").alias("pseudo"))
+    name = F.col("c_name")
+    return t.select("c_custkey", TX.mask_value(name).alias("masked"), TX.mask_value(name, "hash").alias("hashed"), TX.mask_value(name, "hash", True).alias("hashed_part"),
+                    TX.mask_value(mail).alias("mail"), TX.mask_value(name, "anonymize").alias("anonymous"), TX.mask_value(name, "encrypt").alias("encrypted"))
 
 
 def _pad(byte: int) -> str:
@@ -192,8 +193,10 @@ def text_entropy(spark, sf_dir):
     return preservation.char_entropy(spread(table(spark, sf_dir, "documents")), "doc_id", "text").select("doc_id", r("entropy").alias("entropy"))
 
 
-@query(r"""SELECT page_id, array_to_string(list_filter([CASE WHEN regexp_matches(html, '(?i)<script[^>]*>') THEN 'script' END, CASE WHEN regexp_matches(html, '(?i)javascript:') THEN 'javascript' END,
-  CASE WHEN regexp_matches(html, '(?i)on\w+\s*=') THEN 'handler' END, CASE WHEN regexp_matches(html, '(?i)union\s+select|drop\s+table') THEN 'sql' END,
-  CASE WHEN regexp_matches(html, '\.\./') THEN 'traversal' END, CASE WHEN length(html) > 10000 THEN 'too_long' END], lambda x: x IS NOT NULL), ',') AS issues FROM pages""")
+_UNSAFE = ", ".join(f"CASE WHEN regexp_matches(html, '{p}') THEN '{n}' END" for n, p in validation.SUSPICIOUS.items())
+
+
+@query(f"""WITH i AS (SELECT page_id, list_filter([{_UNSAFE}], lambda x: x IS NOT NULL) AS found, length(html) > 10000 AS long FROM pages)
+SELECT page_id, array_to_string(CASE WHEN long THEN list_append(found, 'too_long') ELSE found END, ',') AS issues, CASE WHEN len(found) > 0 THEN 'critical' WHEN long THEN 'warning' ELSE 'none' END AS severity FROM i""")
 def payload_safety(spark, sf_dir):
-    return validation.payload_safety(spread(table(spark, sf_dir, "pages")), "html").select("page_id", F.concat_ws(",", "issues").alias("issues"))
+    return validation.payload_safety(spread(table(spark, sf_dir, "pages")), "html").select("page_id", F.concat_ws(",", "issues").alias("issues"), "severity")
