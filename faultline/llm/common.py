@@ -62,6 +62,26 @@ def steps(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = ST
             yield batch.slice(a, b - a)
 
 
+def pack(docs: DataFrame) -> DataFrame:
+    """(id, packed): each text of (id, text) compressed, to travel through a shuffle; a null text stays null."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else z.compress(x.encode("utf-8", "surrogatepass")) for x in b.column(1).to_pylist()], pa.binary())], ["id", "packed"])
+
+    return docs.select("id", "text").mapInArrow(run, "id bigint, packed binary")
+
+
+def unpack(col: pa.Array) -> list[bytes | None]:
+    """The UTF-8 bytes of packed texts."""
+    import zstandard
+
+    z = zstandard.ZstdDecompressor()
+    return [None if x is None else z.decompress(x) for x in col.to_pylist()]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit changes about half of the output bits."""
     x = np.asarray(x, np.uint64)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm.common import mix64, steps, store, table
+from faultline.llm.common import mix64, pack, steps, store, table, unpack
 from faultline.llm.words import runs, text_bytes, word_hashes, words
 
 #: words of a window, words of the runs that route it, distinct segments of one shard that one automaton takes
@@ -156,8 +156,8 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, route: int = ROUTE, s
     wanted = seen.join(common, "via").groupBy("id").agg(F.collect_list("via").alias("vias"))
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches, limit=STEP):
-            data, bounds = text_bytes(b.column(1))
+        for b in steps(batches, "packed", STEP // 3):
+            data, bounds = text_bytes(pa.array(unpack(b.column(1)), pa.binary()))
             own, first, n, via, starts, ends, firsts = routes(data, bounds, window, route)
             vias = b.column(2)
             flat = vias.flatten().to_numpy().astype(U)
@@ -171,12 +171,12 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, route: int = ROUTE, s
             text = [b" ".join(raw[x:y].split()) for x, y in zip(a.tolist(), z.tolist())]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own)), pa.array(via.astype(np.int64)), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(text, pa.binary())], ["id", "via", "first", "n", "words"])
 
-    texts = docs.join(wanted, "id").select("id", "text", "vias")
+    texts = pack(docs).join(wanted, "id").select("id", "packed", "vias")
     found = store(texts.mapInArrow(segment, "id bigint, via bigint, first int, n int, words binary").withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit("second"), "words")}))
     distinct = store(found.groupBy("via", "h1", "h2").agg(F.min("id").alias("low")))
     sizes = distinct.groupBy("via").agg(F.count("*").alias("k")).filter("k > 1")
     # the first occurrence of each distinct segment whose route leads through other segments as well
-    held = found.join(distinct, ["via", "h1", "h2"]).join(sizes, "via", "left")
+    held = found.join(distinct.join(sizes, "via", "left"), ["via", "h1", "h2"])
     held = store(held.select("id", "via", "first", "n", "h1", "h2", "low", F.when((F.col("id") == F.col("low")) & (F.col("k") > 1), F.col("words")).alias("words"), "k"))
     later = held.filter("id > low").select("id", "first", F.expr(f"first + n + {window - 1}").alias("end"))
     firsts_ = held.filter("words IS NOT NULL")
@@ -225,10 +225,10 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
     A null text has no words. Rows of null id or of an id without spans keep all their words.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches, limit=STEP):
+        for b in steps(batches, "packed", STEP // 3):
             n, removed, kept = [], [], []
-            for text, cuts in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                ws = (text or "").encode().split()
+            for text, cuts in zip(unpack(b.column(1)), b.column(2).to_pylist()):
+                ws = (text or b"").split()
                 if cuts:
                     keep = np.zeros(len(ws) + 1, np.int64)
                     np.add.at(keep, [c["first"] for c in cuts], 1)
@@ -240,7 +240,7 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 n.append(len(ws)), removed.append(len(ws) - len(left)), kept.append(b" ".join(left).decode())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept"])
 
-    joined = docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(spans, "id", "left").select("id", "text", "spans")
+    joined = pack(docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))).join(spans, "id", "left").select("id", "packed", "spans")
     return joined.mapInArrow(run, "id bigint, n_words bigint, n_removed bigint, kept string")
 
 
