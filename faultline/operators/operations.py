@@ -193,17 +193,20 @@ def outage_cascades(outages: DataFrame, channel: str = "channel", start: str = "
     return a.join(b, "slot").where(f"trigger <> triggered AND s2 > s1 AND s2 <= s1 + {window_us}").drop("slot").withColumn("delay_us", F.col("s2") - F.col("s1"))
 
 
-def outage_correlation(outages: DataFrame, span_us: int, step_us: int = 360_000_000, channel: str = "channel", start: str = "s", end: str = "e") -> DataFrame:
-    """Pearson correlation of the outage series of channel pairs on a time grid.
+def outage_correlation(outages: DataFrame, span_us: int | None = None, step_us: int = 360_000_000, channel: str = "channel", start: str = "s", end: str = "e") -> DataFrame:
+    """Pearson correlation of the outage series of all pairs of channels with an outage on a time grid.
 
-    For 0/1 series it follows from counts of grid points: per channel and per pair.
+    For 0/1 series it follows from counts of grid points: per channel and per pair, none for a pair that is never out
+    together. The grid reaches to the last end of an outage, or to ``span_us`` if that is later.
     """
-    n = span_us // step_us
-    grid = outages.select(F.col(channel).alias("ch"), F.expr(f"{start} DIV {step_us}").alias("i0"), F.expr(f"least({end} DIV {step_us}, {n}) - 1").alias("i1")).where("i1 >= i0")
+    last = outages.agg(F.max(end)).first()[0] or 0  # one number
+    n = max(-(-last // step_us), (span_us or 0) // step_us)
+    grid = outages.select(F.col(channel).alias("ch"), F.expr(f"{start} DIV {step_us}").alias("i0"), F.expr(f"{end} DIV {step_us} - 1").alias("i1")).where("i1 >= i0")
     pts = grid.select("ch", F.explode(F.sequence("i0", "i1")).alias("i")).distinct()
     per = pts.groupBy("ch").agg(F.count(F.lit(1)).alias("k"))
     pair = pts.select(F.col("ch").alias("a"), "i").join(pts.select(F.col("ch").alias("b"), "i"), "i").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k2"))
-    out = pair.join(per.select(F.col("ch").alias("a"), F.col("k").alias("ka")), "a").join(per.select(F.col("ch").alias("b"), F.col("k").alias("kb")), "b")
+    channels = per.select(F.col("ch").alias("a"), F.col("k").alias("ka")).join(per.select(F.col("ch").alias("b"), F.col("k").alias("kb")), F.expr("a < b"))
+    out = channels.join(pair, ["a", "b"], "left").withColumn("k2", F.coalesce("k2", F.lit(0)))
     return out.withColumn("corr", F.expr(f"({n} * k2 - ka * kb) / sqrt(CAST(ka AS DOUBLE) * ({n} - ka) * kb * ({n} - kb))"))
 
 

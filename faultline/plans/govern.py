@@ -87,9 +87,9 @@ def audit_summary(spark, sf_dir):
     return G.audit_summary(_audit(spark, sf_dir))
 
 
-@query(_AUD + "SELECT count(*) AS events, count(*) FILTER (WHERE level = 'error') AS errors, count(*) FILTER (WHERE level = 'warning') AS warnings, count(*) FILTER (WHERE category = 'security') AS security, count(*) FILTER (WHERE category = 'compliance') AS compliance, round(avg(duration), 6) AS mean_duration FROM a WHERE ts_us >= 3600000000")
+@query(_AUD + "SELECT count(*) AS events, count(*) FILTER (WHERE level = 'error') AS errors, count(*) FILTER (WHERE level = 'warning') AS warnings, count(*) FILTER (WHERE category = 'security') AS security, count(*) FILTER (WHERE category = 'compliance') AS compliance, round(avg(duration), 6) AS mean_duration FROM a")
 def audit_totals(spark, sf_dir):
-    return G.audit_totals(G.audit_filter(_audit(spark, sf_dir), since=3_600_000_000)).withColumn("mean_duration", r("mean_duration"))
+    return G.audit_totals(G.audit_filter(_audit(spark, sf_dir), since=0)).withColumn("mean_duration", r("mean_duration"))
 
 
 @query(f"WITH {TEL} SELECT function_id, count(*) AS n, round(sum(duration), 4) AS total FROM tel GROUP BY 1")

@@ -303,13 +303,13 @@ def predecessors(spark, sf_dir):
     return P.predecessors(telemetry(spark, sf_dir), ["execution_phase"])
 
 
-@query("WITH RECURSIVE " + _PROV + """, ce AS MATERIALIZED (SELECT src, dst FROM pe WHERE strength >= 0.5), sc AS (SELECT event_id, anomaly_type, least(1, CASE WHEN anomaly_type <> 'benign' THEN 0.3 ELSE 0 END + least(0.2, len(list_filter(res, lambda x: x IN ('database', 'storage', 'memory_intensive'))) * 0.1)) AS s FROM pn),
-b AS (SELECT event_id AS target, event_id AS id, 0 AS hop FROM pn WHERE anomaly_type = 'data_exfiltration' UNION SELECT b.target, ce.src, b.hop + 1 FROM b JOIN ce ON ce.dst = b.id WHERE b.hop < 3), m AS (SELECT target, id, min(hop) AS hop FROM b GROUP BY 1, 2)
+@query("WITH RECURSIVE " + _PROV + """, ce AS MATERIALIZED (SELECT src, dst FROM pe WHERE strength >= 0.3), sc AS (SELECT event_id, anomaly_type, least(1, CASE WHEN anomaly_type <> 'benign' THEN 0.3 ELSE 0 END + least(0.2, len(list_filter(res, lambda x: x IN ('database', 'storage', 'memory_intensive'))) * 0.1)) AS s FROM pn),
+b AS (SELECT event_id AS target, event_id AS id, 0 AS hop FROM pn WHERE anomaly_type = 'data_exfiltration' UNION SELECT b.target, ce.src, b.hop + 1 FROM b JOIN ce ON ce.dst = b.id WHERE b.hop < 5), m AS (SELECT target, id, min(hop) AS hop FROM b GROUP BY 1, 2)
 SELECT target, count(*) AS nodes, CAST(max(hop) AS INT) AS hops, round(max(s)::DOUBLE, 6) AS severity, round(avg(s), 6) AS confidence, count(*) FILTER (WHERE anomaly_type <> 'benign') AS anomalous FROM m JOIN sc ON sc.event_id = m.id GROUP BY 1""")
 def attack_paths(spark, sf_dir):
     n = _prov(spark, sf_dir)
-    e = P.causal_edges(n, ["function_id"], threshold=0.5)
-    out = P.attack_paths(e, n.where("anomaly_type = 'data_exfiltration'"), n, depth=3)
+    e = P.causal_edges(n, ["function_id"], threshold=0.3)
+    out = P.attack_paths(e, n.where("anomaly_type = 'data_exfiltration'"), n, depth=5)
     return out.select("target", "nodes", "hops", r("severity").alias("severity"), r("confidence").alias("confidence"), "anomalous")
 
 

@@ -24,12 +24,12 @@ def query(sql: str | None):
 
 
 def _parts(spark, sf_dir):
-    """Benign rows of even ids train, everything is scored."""
+    """All benign rows train, everything is scored."""
     t = telemetry(spark, sf_dir).withColumn("label", F.col("anomaly_type") != "benign")
-    return t.where("anomaly_type = 'benign' AND event_id % 2 = 0"), t
+    return t.where("anomaly_type = 'benign'"), t
 
 
-_TRAIN = "tr AS (SELECT * FROM tel WHERE anomaly_type = 'benign' AND event_id % 2 = 0)"
+_TRAIN = "tr AS (SELECT * FROM tel WHERE anomaly_type = 'benign')"
 
 
 @query(f"""WITH {TEL}, {_TRAIN}, f AS (SELECT avg(duration) AS m1, stddev_pop(duration) AS s1, avg(memory_spike_kb) AS m2, stddev_pop(memory_spike_kb) AS s2, avg(cpu_utilization) AS m3, stddev_pop(cpu_utilization) AS s3, avg(network_io_bytes) AS m4, stddev_pop(network_io_bytes) AS s4 FROM tr)

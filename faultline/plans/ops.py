@@ -271,9 +271,9 @@ def outage_cascade(spark, sf_dir):
     return out.groupBy("trigger", "triggered").agg(F.count(F.lit(1)).alias("n"), r(F.avg("delay_us") / 1e6, 4).alias("mean_delay_s"))
 
 
-@query(_OUT + """, g AS (SELECT DISTINCT channel AS ch, unnest(range(s // 36000000, least(e // 36000000, 1200))) AS i FROM o), k AS (SELECT ch, count(*) AS k FROM g GROUP BY 1),
+@query(_OUT + """, g AS (SELECT DISTINCT channel AS ch, unnest(range(s // 36000000, e // 36000000)) AS i FROM o), n AS (SELECT greatest(1200, CAST(ceil(max(e) / 36000000.0) AS BIGINT)) AS n FROM o), k AS (SELECT ch, count(*) AS k FROM g GROUP BY 1),
 p AS (SELECT x.ch AS a, y.ch AS b, count(*) AS k2 FROM g x JOIN g y ON x.i = y.i AND x.ch < y.ch GROUP BY 1, 2)
-SELECT a, b, k2 AS shared, round((1200 * k2 - ka.k * kb.k) / sqrt(ka.k::DOUBLE * (1200 - ka.k) * kb.k * (1200 - kb.k)), 6) AS corr FROM p JOIN k ka ON ka.ch = a JOIN k kb ON kb.ch = b""")
+SELECT ka.ch AS a, kb.ch AS b, coalesce(k2, 0) AS shared, round((n * coalesce(k2, 0) - ka.k * kb.k) / sqrt(ka.k::DOUBLE * (n - ka.k) * kb.k * (n - kb.k)), 6) AS corr FROM n, k ka JOIN k kb ON ka.ch < kb.ch LEFT JOIN p ON p.a = ka.ch AND p.b = kb.ch""")
 def failure_correlation(spark, sf_dir):
     return O.outage_correlation(_outages(spark, sf_dir), 43_200_000_000, 36_000_000).select("a", "b", F.col("k2").alias("shared"), r("corr").alias("corr"))
 

@@ -29,6 +29,8 @@ def query(sql: str | None):
 def _place(spark) -> str:
     """A new folder under the cluster's checkpoint folder; a temporary one only if none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{base}/streams/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-streams-", dir="/tmp")
 
 

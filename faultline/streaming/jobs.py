@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -80,20 +79,17 @@ def detect_with_history(events: DataFrame, names: Sequence[str], out: str, state
                         limit: int = H.HISTORY, once: bool = True) -> StreamingQuery:
     """History detectors on a stream.
 
-    The last ``limit`` records of every key are kept as a table. Each micro-batch joins it with
+    The last ``2 limit - 1`` records of every key (the farthest any detector looks back) are kept as a table. Each micro-batch joins it with
     the new records and runs the batch engine, so a hot key is blocked and spread exactly as in
     batch. Results and state carry the batch number: a repeated batch rewrites its own files only.
     """
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = batch.withColumn("_new", F.lit(True))
-        try:
-            old = spark.read.parquet(f"{state}/batch={number - 1}")
-            both = new.unionByName(old.withColumn("_new", F.lit(False)))
-        except AnalysisException:  # first batch: no state yet
-            both = new
+        both = new if number == 0 else new.unionByName(spark.read.parquet(f"{state}/batch={number - 1}").withColumn("_new", F.lit(False)))
         D.detect(both, names, keys=(key,), limit=limit).where("_new").drop("_new").write.mode("overwrite").parquet(f"{out}/batch={number}")
-        kept = H.index_rows(both.drop("_new"), [key]).where(F.col("rn") > F.col("key_rows") - limit).drop("rn", "key_rows")
+        # rates look back twice as far, at every tenth row: whole tens are dropped, so that positions keep their remainder
+        kept = H.index_rows(both.drop("_new"), [key]).where(F.expr(f"rn > (greatest(key_rows - {2 * limit - 1}, 0) DIV 10) * 10")).drop("rn", "key_rows")
         kept.write.mode("overwrite").parquet(f"{state}/batch={number}")
 
     q = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
