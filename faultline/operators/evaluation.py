@@ -203,3 +203,14 @@ def compare_detectors(scores: DataFrame, name: str = "detector", label: str = "l
     """Metrics and AUC per detector, ranked by F1, then AUC. ``scores`` is long: detector, label, score, threshold."""
     m = confusion_metrics(scores, label, F.col(score) > F.col(threshold), [name]).join(roc_auc(scores, label, score, [name]), name)
     return m.withColumn("rank", F.row_number().over(W.orderBy(F.desc(F.round("f1", 9)), F.desc(F.round("auc", 9)), name)))  # one row per detector
+
+
+def latency_report(runs: DataFrame, stages: Sequence[str], total: str = "total_ms", cold: str = "cold") -> DataFrame:
+    """Latency of warm runs in one row: mean, p50, p95, p99, sample deviation, mean of each stage, slowest stage, and what cold runs add."""
+    warm = runs.where(~F.col(cold))
+    q = exact_quantiles(warm, [], total, (0.5, 0.95, 0.99)).agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(f"p{round(p * 100)}_ms") for p in (0.5, 0.95, 0.99)])
+    means = warm.agg(F.count(F.lit(1)).alias("runs"), F.avg(total).alias("mean_ms"), F.coalesce(F.stddev_samp(total), F.lit(0.0)).alias("stdev_ms"), *[F.avg(s).alias(f"{s}_mean") for s in stages])
+    first = runs.where(cold).agg(F.avg(total).alias("cold_ms"))
+    slowest = F.array_max(F.array(*[F.struct(F.col(f"{s}_mean").alias("m"), F.lit(s).alias("s")) for s in stages]))["s"]
+    out = means.crossJoin(F.broadcast(q)).crossJoin(F.broadcast(first))  # one row each
+    return out.withColumns({"slowest_stage": slowest, "cold_overhead_ms": F.col("cold_ms") - F.col("mean_ms"), "cold_factor": F.col("cold_ms") / F.nullif("mean_ms", F.lit(0.0))})

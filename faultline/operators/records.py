@@ -202,3 +202,55 @@ def time_features(df: DataFrame) -> DataFrame:
         "event_id", "duration", "memory_spike_kb", "cpu_utilization", "network_io_bytes", flag("is_cold_start", "init").alias("is_cold_start"), flag("error_occurred", "error").alias("error_occurred"),
         F.expr(f"({sec} % 86400) / 3600").alias("hour_of_day"), F.expr(f"floor({sec} / 86400) % 7").alias("day_of_week"), F.expr("memory_spike_kb / 1024").alias("memory_mb"),
         (F.upper("execution_phase") == "INVOKE").cast("int").alias("execution_phase_invoke"), primary.alias("source_primary"))
+
+
+def get_path(raw: Column, path: str, default: str | None = None) -> Column:
+    """Text of a nested value of a JSON object by its dotted path; ``default`` if any step is missing or the value is null."""
+    steps = "".join("['" + p.replace("'", "\\'") + "']" for p in path.split("."))
+    return F.coalesce(F.get_json_object(raw, f"${steps}"), F.lit(default))
+
+
+def select_keys(df: DataFrame, allowed: Sequence[str]) -> DataFrame:
+    """The allowed columns that exist. ``a.b`` beside ``a`` keeps only the named fields of the struct ``a``."""
+    out = []
+    for key in (k for k in allowed if "." not in k and k in df.columns):
+        inner = [k.split(".", 1)[1] for k in allowed if k.startswith(f"{key}.")]
+        kind = df.schema[key].dataType
+        if inner and hasattr(kind, "fieldNames"):
+            out.append(F.struct(*[F.col(f"`{key}`.`{i}`").alias(i) for i in inner if i in kind.fieldNames()]).alias(key))
+        else:
+            out.append(F.col(f"`{key}`"))
+    return df.select(*out)
+
+
+def deep_merge(a: Column, b: Column, left, right) -> Column:
+    """One struct of both (types ``left`` and ``right``): fields of ``b`` win, structs on both sides are merged."""
+    fields = []
+    for name in [*left.fieldNames(), *(n for n in right.fieldNames() if n not in left.fieldNames())]:
+        if name not in right.fieldNames():
+            value = a.getField(name)
+        elif name in left.fieldNames() and hasattr(left[name].dataType, "fieldNames") and hasattr(right[name].dataType, "fieldNames"):
+            value = deep_merge(a.getField(name), b.getField(name), left[name].dataType, right[name].dataType)
+        else:
+            value = b.getField(name)
+        fields.append(value.alias(name))
+    return F.struct(*fields)
+
+
+# --- fixed values: the formats of a time ---
+TIME_FORMATS = {"iso": "yyyy-MM-dd'T'HH:mm:ssXXX", "human": "yyyy-MM-dd HH:mm:ss 'UTC'", "compact": "yyyyMMdd_HHmmss"}
+
+
+def format_timestamp(seconds: Column, kind: str = "iso") -> Column:
+    """Epoch seconds as text (session zone UTC): iso, human, compact, milliseconds, else six decimals."""
+    if kind == "milliseconds":
+        return F.floor(seconds * 1000).cast("string")
+    if kind not in TIME_FORMATS:
+        return F.format_string("%.6f", seconds)
+    text = F.date_format(F.timestamp_seconds(seconds), TIME_FORMATS[kind])
+    return F.regexp_replace(text, "Z$", "+00:00") if kind == "iso" else text
+
+
+def duration_between(start: Column, end: Column) -> Column:
+    """Seconds from start to end, never below zero."""
+    return F.greatest(F.lit(0.0), (end - start).cast("double"))
