@@ -13,6 +13,8 @@ from faultline.llm.common import store, table
 
 #: bits a letter costs in the best language from which on a text counts as no language at all: a uniform code of 2^7 letters
 MOST_BITS = 7.0
+#: occurrences that make a line boilerplate
+BOILERPLATE = 7
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +30,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat an earlier document's line; one that loses all its text goes."""
-    gone = lines.removals(docs.select(F.col("doc_id").alias("id"), "text")).withColumnsRenamed({"id": "doc_id", "gone": "__gone"})
+    """Documents without the lines that repeat an earlier line; one that loses all its text goes.
+
+    Only lines that occur BOILERPLATE times lose their later occurrences: a document and its few copies stay whole, so that
+    the next stage can tell that they are copies.
+    """
+    gone = lines.removals(docs.select(F.col("doc_id").alias("id"), "text"), least=BOILERPLATE).withColumnsRenamed({"id": "doc_id", "gone": "__gone"})
     joined = docs.join(gone, "doc_id", "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
     changed = joined.withColumn("__left", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))

@@ -15,6 +15,8 @@ from faultline.llm.components import bucket_components, semi
 
 #: edits between two lines that count as one, and the characters a line needs to be compared at all
 EDITS, SHORTEST = 2, 24
+#: occurrences from which a line loses all but the first
+LEAST = 2
 
 
 def line_id(line: str) -> int:
@@ -180,21 +182,22 @@ def _by_key():
     return Window.partitionBy("key")
 
 
-def removals(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
-    """(id, gone): the numbers of the lines to remove from each document (id, text) that has any."""
+def removals(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, least: int = LEAST) -> DataFrame:
+    """(id, gone): the numbers of the lines to remove from each document (id, text) that has any, as `deduplicate` does."""
     docs = docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     near = near_lines(docs, edits, shortest)
     each = occurrences(docs, shortest).join(near.select(F.col("id").alias("line"), "component"), "line", "left").select("id", "no", F.coalesce("component", "line").alias("line"))
     each = store(each)
-    first = each.groupBy("line").agg(F.min(F.struct("id", "no")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("line", "first")
+    first = each.groupBy("line").agg(F.min(F.struct("id", "no")).alias("first"), F.count("*").alias("n")).filter(f"n >= {least}").select("line", "first")
     return each.join(first, "line").filter("struct(id, no) <> first").groupBy("id").agg(F.collect_set("no").alias("gone"))
 
 
-def deduplicate(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, n_removed, kept), one row per row: each text without the lines that repeat an earlier line.
 
     Lines are split at newlines. Lines of at least ``shortest`` characters that are equal or at most ``edits`` character
-    edits apart are linked, and of each connected class the first by (doc_id, line number) stays; shorter lines always stay.
+    edits apart are linked, and of each connected class with ``least``
+    occurrences the first by (doc_id, line number) stays; shorter lines and rarer classes always stay.
     Kept lines are joined by newlines. A null text has no lines and an empty kept text, an empty text one empty line; rows of null id
     keep everything and are no reference; rows that repeat an id count as one document whose rows lose the same lines. Other columns
     are not read; an empty table gives an empty table.
@@ -202,7 +205,7 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, i
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     lines = F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(F.split("text", "\n"))
     gone = F.coalesce("gone", F.array().cast("array<int>"))
-    joined = own.join(removals(own, edits, shortest), "id", "left").select("id", lines.alias("lines"), gone.alias("gone"))
+    joined = own.join(removals(own, edits, shortest, least), "id", "left").select("id", lines.alias("lines"), gone.alias("gone"))
     kept = F.filter("lines", lambda x, i: ~F.array_contains("gone", i))
     out = joined.withColumn("kept", kept).select("id", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_removed"), F.array_join("kept", "\n").alias("kept"))
     return out.withColumnRenamed("id", id_col)

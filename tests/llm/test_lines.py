@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from faultline.llm import lines
 from helpers import classes, edge_docs, edge_rows
@@ -40,7 +40,7 @@ def test_band_and_keys_against_full_distance():
                 assert set(lines.keys(a, edits)) & set(lines.keys(b, edits))
 
 
-def naive(rows, edits=2, shortest=24):
+def naive(rows, edits=2, shortest=24, least=2):
     first = {}
     for i, text in sorted((i, t) for i, t in rows if i is not None and t is not None):
         for no, line in enumerate(text.split("\n")):
@@ -51,10 +51,11 @@ def naive(rows, edits=2, shortest=24):
     low = defaultdict(lambda: (float("inf"), 0))
     for line, c in of.items():
         low[c] = min(low[c], first[line])
+    n = Counter(of[x] for i, t in rows if i is not None and t is not None for x in t.split("\n") if len(x) >= shortest)
     out = []
     for i, text in rows:
         ls = [] if text is None else text.split("\n")
-        kept = [x for no, x in enumerate(ls) if i is None or len(x) < shortest or low[of[x]] == (i, no)]
+        kept = [x for no, x in enumerate(ls) if i is None or len(x) < shortest or n[of[x]] < least or low[of[x]] == (i, no)]
         out.append((i, len(ls), len(ls) - len(kept), "\n".join(kept)))
     return out
 
@@ -70,6 +71,12 @@ def test_variants(spark):
     assert sorted(got(edge_docs(spark, rows))) == sorted(naive([x[:2] for x in rows]))
 
 
+def test_rare_lines_can_stay(spark):
+    rows = [(i, "\n".join(f"this is a line of number {k} and more" for k in range(i, 8)), "en", "s", 1) for i in range(8)]
+    want = [(i, 8 - i, n, k) for (i, _, n, k) in naive([x[:2] for x in rows], least=4)]
+    assert sorted(tuple(r) for r in lines.deduplicate(edge_docs(spark, rows), least=4).select("doc_id", "n_lines", "n_removed", "kept").collect()) == sorted(want)
+
+
 def test_query(spark, sf_dir, documents):
     want = {i: (n, m) for i, n, m, _ in naive([d[:2] for d in documents])}
     assert {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in lines.op3(spark, sf_dir).collect()} == want
