@@ -43,7 +43,9 @@ def ranked_counts(df: DataFrame, score: str, groups: dict[str, Column], by: Sequ
     """
     by = list(by)
     counts = df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(*[F.count_if(c).alias(g) for g, c in groups.items()])
-    counts = counts.withColumn("_slot", F.floor(F.col("score") * slots))
+    # slots of equal width between the smallest and the largest score, whatever their range
+    ends = counts.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
+    counts = counts.crossJoin(F.broadcast(ends)).withColumn("_slot", F.coalesce(F.floor((F.col("score") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * slots), F.lit(0))).drop("_lo", "_hi")  # one row
     per = counts.groupBy(*by, "_slot").agg(*[F.sum(g).alias(g) for g in groups])
     w, all_ = W.partitionBy(*by).orderBy("_slot"), W.partitionBy(*by)
     base = per.select(*by, "_slot", *[(F.sum(g).over(w) - F.col(g)).alias(f"_b_{g}") for g in groups], *[F.sum(g).over(all_).alias(f"{g}_all") for g in groups])

@@ -448,3 +448,22 @@ def neighbour_features(nodes: DataFrame, edges: DataFrame, columns: Sequence[str
         cur = cut_lineage(mean)
         out = out.join(cur.withColumnsRenamed({c: f"{c}_{k}" for c in columns}), "id", "left")
     return out
+
+
+def anomaly_clusters(nodes: DataFrame, edges: DataFrame, clusters: int = 5, score: str = "score", seed: int = 42) -> DataFrame:
+    """(id, cluster, cluster_score): nodes grouped by KMeans over score, duration, memory, cpu and out-degree, all standardised.
+
+    ``nodes`` has id, the score and duration, memory_spike_kb, cpu_utilization. The cluster's score is the mean of its nodes';
+    nodes alone in their cluster are left out, as a cluster has two nodes at least.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    out = edges.select("src", "dst").distinct().groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("degree"))
+    rows = nodes.join(out, "id", "left").select("id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in (score, "duration", "memory_spike_kb", "cpu_utilization", "degree")])
+    wide = cut_lineage(VectorAssembler(inputCols=[score, "duration", "memory_spike_kb", "cpu_utilization", "degree"], outputCol="raw").transform(rows).select("id", F.col(score).alias("s"), "raw"))
+    scaled = StandardScaler(withMean=True, inputCol="raw", outputCol="v").fit(wide).transform(wide)
+    model = KMeans(k=max(2, min(clusters, wide.count() // 3)), seed=seed, featuresCol="v", predictionCol="cluster").fit(scaled)
+    placed = model.transform(scaled).select("id", "s", "cluster")
+    mean = placed.groupBy("cluster").agg(F.avg("s").alias("cluster_score"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return placed.join(F.broadcast(mean), "cluster").select("id", "cluster", "cluster_score")  # one row per cluster

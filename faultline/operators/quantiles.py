@@ -46,5 +46,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     ranked = slim.withColumn("_upto", F.sum("_c").over(w))
     first, last = F.floor("at") + 1, F.ceil("at") + 1
     hit = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.col("_v")))
-    out = ranked.groupBy(*keys, "p", "at").agg(hit(first).alias("_a"), hit(last).alias("_b"))
+    out = ranked.groupBy(*keys, "p", "at").agg(hit(first).alias("_a"), hit(last).alias("_b"), F.coalesce(F.max(F.when(F.col("_v").isNull(), F.col("_upto"))), F.lit(0)).alias("_below"), F.max("_upto").alias("_reach"))
+    # the band holds the rank by the sketch's bound; a rank outside must not become a silent wrong number
+    missed = (F.col("_below") >= first) | (F.col("_reach") < F.least(last, first))
+    out = out.withColumn("_a", F.when(missed, F.raise_error(F.lit("a percentile lies outside its band")).cast("double")).otherwise(F.col("_a")))
     return out.select(*keys, "p", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("at") - F.floor("at"))).alias("q"))

@@ -340,3 +340,19 @@ SELECT variant, tp, fp, fn, round(f1, 6) AS f1, round((SELECT f1 FROM f WHERE va
 def ablation(spark, sf_dir):
     out = P.ablation(_prov(spark, sf_dir), ["function_id"], _truth(spark, sf_dir), threshold=0.35)
     return out.withColumns({"f1": r("f1"), "importance": r("importance")})
+
+
+@query(None)
+def path_eval(spark, sf_dir):
+    """First five records of a function's hour as the true path, inferred temporal edges of weight 0.7 as the prediction."""
+    t = telemetry(spark, sf_dir).withColumn("attack", F.concat("function_id", F.lit("/"), F.expr("CAST(ts_us DIV 3600000000 AS STRING)")))
+    rows = H.index_rows(t.select("attack", "ts_us", "event_id"), ["attack"]).where("rn <= 5")
+    paths = rows.groupBy("attack").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "event_id"))), lambda x: x["event_id"]).alias("nodes"))
+    e = _events_graph(spark, sf_dir).where("type = 'temporal_sequence' AND weight > 0.7")
+    return P.path_eval(e, paths).select("attack", "length", "found", F.size("path").alias("steps"), r("completeness").alias("completeness"), r("ordering").alias("ordering"))
+
+
+@query(None)
+def anomaly_clusters(spark, sf_dir):
+    nodes = telemetry(spark, sf_dir).select(F.col("event_id").alias("id"), "duration", "memory_spike_kb", "cpu_utilization", F.when(F.col("anomaly_type") != "benign", 1.0).otherwise(0.0).alias("score"))
+    return G.anomaly_clusters(nodes, _events_graph(spark, sf_dir)).groupBy("cluster").agg(F.count(F.lit(1)).alias("nodes"), F.max("cluster_score").alias("score"))

@@ -2,7 +2,10 @@ import hashlib
 import itertools
 from collections import deque
 
-from faultline.operators import graphs as G, traces as T
+import pytest
+from pyspark.sql import functions as F
+
+from faultline.operators import graphs as G, provenance as P, traces as T
 
 EDGES = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 7), (7, 8), (2, 9), (9, 10), (1, 10)]
 
@@ -26,7 +29,7 @@ def test_long_chain_component(spark):
 def test_triangles_and_pagerank(spark):
     t = {r.id: r for r in G.triangles(edges(spark)).collect()}
     assert t[1].triangles == 1 and t[4].triangles == 0 and t[3].degree == 3 and abs(t[3].clustering - 1 / 3) < 1e-12
-    ranks = [r.rank for r in G.pagerank(edges(spark), 5).collect()]
+    ranks = [r.rank for r in G.pagerank(edges(spark)).collect()]
     assert abs(sum(ranks) - 1) < 1e-9 and len(ranks) == 10
 
 
@@ -73,3 +76,27 @@ def test_merkle(spark):
         want[n] = level[0]
     df = spark.createDataFrame(rows, "batch long, i long, h string")
     assert {r.batch: r.merkle_root for r in T.merkle_roots(df, "batch", "i", "h").collect()} == want
+
+
+def test_unconverged_loops_raise(spark):
+    with pytest.raises(ArithmeticError):
+        G.pagerank(edges(spark), 1e-15, iterations=2)
+
+
+def test_proofs_of_more_than_one_run(spark):
+    rows = [("a", i, hashlib.sha256(str(i).encode()).hexdigest()) for i in range(700)] + [("b", 0, "x"), ("c", 0, "p"), ("c", 1, "q"), ("c", 2, "r")]
+    leaves = spark.createDataFrame(rows, "batch string, i long, h string")
+    roots = {r.batch: r.merkle_root for r in T.merkle_roots(leaves, "batch", "i", "h").collect()}
+    proofs = T.merkle_proofs(leaves, "batch", "i", "h").withColumn("ok", T.verify_proof(F.col("leaf"), F.col("proof"), F.col("root"))).collect()
+    assert len(proofs) == len(rows)
+    assert all(p.ok and p.root == roots[p.batch] for p in proofs)
+    assert {len(p.proof) for p in proofs if p.batch == "a"} == {10}
+
+
+def test_path_eval(spark):
+    paths = spark.createDataFrame([("x", [1, 2, 3, 4]), ("y", [6, 8]), ("z", [5, 9]), ("one", [1]), ("w", [1, 10, 9])], "attack string, nodes array<long>")
+    got = {r.attack: r for r in P.path_eval(edges(spark), paths).collect()}
+    assert got["x"].path == [1, 2, 3, 4] and got["x"].completeness == got["x"].ordering == 1
+    assert got["y"].path == [6, 7, 8] and got["y"].completeness == 1
+    assert not got["z"].found and not got["one"].found
+    assert got["w"].path == [1, 2, 9] and abs(got["w"].completeness - 2 / 3) < 1e-9 and got["w"].ordering == 1

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from faultline.operators import detectors as D, history as H, trust
+from faultline.operators import detectors as D, economic, history as H, trust
 from faultline.operators.quantiles import exact_quantiles
 from faultline.sources.tables import telemetry
 
@@ -96,3 +96,12 @@ def test_one_exchange_for_the_engine(spark, sf_dir):
     full = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     assert full.count("Exchange hashpartitioning(function_id") <= 6
+
+
+def test_invocation_limit_holds_inside_a_block(spark):
+    """The count never exceeds the limit, wherever a block ends."""
+    rows = spark.range(900).selectExpr("id AS event_id", "'f' AS function_id", "id * 100000 AS ts_us", "1.0D AS duration", "100L AS memory_spike_kb", "10.0D AS cpu_utilization", "10L AS network_io_bytes")
+    got = {r.event_id: r.recent_count for r in economic.invocation_pattern(rows, limit=50).select("event_id", "recent_count").collect()}
+    assert got == {i: min(i + 1, 50) for i in range(900)}
+    wide = {r.event_id: r.recent_count for r in economic.invocation_pattern(rows, limit=5000).select("event_id", "recent_count").collect()}
+    assert wide == {i: min(i + 1, 601) for i in range(900)}
