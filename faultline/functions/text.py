@@ -211,7 +211,7 @@ def _spans_of(text: Column, rule: str, kind: str, pattern: str, confidence: floa
 
 
 def redact_spans(text: Column, spans: Column, policy: str = "mask") -> Column:
-    """Apply one redaction policy to detected spans, last span first."""
+    """Apply one redaction policy to detected spans, last span first; spans that overlap are covered as one."""
     def cover(s: Column) -> Column:
         v, n = s["value"], F.length(s["value"])
         if policy == "hash":
@@ -225,8 +225,13 @@ def redact_spans(text: Column, spans: Column, policy: str = "mask") -> Column:
                 F.concat(F.substring(v, 1, 2), F.repeat(F.lit("*"), n - 4), F.right(v, F.lit(2))))
         return F.repeat(F.lit("*"), n)
 
-    ordered = F.reverse(F.array_sort(spans))
-    return F.aggregate(ordered, text, lambda t, s: F.overlay(t, cover(s), s["start"] + 1, F.length(s["value"])))
+    bounds = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["value"])).alias("end"))))
+    last = lambda acc: F.get(acc, F.size(acc) - 1)
+    merged = F.aggregate(bounds, F.slice(bounds, 1, 0), lambda acc, s: F.when(
+        (F.size(acc) == 0) | (last(acc)["end"] <= s["start"]), F.array_append(acc, s)).otherwise(
+        F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], s["end"]).alias("end"))))))
+    whole = F.transform(merged, lambda s: F.struct(s["start"].alias("start"), F.substr(text, s["start"] + 1, s["end"] - s["start"]).alias("value")))
+    return F.aggregate(F.reverse(whole), text, lambda t, s: F.overlay(t, cover(s), s["start"] + 1, F.length(s["value"])))
 
 
 def mask_value(value: Column, strategy: str = "mask", partial: bool = False) -> Column:

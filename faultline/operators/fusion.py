@@ -108,6 +108,7 @@ def explain(fused: DataFrame, names: list[str] | None = None) -> DataFrame:
         lambda d: d["on"])
     top = F.transform(F.slice(F.array_sort(found), 1, 3), lambda d: d["name"])
     all_n = F.lit(len(names))
+    # --- fixed values: the explanation texts ---
     text = F.when(
         F.col("fused_anomaly"),
         F.format_string("Anomaly detected: %s. Consensus: %.1f%% (%d/%d algorithms). Top contributors: %s",

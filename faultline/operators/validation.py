@@ -65,6 +65,7 @@ ID_PATTERNS = {"event_id": r"^[a-zA-Z0-9\-_]{8,64}", "function_id": r"^[a-zA-Z0-
 def validate_telemetry(df: DataFrame, as_of: float) -> DataFrame:
     """``errors``, ``warnings``, ``valid`` and a quality score; ``as_of`` (epoch s) stands for now."""
     have = set(df.columns)
+    # --- fixed values: the message texts ---
     errors = [F.lit(f"Missing required field: {f}") for f in REQUIRED if f not in have]
     errors += [F.when(F.coalesce(F.trim(F.col(f).cast("string")), F.lit("")) == "", F.lit(f"Empty required field: {f}")) for f in REQUIRED if f in have]
     warn = [F.when((F.col(f) < lo) | (F.col(f) > hi), F.lit(f"{f} outside expected range")) for f, (lo, hi) in RANGES.items() if f in have]

@@ -55,3 +55,14 @@ def test_keyed_hashes(spark):
     for key in ("salt", "k" * 100):
         assert one(spark, TX.hmac_sha256(F.col("v"), key), v="héllo") == hmac.new(key.encode(), "héllo".encode(), "sha256").hexdigest()
     assert one(spark, TX.keyed_hash(F.col("v"), "salt", "blake2b"), v="x") == hashlib.blake2b(b"x", key=b"salt").hexdigest()
+
+
+def test_overlapping_spans_are_covered_once(spark):
+    t = "call 555-12-3456-7890 now, a@b.example"
+    span = lambda start, value: (start, "k", "r", value, 0.9)
+    spans = [span(5, "555-12-3456"), span(9, "12-3456-7890"), span(27, "a@b.example"), span(27, "a@b")]
+    df = spark.createDataFrame([(t, spans)], "t string, s array<struct<start:int,pii_type:string,rule:string,value:string,confidence:double>>")
+    row = df.select(*[TX.redact_spans(F.col("t"), F.col("s"), p).alias(p) for p in ("mask", "remove", "hash")]).first()
+    assert row.mask == "call " + "*" * 16 + " now, " + "*" * 11
+    assert row.remove == "call [REMOVED] now, [REMOVED]"
+    assert row.hash.startswith("call [HASH:") and row.hash.count("[HASH:") == 2 and " now, " in row.hash
