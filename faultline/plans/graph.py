@@ -339,7 +339,7 @@ SELECT variant, tp, fp, fn, round(f1, 6) AS f1, round((SELECT f1 FROM f WHERE va
 @query(_ABL)
 def ablation(spark, sf_dir):
     out = P.ablation(_prov(spark, sf_dir), ["function_id"], _truth(spark, sf_dir), threshold=0.35)
-    return out.withColumns({"f1": r("f1"), "importance": r("importance")})
+    return out.select("variant", "tp", "fp", "fn", r("f1").alias("f1"), r("importance").alias("importance"))
 
 
 @query(None)
