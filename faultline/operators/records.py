@@ -160,14 +160,16 @@ def map_fields(df: DataFrame, spec: dict[str, dict], keep_unknown: bool = True)
     return df.select(*rest, *out, failed.alias("mapping_errors"))
 
 
-# SQL templates for ``map_fields``
+# SQL templates for ``map_fields``; numbers come as numbers, times as epoch seconds or ISO text
 TRANSFORMS = {
-    "to_string": "CAST({} AS STRING)", "to_integer": "try_cast({} AS BIGINT)", "to_float": "try_cast({} AS DOUBLE)",
-    "to_boolean": "try_cast({} AS BOOLEAN)", "lowercase": "lower({})", "uppercase": "upper({})", "trim": "trim({})",
-    "capitalize": "concat(upper(substring({0}, 1, 1)), lower(substring({0}, 2)))", "round": "round({}, 2)", "abs": "abs({})",
-    "sqrt": "sqrt({})", "to_timestamp": "timestamp_seconds({})", "from_timestamp": "unix_timestamp({})",
-    "format_date": "date_format({}, 'yyyy-MM-dd')", "to_json": "to_json({})", "hash": "sha2(CAST({} AS STRING), 256)",
-    "anonymize": "concat('anon_', substring(sha2(CAST({} AS STRING), 256), 1, 8))", "normalize": "lower(trim(CAST({} AS STRING)))",
+    "to_string": "CAST({} AS STRING)", "to_int": "CAST(try_cast({} AS DOUBLE) AS BIGINT)", "to_float": "try_cast({} AS DOUBLE)",
+    "to_bool": "coalesce(try_cast({0} AS DOUBLE) <> 0, CAST({0} AS STRING) <> '')", "to_lowercase": "lower(CAST({} AS STRING))", "to_uppercase": "upper(CAST({} AS STRING))",
+    "trim": "trim(CAST({} AS STRING))", "capitalize": "concat(upper(substring({0}, 1, 1)), lower(substring({0}, 2)))", "round": "bround(CAST({} AS DOUBLE))",
+    "abs": "abs(CAST({} AS DOUBLE))", "sqrt": "sqrt(CAST({} AS DOUBLE))", "to_timestamp": "CAST(unix_timestamp(CAST({} AS TIMESTAMP)) AS DOUBLE)",
+    "from_timestamp": "date_format(timestamp_seconds({}), \"yyyy-MM-dd'T'HH:mm:ss+00:00\")", "format_date": "date_format(timestamp_seconds({}), 'yyyy-MM-dd')",
+    "to_json": "to_json({})", "from_json": "from_json({}, 'map<string,string>')", "hash_value": "substring(md5(CAST({} AS STRING)), 1, 16)",
+    "anonymize": "concat(substring({0}, 1, CASE WHEN length({0}) > 2 THEN 2 ELSE 0 END), repeat('*', length({0}) - CASE WHEN length({0}) > 2 THEN 2 ELSE 0 END))",
+    "normalize": "lower(trim(CAST({} AS STRING)))",
 }
 
 

@@ -126,10 +126,11 @@ def clustering_coefficient(spark, sf_dir):
     return G.triangles(_actors(spark, sf_dir)).withColumn("clustering", r("clustering"))
 
 
-@query("WITH " + _ACT + """SELECT count(*) AS nodes, (SELECT count(*) FROM g WHERE src <> dst) AS edges, round(avg(clustering), 6) AS avg_clustering, round(sum(triangles) / sum(degree * (degree - 1) / 2), 6) AS transitivity,
-  round((SELECT count(*) FROM g WHERE src <> dst) / (count(*) * (count(*) - 1.0)), 6) AS density FROM cl""")
+@query("WITH RECURSIVE " + _ACT + """, rc AS (SELECT id, id AS c FROM nd UNION SELECT bo.y, rc.c FROM rc JOIN bo ON bo.x = rc.id)
+SELECT count(*) AS nodes, (SELECT count(*) FROM g WHERE src <> dst) AS edges, round(avg(clustering), 6) AS avg_clustering, round(sum(triangles) / sum(degree * (degree - 1) / 2), 6) AS transitivity,
+  round((SELECT count(*) FROM g WHERE src <> dst) / (count(*) * (count(*) - 1.0)), 6) AS density, (SELECT count(DISTINCT m) FROM (SELECT min(c) AS m FROM rc GROUP BY id)) AS components FROM cl""")
 def structure_metrics(spark, sf_dir):
-    return G.structure_metrics(_actors(spark, sf_dir)).select("nodes", "edges", r("avg_clustering").alias("avg_clustering"), r("transitivity").alias("transitivity"), r("density").alias("density"))
+    return G.structure_metrics(_actors(spark, sf_dir)).select("nodes", "edges", r("avg_clustering").alias("avg_clustering"), r("transitivity").alias("transitivity"), r("density").alias("density"), "components")
 
 
 @query("WITH " + _ACT + """, k AS (SELECT count(*) AS n, avg(degree) AS k1, avg(degree * degree) AS k2, max(degree) AS km, avg(clustering) AS c FROM cl)

@@ -250,7 +250,7 @@ def time_features(spark, sf_dir):
   substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 8) AS tag, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'ok' END AS state FROM customer""")
 def map_fields(spark, sf_dir):
     from faultline.sources.tables import table
-    spec = {"id": {"source": "c_custkey", "required": True}, "label": {"source": "c_name", "transform": records.TRANSFORMS["uppercase"]},
+    spec = {"id": {"source": "c_custkey", "required": True}, "label": {"source": "c_name", "transform": records.TRANSFORMS["to_uppercase"]},
             "balance": {"source": "c_acctbal", "transform": "round({}, 2)"}, "segment": {"source": "c_mktsegment", "default": "none"},
             "tag": {"source": "c_custkey", "transform": "substring(sha2(CAST({} AS STRING), 256), 1, 8)"},
             "state": {"expr": "CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'ok' END"}}
@@ -268,3 +268,13 @@ def correlation_id(spark, sf_dir):
     from faultline.sources.tables import table
     t = table(spark, sf_dir, "events").select("event_id", F.expr("CASE WHEN event_id % 2 = 0 THEN props END AS a"), F.expr("concat(event_type, '#', event_id) AS b"))
     return t.select("event_id", records.correlation_id("a", "b").alias("correlation_id"))
+
+
+@query("""SELECT c_custkey AS id, lower(c_name) AS to_lowercase, upper(c_name) AS to_uppercase, upper(c_name[1]) || lower(c_name[2:]) AS capitalize, substr(md5(c_name), 1, 16) AS hash_value, c_name[1:2] || repeat('*', length(c_name) - 2) AS anonymize,
+  lower(trim(c_name)) AS normalize, round_even(c_acctbal, 0)::DOUBLE AS round, abs(c_acctbal)::DOUBLE AS abs, round(sqrt(c_custkey), 9) AS sqrt, trunc(c_acctbal)::BIGINT AS to_int, c_custkey::VARCHAR AS to_string, c_acctbal <> 0 AS to_bool,
+  strftime(make_timestamp(c_custkey * 1000000000), '%Y-%m-%dT%H:%M:%S+00:00') AS from_timestamp, strftime(make_timestamp(c_custkey * 1000000000), '%Y-%m-%d') AS format_date FROM customer""")
+def field_transforms(spark, sf_dir):
+    from faultline.sources.tables import table
+    t, on = records.TRANSFORMS, {"name": ("to_lowercase", "to_uppercase", "capitalize", "hash_value", "anonymize", "normalize"), "balance": ("round", "abs", "to_int", "to_bool"), "id": ("to_string",), "time": ("from_timestamp", "format_date")}
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_name AS name", "CAST(c_acctbal AS DOUBLE) AS balance", "c_custkey * 1000 AS time")
+    return rows.select("id", *[F.expr(t[k].format(c)).alias(k) for c, ks in on.items() for k in ks], r(F.expr(t["sqrt"].format("id")), 9).alias("sqrt"))
