@@ -6,15 +6,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-# assumed values: fields of the known versions, name -> type
+# --- fixed values: fields of the known versions with their JSON types, and those a record may lack ---
 VERSIONS = {
-    "v1.0": {"id": "string", "timestamp": "double", "function": "string", "phase": "string", "data": "string"},
-    "v2.0": {"record_id": "string", "timestamp": "double", "function_name": "string", "execution_phase": "string", "anomaly_type": "string", "telemetry_data": "string"},
-    "v2.1": {"record_id": "string", "timestamp": "double", "function_name": "string", "execution_phase": "string", "anomaly_type": "string", "telemetry_data": "string",
-             "provenance_chain": "string", "context_metadata": "string"},
-    "v2.2": {"record_id": "string", "timestamp": "double", "function_name": "string", "execution_phase": "string", "anomaly_type": "string", "telemetry_data": "string",
-             "provenance_chain": "string", "context_metadata": "string", "anomaly_confidence": "double", "behavioral_signature": "string", "risk_score": "double"},
+    "v1.0": {"id": "string", "timestamp": "integer", "function": "string", "phase": "string", "data": "object", "version": "string"},
+    "v2.0": {"record_id": "string", "timestamp": "number", "function_name": "string", "execution_phase": "string", "anomaly_type": "string", "telemetry_data": "object", "schema_version": "string"},
+    "v2.1": {"record_id": "string", "timestamp": "number", "function_name": "string", "execution_phase": "string", "anomaly_type": "string", "telemetry_data": "object",
+             "provenance_chain": "object", "context_metadata": "object", "schema_version": "string"},
+    "v2.2": {"record_id": "string", "timestamp": "number", "function_name": "string", "execution_phase": "string", "anomaly_type": "string", "anomaly_confidence": "number", "telemetry_data": "object",
+             "provenance_chain": "object", "context_metadata": "object", "behavioral_signature": "string", "risk_score": "number", "schema_version": "string"},
 }
+OPTIONAL = {"v1.0": ["version"], "v2.0": ["schema_version"], "v2.1": ["provenance_chain", "context_metadata"],
+            "v2.2": ["anomaly_confidence", "provenance_chain", "context_metadata", "behavioral_signature", "risk_score"]}
+# JSON types by what Spark calls them in a variant
+KINDS = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|DECIMAL.*", "object": "OBJECT.*"}
 # --- fixed values: confidence and base risk by class; namespace of derived ids ---
 CONFIDENCE = {"benign": 0.9, "suspicious": 0.6, "malicious": 0.8, "unknown": 0.3}
 RISK = {"benign": 10.0, "suspicious": 50.0, "malicious": 90.0, "unknown": 30.0}
@@ -29,16 +33,27 @@ def uuid5(name: Column) -> Column:
     return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
 
 
-def detect_version(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """Best matching version of a JSON record: share of its fields present, minus unknown fields; later versions win ties."""
-    keys = F.json_object_keys(raw)
+def detect_version(df: DataFrame, raw: str = "raw", least: float = 0.7) -> DataFrame:
+    """schema_version and match of a JSON record.
+
+    A ``schema_version`` field decides, then a ``version`` field. Else the best matching version whose required fields
+    are all there: 0.6 of the share of its fields present plus 0.4 of the share of those with the right JSON type; the
+    earlier version wins a tie, and below ``least`` there is none.
+    """
+    keys, parsed = F.json_object_keys(raw), F.try_parse_json(raw)
     scores = []
     for i, (v, fields) in enumerate(VERSIONS.items()):
-        names = F.array(*[F.lit(f) for f in fields])
-        have = F.size(F.array_intersect(keys, names))
-        scores.append(F.struct(F.round(have / len(fields) - 0.1 * (F.size(keys) - have), 9).alias("s"), F.lit(i).alias("i"), F.lit(v).alias("v")))
+        need = F.array(*[F.lit(f) for f in fields if f not in OPTIONAL[v]])
+        common = F.size(F.array_intersect(keys, F.array(*[F.lit(f) for f in fields])))
+        typed = F.lit(0)
+        for f, kind in fields.items():
+            typed = typed + F.coalesce(F.schema_of_variant(F.variant_get(parsed, f"$.{f}", "variant")).rlike(f"^({KINDS[kind]})$"), F.lit(False)).cast("int")
+        score = F.when(F.size(F.array_except(need, keys)) == 0, 0.6 * common / len(fields) + 0.4 * typed / F.greatest(common, F.lit(1))).otherwise(0.0)
+        scores.append(F.struct(F.round(score, 9).alias("s"), F.lit(-i).alias("i"), F.lit(v).alias("v")))
     best = F.array_max(F.array(*scores))
-    return df.withColumns({"schema_version": best["v"], "match": best["s"]})
+    explicit, old = F.get_json_object(raw, "$.schema_version"), F.get_json_object(raw, "$.version")
+    found = F.coalesce(explicit, F.when(old.startswith("v"), old).otherwise(F.concat(F.lit("v"), old)), F.when(best["s"] >= least, best["v"]))
+    return df.withColumns({"schema_version": found, "match": best["s"]})
 
 
 def _v1_to_v2(c: dict[str, Column]) -> dict[str, Column]:
@@ -80,7 +95,7 @@ def migrate(df: DataFrame, start: str, goal: str) -> DataFrame:
     path = migration_path(start, goal)
     if not path:
         raise ValueError(f"no migration from {start} to {goal}")
-    cols = {f: F.col(f) for f in VERSIONS[start]}
+    cols = {f: F.col(f) for f in VERSIONS[start] if f not in ("version", "schema_version")}
     for a, b in zip(path, path[1:]):
         cols = STEPS[(a, b)](cols)
     return df.select(*[c.alias(n) for n, c in cols.items()], F.lit(goal).alias("schema_version"))

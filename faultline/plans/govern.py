@@ -23,16 +23,17 @@ def query(sql: str | None):
     return add
 
 
-_VER = """CASE WHEN event_id % 4 = 0 THEN to_json(named_struct('id', CAST(event_id AS STRING), 'timestamp', 1, 'function', event_type, 'phase', 'exec', 'data', 'x'))
-  WHEN event_id % 4 = 1 THEN to_json(named_struct('record_id', CAST(event_id AS STRING), 'timestamp', 1, 'function_name', event_type, 'execution_phase', 'execution', 'anomaly_type', 'benign', 'telemetry_data', 'x'))
-  WHEN event_id % 4 = 2 THEN to_json(named_struct('record_id', CAST(event_id AS STRING), 'timestamp', 1, 'function_name', event_type, 'execution_phase', 'execution', 'anomaly_type', 'benign', 'telemetry_data', 'x', 'provenance_chain', 'p', 'context_metadata', 'c'))
-  ELSE to_json(named_struct('record_id', CAST(event_id AS STRING), 'timestamp', 1, 'function_name', event_type, 'execution_phase', 'execution', 'anomaly_type', 'benign', 'telemetry_data', 'x', 'provenance_chain', 'p', 'context_metadata', 'c',
-    'anomaly_confidence', 1, 'behavioral_signature', 's', 'risk_score', 2)) END"""
+_VER = """CASE event_id % 7 WHEN 0 THEN to_json(named_struct('id', CAST(event_id AS STRING), 'timestamp', 1, 'function', event_type, 'phase', 'exec', 'data', named_struct('x', 1)))
+  WHEN 1 THEN to_json(named_struct('record_id', CAST(event_id AS STRING), 'timestamp', 1.5D, 'function_name', event_type, 'execution_phase', 'execution', 'anomaly_type', 'benign', 'telemetry_data', named_struct('x', 1)))
+  WHEN 2 THEN to_json(named_struct('record_id', CAST(event_id AS STRING), 'timestamp', 1, 'schema_version', 'v2.1'))
+  WHEN 3 THEN to_json(named_struct('id', 'a', 'version', '1.0')) WHEN 4 THEN to_json(named_struct('id', CAST(event_id AS STRING), 'timestamp', 1))
+  WHEN 5 THEN to_json(named_struct('id', 1, 'timestamp', 'x', 'function', 2, 'phase', 3, 'data', 4)) ELSE to_json(named_struct('id', 1, 'timestamp', 1, 'function', event_type, 'phase', 3, 'data', named_struct('x', 1))) END"""
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'v1.0' WHEN 1 THEN 'v2.0' WHEN 2 THEN 'v2.1' ELSE 'v2.2' END AS schema_version FROM events")
+@query("""SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'v1.0' WHEN 1 THEN 'v2.0' WHEN 2 THEN 'v2.1' WHEN 3 THEN 'v1.0' WHEN 6 THEN 'v1.0' END AS schema_version,
+  CASE event_id % 7 WHEN 0 THEN 0.9 WHEN 1 THEN round(0.6 * 6 / 7 + 0.4, 6) WHEN 5 THEN 0.5 WHEN 6 THEN 0.74 ELSE 0.0 END::DOUBLE AS match FROM events""")
 def detect_schema_version(spark, sf_dir):
-    return S.detect_version(table(spark, sf_dir, "events").select("event_id", F.expr(_VER).alias("raw"))).select("event_id", "schema_version")
+    return S.detect_version(table(spark, sf_dir, "events").select("event_id", F.expr(_VER).alias("raw"))).select("event_id", "schema_version", r("match").alias("match"))
 
 
 @query("""WITH h AS (SELECT event_id, event_type, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('e' || event_id)) AS h FROM events)
