@@ -24,9 +24,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     The model learns from all labelled documents of this input (a bounded sample of them).
     """
     model = language.learn(docs)
-    named = language.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, keep=("row",))
-    found = named.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("bits") < MOST_BITS))
-    return found.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
+    named = language.identify(docs, model, keep=tuple(docs.columns), names=("__lang", "__score", "__bits"))
+    found = named.filter((F.col("__lang") != language.UNDETERMINED) & (F.col("__bits") < MOST_BITS))
+    return found.withColumn("lang", F.col("__lang")).select(*docs.columns)
 
 
 def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 STEP_BYTES = 4_000_000
 
 
+#: rows of an Arrow batch: texts are long, and a batch is held by the executor and by its Python worker
+BATCH_ROWS = 1_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables; the session's Arrow batches are made small enough for long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -125,17 +125,19 @@ class Model:
         """
         w, starts, parts, base = self.width, [], [], 0
         for e, n in zip(self.edges, self.states):
-            t = np.full((n, w), -1, np.int64)
-            t[e[:, 0], e[:, 1]] = e[:, 2]
-            root = t[0].copy()
+            root = np.full(w, -1, np.int64)
+            at_root = e[e[:, 0] == 0]
+            root[at_root[:, 1]] = at_root[:, 2]
             miss = root < 0
-            step = np.where(t >= 0, (t + base) * w * 4, (np.where(miss, 0, root) + base) * w * 4 + miss + 1)
-            step[0] = np.where(miss, base * w * 4 + 1, step[0])
-            parts.append(step.ravel().astype(np.int32))
+            if (base + n) * w * 4 >= 2**31:
+                raise ValueError("the training sample is too large for 32-bit tables")
+            step = np.empty((n, w), np.int32)
+            step[:] = ((np.where(miss, 0, root) + base) * w * 4 + miss + 1).astype(np.int32)
+            step[0] = np.where(miss, base * w * 4 + 1, 0)
+            step[e[:, 0], e[:, 1]] = (e[:, 2].astype(np.int64) + base) * w * 4
+            parts.append(step.ravel())
             starts.append(base * w)
             base += n
-        if base * w * 4 >= 2**31:
-            raise ValueError("the training sample is too large for 32-bit tables")
         return np.concatenate(parts), np.array(starts, np.int32)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -227,8 +229,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     return model
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: the columns ``keep`` (the id by default), lang_pred, score, bits.
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str, str] = ("lang_pred", "score", "bits")) -> DataFrame:
+    """One row per row of ``docs``: the columns ``keep`` (the id by default), then lang_pred, score, bits (or other ``names``).
 
     The text, lower-cased, non-letters collapsed, is cut greedily into the longest phrases that occur in the training
     text of a language. Phrases times log2 of the training length, over the letters, are the bits a letter costs
@@ -239,16 +241,19 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     keep = keep or (id_col,)
+    fields = [*keep] if text_col in keep else [*keep, text_col]
+    at = fields.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in steps(batches, "__text"):
-            got = m.judge(b.column(b.num_columns - 1).to_pylist())
+        for b in steps(batches, text_col):
+            got = m.judge(b.column(at).to_pylist())
             extra = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *extra], [*b.schema.names[:-1], "lang_pred", "score", "bits"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *extra], [*keep, *names])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, f"{kinds}, lang_pred string, score double, bits double")
+    out = ", ".join(f"`{n}` {kind}" for n, kind in zip(names, ("string", "double", "double")))
+    return docs.select(*[F.col(f"`{c}`") for c in fields]).mapInArrow(run, f"{kinds}, {out}")
 
 
 def held_out(id_col: str = "doc_id", mod: int = 4, rest: int = 2):

@@ -14,7 +14,7 @@ from faultline.llm.common import steps, table
 
 MARK = "▁"
 #: distinct chunks that one task remembers; beyond it the table starts anew, which costs time and changes no result
-TABLE_ROWS = 600_000
+TABLE_ROWS = 200_000
 
 
 class ChunkTable:
