@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faultline.llm import darts, language, lines, mixing, pieces
-from faultline.llm.common import store, table
+from faultline.llm.common import small_batches, store, table
 
 #: bits a letter costs in the best language from which on a text counts as no language at all: a uniform code of 2^7 letters
 MOST_BITS = 7.0
@@ -23,6 +23,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Texts without letters (``und``) and texts that no language describes in fewer than MOST_BITS bits a letter are rejected.
     The model learns from all labelled documents of this input (a bounded sample of them).
     """
+    small_batches(spark)
     model = language.learn(docs)
     named = language.identify(docs, model, keep=tuple(docs.columns), names=("__lang", "__score", "__bits"))
     found = named.filter((F.col("__lang") != language.UNDETERMINED) & (F.col("__bits") < MOST_BITS))
@@ -35,6 +36,7 @@ def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Only lines that occur BOILERPLATE times lose their later occurrences: a document and its few copies stay whole, so that
     the next stage can tell that they are copies.
     """
+    small_batches(spark)
     gone = lines.removals(docs.select(F.col("doc_id").alias("id"), "text"), least=BOILERPLATE).withColumnsRenamed({"id": "doc_id", "gone": "__gone"})
     joined = docs.join(gone, "doc_id", "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
@@ -45,6 +47,7 @@ def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def deduplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: the one with the smallest id."""
+    small_batches(spark)
     dropped = store(darts.near_duplicates(docs.select("doc_id", "text")).filter("NOT kept").select("doc_id").distinct())
     few = dropped.limit(200_001).count() <= 200_000
     return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*docs.columns)
@@ -57,6 +60,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and ids of each document, begin and end included."""
+    small_batches(spark)
     keyed = docs.select(F.struct("doc_id", "lang", "source").alias("key"), "text")
     coded = pieces.encode(keyed, pieces.model_path(), id_col="key")
     return coded.select("id.doc_id", "id.lang", "id.source", F.size("ids").cast("long").alias("n_tokens"), "ids")

@@ -20,9 +20,14 @@ STEP_BYTES = 4_000_000
 BATCH_ROWS = 1_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables; the session's Arrow batches are made small enough for long texts."""
+def small_batches(spark: SparkSession) -> None:
+    """Make the session's Arrow batches small enough for long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables, in a session with `small_batches`."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
