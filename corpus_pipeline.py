@@ -13,8 +13,8 @@ from faultline.llm.common import small_batches, store, table
 
 #: bits a letter costs in the best language from which on a text counts as no language at all: a uniform code of 2^7 letters
 MOST_BITS = 7.0
-#: occurrences that make a line boilerplate
-BOILERPLATE = 7
+#: occurrences from which a line loses all but the first: the operator's own
+BOILERPLATE = lines.LEAST
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat an earlier line; one that loses all its text goes.
 
-    Only lines that occur BOILERPLATE times lose their later occurrences: a document and its few copies stay whole, so that
-    the next stage can tell that they are copies.
+    A copy of a document goes here with its lines; of a near copy the lines that no earlier document has stay.
     """
     small_batches(spark)
     gone = lines.removals(docs.select(F.col("doc_id").alias("id"), "text"), least=BOILERPLATE).withColumnsRenamed({"id": "doc_id", "gone": "__gone"})

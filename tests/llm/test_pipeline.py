@@ -29,6 +29,16 @@ def test_stages_against_brute_force(spark, sf_dir, documents):
     assert final == {i: sp.encode(lined[i], add_bos=True, add_eos=True) for i in drawn}
 
 
+def test_a_line_that_occurs_twice_loses_the_second(spark, sf_dir):
+    own = [f"document {i} has this sentence number {i * 7919} to itself" for i in range(9)]
+    twice, often = "a passage that two documents of different text share", "a passage that six documents of different text share"
+    texts = [f"{x}\n{twice}" if i < 2 else f"{x}\n{often}" if i < 8 else f"{own[0]}\n{twice}" for i, x in enumerate(own)]
+    docs = edge_docs(spark, [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)])
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pipeline.deduplicate_lines(spark, docs, sf_dir).collect()}
+    want = {i: texts[i] if i in (0, 2) else own[i] for i in range(8)}  # the last one has nothing of its own
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
 def test_edges(spark, sf_dir):
     docs = edge_docs(spark)
     for part in (docs, docs.filter("false"), docs.filter("text IS NULL")):
