@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from faultline.llm.common import steps, store, table
 from faultline.llm.components import bucket_components, semi
 
-#: edits between two lines that count as one, and the characters a line needs to be compared at all
+#: edits between two lines that count as one, and the characters from which lines may differ by that many; shorter ones by fewer
 EDITS, SHORTEST = 2, 24
 #: occurrences from which a line loses all but the first
 LEAST = 2
@@ -23,6 +23,11 @@ def line_id(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def allowed(length: int, edits: int, shortest: int) -> int:
+    """Edits that a line of this length may be from a line at least as long: in proportion below ``shortest`` (2 from 24 characters on, 1 from 12, else 0)."""
+    return edits if length >= shortest else length * edits // shortest
+
+
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
     """(start, size) of the edits + 1 segments of a line: equal sizes, the longer ones last."""
     parts = edits + 1
@@ -114,8 +119,8 @@ def _band(codes: list[tuple[int, np.ndarray, np.ndarray]], edits: int) -> np.nda
     return done
 
 
-def matches(texts: list[str], asks: np.ndarray, answers: np.ndarray, edits: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each asking line the other answering lines at most ``edits`` edits away; lengths and characters are compared first."""
+def matches(texts: list[str], asks: np.ndarray, answers: np.ndarray, edits: int, shortest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each asking line the other answering lines that are near enough; lengths and characters are compared first."""
     size = np.array([len(t) for t in texts])
     sums = np.zeros((len(texts), 64), np.int32)  # how often each character (of 64 classes) occurs: two for each edit at most
     for i, t in enumerate(texts):
@@ -123,19 +128,38 @@ def matches(texts: list[str], asks: np.ndarray, answers: np.ndarray, edits: int)
     for a in asks:
         near = answers[(np.abs(size[answers] - size[a]) <= edits) & (answers != a)]
         near = near[np.abs(sums[near] - sums[a]).sum(axis=1) <= 2 * edits]
-        ok = within([(texts[a], texts[b]) for b in near], edits) if len(near) else np.zeros(0, bool)
+        ok = near_pairs([(texts[a], texts[b]) for b in near], edits, shortest) if len(near) else np.zeros(0, bool)
         if ok.any():
             yield int(a), near[ok]
 
 
-def occurrences(docs: DataFrame, shortest: int) -> DataFrame:
-    """(id, no, line) of every line of at least ``shortest`` characters: its number in the text and its hash."""
+def line_keys(line: str, edits: int, shortest: int) -> list[int]:
+    """Keys under which a line meets every longer or shorter line that is as near as the shorter one's length allows."""
+    n = len(line)
+    most = allowed(n, edits, shortest)
+    # shorter lines it can meet may allow fewer edits than it does itself
+    return [k for e in range(1, most + 1) if any(allowed(m, edits, shortest) == e for m in range(max(n - e, 0), n + 1)) for k in keys(line, e)]
+
+
+def near_pairs(pairs: list[tuple[str, str]], edits: int, shortest: int) -> np.ndarray:
+    """Whether each pair is as near as the length of its shorter line allows."""
+    most = np.array([allowed(min(len(a), len(b)), edits, shortest) for a, b in pairs], int)
+    ok = np.zeros(len(pairs), bool)
+    for e in range(1, edits + 1):
+        at = np.flatnonzero(most == e)
+        if len(at):
+            ok[at] = within([pairs[k] for k in at], e)
+    return ok
+
+
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(id, no, line) of every line that is not blank: its number in the text and its hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
             ids, nos, lines = [], [], []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for no, line in enumerate(text.split("\n")):
-                    if len(line) >= shortest:
+                    if line.strip():
                         ids.append(i), nos.append(no), lines.append(line_id(line))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), pa.array(lines, pa.int64())], ["id", "no", "line"])
 
@@ -143,18 +167,20 @@ def occurrences(docs: DataFrame, shortest: int) -> DataFrame:
 
 
 def near_lines(docs: DataFrame, edits: int, shortest: int) -> DataFrame:
-    """(id, component) of the lines (by hash) that have a different line within ``edits`` edits."""
+    """(id, component) of the lines (by hash) that have a different line as near as the shorter one's length allows."""
+    some = next((n for n in range(shortest + 1) if allowed(n, edits, shortest)), shortest)  # shorter lines are linked by equality only
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
-            distinct = {line for text in b.column(1).to_pylist() for line in text.split("\n") if len(line) >= shortest}
-            found = [(line_id(line), keys(line, edits)) for line in distinct]
+            distinct = {line for text in b.column(1).to_pylist() for line in text.split("\n") if len(line) >= some and line.strip()}
+            found = [(line_id(line), line_keys(line, edits, shortest)) for line in distinct]
             n = [len(f[1]) for f in found]
             key = np.fromiter((k for f in found for k in f[1]), np.int64, sum(n))
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(np.array([f[0] for f in found], np.int64), n))], ["key", "id"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
-            distinct = list({line for text in b.column(1).to_pylist() for line in text.split("\n") if len(line) >= shortest})
+            distinct = list({line for text in b.column(1).to_pylist() for line in text.split("\n") if len(line) >= some and line.strip()})
             yield pa.RecordBatch.from_arrays([pa.array([line_id(x) for x in distinct], pa.int64()), pa.array(distinct, pa.string())], ["id", "text"])
 
     # copies of a line have met within a step; what is left of a key is its different lines
@@ -166,14 +192,14 @@ def near_lines(docs: DataFrame, edits: int, shortest: int) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text_b"):
-            linked = within(list(zip(b.column(2).to_pylist(), b.column(3).to_pylist())), edits)
+            linked = near_pairs(list(zip(b.column(2).to_pylist(), b.column(3).to_pylist())), edits, shortest)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked)], ["a", "b", "linked"])
 
     def verified(pairs: DataFrame) -> DataFrame:
         held = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         return held.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a bigint, b bigint, linked boolean")
 
-    return bucket_components(buckets, texts, verified, lambda *rows: matches(*rows, edits))
+    return bucket_components(buckets, texts, verified, lambda *rows: matches(*rows, edits, shortest))
 
 
 def _by_key():
@@ -186,7 +212,7 @@ def removals(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, leas
     """(id, gone): the numbers of the lines to remove from each document (id, text) that has any, as `deduplicate` does."""
     docs = docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     near = near_lines(docs, edits, shortest)
-    each = occurrences(docs, shortest).join(near.select(F.col("id").alias("line"), "component"), "line", "left").select("id", "no", F.coalesce("component", "line").alias("line"))
+    each = occurrences(docs).join(near.select(F.col("id").alias("line"), "component"), "line", "left").select("id", "no", F.coalesce("component", "line").alias("line"))
     each = store(each)
     first = each.groupBy("line").agg(F.min(F.struct("id", "no")).alias("first"), F.count("*").alias("n")).filter(f"n >= {least}").select("line", "first")
     return each.join(first, "line").filter("struct(id, no) <> first").groupBy("id").agg(F.collect_set("no").alias("gone"))
@@ -195,9 +221,9 @@ def removals(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, leas
 def deduplicate(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, n_removed, kept), one row per row: each text without the lines that repeat an earlier line.
 
-    Lines are split at newlines. Lines of at least ``shortest`` characters that are equal or at most ``edits`` character
-    edits apart are linked, and of each connected class with ``least``
-    occurrences the first by (doc_id, line number) stays; shorter lines and rarer classes always stay.
+    Lines are split at newlines. Lines that are equal, or at most ``edits`` character edits apart, are linked; below ``shortest``
+    characters the edits shrink with the shorter line's length (`allowed`), down to equality alone. Of each connected class with
+    ``least`` occurrences the first by (doc_id, line number) stays; rarer classes and blank lines always stay.
     Kept lines are joined by newlines. A null text has no lines and an empty kept text, an empty text one empty line; rows of null id
     keep everything and are no reference; rows that repeat an id count as one document whose rows lose the same lines. Other columns
     are not read; an empty table gives an empty table.

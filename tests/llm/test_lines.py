@@ -77,6 +77,29 @@ def test_rare_lines_can_stay(spark):
     assert sorted(tuple(r) for r in lines.deduplicate(edge_docs(spark, rows), least=4).select("doc_id", "n_lines", "n_removed", "kept").collect()) == sorted(want)
 
 
+def test_short_lines(spark):
+    r = random.Random(5)
+    base = ["".join(r.choice("abcdefghij ") for _ in range(r.randint(1, 30))) for _ in range(25)] + ["All rights reserved.", "Yes.", "", "  ", "\r"]
+    rows = [(i, "\n".join(edited(r, x, r.choice((0, 0, 1, 2))) if x.strip() else x for x in r.choices(base, k=r.randint(1, 8))), "en", "s", 1) for i in range(60)]
+    # by brute force: two edits from 24 characters of the shorter line on, one from 12, else equality; blank lines stay
+    first, times = {}, Counter()
+    for i, text, *_ in rows:
+        for no, line in enumerate(text.split("\n")):
+            if line.strip():
+                first.setdefault(line, (i, no))
+                times[line] += 1
+    near = lambda a, b: distance(a, b) <= min(2, min(len(a), len(b)) // 12)
+    of = classes(first, near)
+    low = {c: min(first[x] for x in of if of[x] == c) for c in of.values()}
+    want = []
+    for i, text, *_ in rows:
+        ls = text.split("\n")
+        kept = [x for no, x in enumerate(ls) if not x.strip() or low[of[x]] == (i, no)]
+        want.append((i, len(ls), len(ls) - len(kept), "\n".join(kept)))
+    assert sorted(got(edge_docs(spark, rows))) == want
+    assert sum(n - 1 for x, n in times.items() if len(x) < 12) > 20 and any(len(x) < 24 and of[x] != x for x in of)
+
+
 def test_query(spark, sf_dir, documents):
     want = {i: (n, m) for i, n, m, _ in naive([d[:2] for d in documents])}
     assert {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in lines.op3(spark, sf_dir).collect()} == want
