@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from faultline.llm import darts, language, lines, mixing, pieces
 from faultline.llm.common import small_batches, store, table
 
-#: bits a letter costs in the best language from which on a text counts as no language at all: a uniform code of 2^7 letters
+#: bits a letter costs in the best language from which on a text counts as no language at all: a uniform code of 2^7 letters,
+#: or of all letters of the language where it has more
 MOST_BITS = 7.0
 #: occurrences from which a line loses all but the first: the operator's own
 BOILERPLATE = lines.LEAST
@@ -20,13 +21,15 @@ BOILERPLATE = lines.LEAST
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language, and ``lang`` set to it.
 
-    Texts without letters (``und``) and texts that no language describes in fewer than MOST_BITS bits a letter are rejected.
+    Texts without letters (``und``) and texts that no language describes in fewer than MOST_BITS bits a letter (more for large alphabets) are rejected.
     The model learns from all labelled documents of this input (a bounded sample of them).
     """
     small_batches(spark)
     model = language.learn(docs)
     named = language.identify(docs, model, keep=tuple(docs.columns), names=("__lang", "__score", "__bits"))
-    found = named.filter((F.col("__lang") != language.UNDETERMINED) & (F.col("__bits") < MOST_BITS))
+    wide = {lang: bits for lang, bits in zip(model.langs, map(float, model.uniform_bits)) if bits > MOST_BITS}
+    most = F.coalesce(F.create_map(*[F.lit(x) for pair in wide.items() for x in pair])[F.col("__lang")], F.lit(MOST_BITS)) if wide else F.lit(MOST_BITS)
+    found = named.filter((F.col("__lang") != language.UNDETERMINED) & (F.col("__bits") < most))
     return found.withColumn("lang", F.col("__lang")).select(*docs.columns)
 
 

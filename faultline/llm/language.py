@@ -18,6 +18,8 @@ from faultline.llm.common import steps, table
 SEGMENT = 4096
 #: symbols that match nothing (letters the model has not seen), and what stands for any run of non-letters
 UNSEEN, GAP = 0, 1
+#: cells of all step tables (four bytes each); languages of the most letters look their edges up instead once they are full
+CELLS = 1 << 26
 UNDETERMINED = "und"
 
 
@@ -40,7 +42,7 @@ def symbols(text: str, alphabet: np.ndarray) -> np.ndarray:
     if not _LETTERS:
         _LETTERS.append(letters())
     cps = _LETTERS[0][np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
-    sym = np.where(cps == 0, GAP, alphabet[cps]).astype(np.uint8)
+    sym = np.where(cps == 0, GAP, alphabet[cps]).astype(alphabet.dtype)
     gap = sym == GAP
     keep = ~gap
     keep[1:] |= ~gap[:-1]
@@ -111,39 +113,83 @@ class Model:
 
     @cached_property
     def alphabet_map(self) -> np.ndarray:
-        out = np.zeros(0x110000, np.uint8)
+        out = np.zeros(0x110000, np.int32)
         for cp, s in self.alphabet.items():
             out[cp] = s
         return out
 
     @cached_property
-    def dense(self) -> tuple[np.ndarray, np.ndarray]:
+    def own(self) -> list[np.ndarray]:
+        """For each language its own number of each symbol: 1 on for those its root knows, 0 for all others."""
+        out = []
+        for e in self.edges:
+            known = np.unique(e[e[:, 0] == 0, 1])
+            numbers = np.zeros(self.width, np.int32)
+            numbers[known] = np.arange(1, len(known) + 1)
+            out.append(numbers)
+        return out
+
+    @cached_property
+    def uniform_bits(self) -> list[float]:
+        """Bits a letter costs in a uniform code of each language's own letters."""
+        return [math.log2(max(int(o.max()), 2)) for o in self.own]
+
+    @cached_property
+    def tabled(self) -> list[bool]:
+        """Whether a language has a step table: those of the fewest cells, as far as CELLS goes."""
+        cells = [n * (int(o.max()) + 1) for n, o in zip(self.states, self.own)]
+        order = np.argsort(cells, kind="stable")
+        fits = np.zeros(len(cells), bool)
+        fits[order] = np.cumsum(np.array(cells, np.int64)[order]) <= CELLS
+        return fits.tolist()
+
+    @cached_property
+    def dense(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One step of the parse per (state, symbol): four times the next row, plus the phrases that end with the step.
 
         Without a transition the open phrase ends and the symbol opens the next one; a symbol that even the root does
-        not know is a phrase of its own.
+        not know is a phrase of its own. Every language has rows of its own width; its numbers of the symbols come last.
         """
-        w, starts, parts, base = self.width, [], [], 0
-        for e, n in zip(self.edges, self.states):
+        starts, parts, base = [], [np.zeros(0, np.int32)], 0
+        numbers = [o for o, t in zip(self.own, self.tabled) if t]
+        for own, e, n in [x[:3] for x in zip(self.own, self.edges, self.states, self.tabled) if x[3]]:
+            w = int(own.max()) + 1
             root = np.full(w, -1, np.int64)
             at_root = e[e[:, 0] == 0]
-            root[at_root[:, 1]] = at_root[:, 2]
+            root[own[at_root[:, 1]]] = at_root[:, 2]
             miss = root < 0
-            if (base + n) * w * 4 >= 2**31:
-                raise ValueError("the training sample is too large for 32-bit tables")
             step = np.empty((n, w), np.int32)
-            step[:] = ((np.where(miss, 0, root) + base) * w * 4 + miss + 1).astype(np.int32)
-            step[0] = np.where(miss, base * w * 4 + 1, 0)
-            step[e[:, 0], e[:, 1]] = (e[:, 2].astype(np.int64) + base) * w * 4
+            step[:] = ((np.where(miss, 0, root) * w + base) * 4 + miss + 1).astype(np.int32)
+            step[0] = np.where(miss, base * 4 + 1, 0)
+            step[e[:, 0], own[e[:, 1]]] = (e[:, 2].astype(np.int64) * w + base) * 4
             parts.append(step.ravel())
-            starts.append(base * w)
-            base += n
-        return np.concatenate(parts), np.array(starts, np.int32)
+            starts.append(base)
+            base += n * w
+        return np.concatenate(parts), np.array(starts, np.int32), np.array(numbers, np.int32).reshape(len(starts), self.width)
+
+    def _looked_up(self, language: int, lanes: np.ndarray, active: np.ndarray) -> np.ndarray:
+        """Phrases of each lane against a language whose edges are looked up in a sorted list."""
+        w, e = self.width, self.edges[language].astype(np.int64)
+        key = e[:, 0] * w + e[:, 1]
+        order = np.argsort(key)
+        key, to = key[order], e[order, 2]
+        root = np.zeros(w, np.int64)
+        root[e[e[:, 0] == 0, 1]] = e[e[:, 0] == 0, 2]  # no edge leads to the root: 0 stands for an unknown symbol
+        state, count = np.zeros(lanes.shape[1], np.int64), np.zeros(lanes.shape[1], np.int64)
+        for t, k in enumerate(active):
+            sym, at = lanes[t, :k], state[:k]
+            want = at * w + sym
+            i = np.minimum(np.searchsorted(key, want), len(key) - 1)
+            hit = key[i] == want
+            begun = root[sym]
+            count[:k] += np.where(hit, 0, (at != 0) * 1 + (begun == 0))
+            state[:k] = np.where(hit, to[i], begun)
+        return count + (state != 0)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text against each language, all segments side by side."""
-        dense, starts = self.dense
-        out = np.zeros((len(texts), len(starts)), np.int64)
+        dense, starts, numbers = self.dense
+        out = np.zeros((len(texts), len(self.edges)), np.int64)
         owner, at, size = [], [], []
         for i, x in enumerate(texts):
             for a in range(0, len(x), SEGMENT):
@@ -152,7 +198,7 @@ class Model:
             return out
         order = np.argsort(-np.array(size), kind="stable")
         size = np.array(size)[order]
-        lanes = np.zeros((size[0], len(order)), np.uint8)
+        lanes = np.zeros((size[0], len(order)), np.int32)
         for lane, k in enumerate(order):
             lanes[: size[lane], lane] = texts[owner[k]][at[k] : at[k] + size[lane]]
         active = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
@@ -160,16 +206,20 @@ class Model:
         count = np.zeros(state.shape, np.int32)
         for t in range(size[0]):
             k = active[t]
-            v = dense[state[:, :k] + lanes[t, :k]]
+            v = dense[state[:, :k] + numbers[:, lanes[t, :k]]]
             count[:, :k] += v & 3
             state[:, :k] = v >> 2
         count += state != starts[:, None]
-        np.add.at(out, np.array(owner)[order], count.T)
+        counts = np.zeros((len(self.edges), len(order)), np.int64)
+        counts[np.flatnonzero(self.tabled)] = count
+        for language in np.flatnonzero(~np.array(self.tabled, bool)):
+            counts[language] = self._looked_up(language, lanes, active)
+        np.add.at(out, np.array(owner)[order], counts.T)
         return out
 
     def judge(self, texts: list[str | None]) -> list[tuple[str, float, float | None]]:
         """(language, score, bits a letter) of each text."""
-        syms = [symbols(x, self.alphabet_map) if x else np.zeros(0, np.uint8) for x in texts]
+        syms = [symbols(x, self.alphabet_map) if x else np.zeros(0, np.int32) for x in texts]
         counts = self.phrases(syms) if self.langs else np.zeros((len(texts), 0))
         cost = np.array([math.log2(max(n, 2)) for n in self.sizes])
         out = []
@@ -185,13 +235,13 @@ class Model:
         return out
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_langs: int = 64, docs_per_lang: int = 60, chars_per_lang: int = 48_000, longest: int = 8_000, max_letters: int = 120) -> Model:
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_langs: int = 64, docs_per_lang: int = 60, chars_per_lang: int = 48_000, longest: int = 8_000) -> Model:
     """A model from a bounded sample of labelled rows: at most ``max_langs`` languages (the most frequent), for each about
-    ``docs_per_lang`` documents of 40 to ``longest`` characters, chosen by a hash of the id, and ``chars_per_lang``
-    symbols of them. Languages of fewer rows give what they have. Rows without label or text are not used; an empty
+    ``docs_per_lang`` documents of 40 characters or more (the first ``longest`` of each), chosen by a hash of the id, and
+    ``chars_per_lang`` symbols of them. All letters of the sample count, in every language its own. Languages of fewer rows give what they have. Rows without label or text are not used; an empty
     table gives a model without languages, which answers ``und``.
     """
-    train = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text", f"`{lang_col}` AS lang").filter(f"lang IS NOT NULL AND text IS NOT NULL AND length(text) BETWEEN 40 AND {longest}")
+    train = docs.selectExpr(f"`{id_col}` AS id", f"substring(`{text_col}`, 1, {longest}) AS text", f"`{lang_col}` AS lang").filter("lang IS NOT NULL AND text IS NOT NULL AND length(text) >= 40")
     counts = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     if not counts:
         return Model([], {}, [], [], [])
@@ -204,15 +254,13 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
         by_lang[r["lang"]].append(r["text"])
     by_lang = {k: v[:docs_per_lang] for k, v in by_lang.items() if v}
     seen: Counter[int] = Counter()
-    everything = np.zeros(0x110000, np.uint8)
-    everything[:] = 2
     if not _LETTERS:
         _LETTERS.append(letters())
     for texts in by_lang.values():
         for x in texts:
             cps = _LETTERS[0][np.frombuffer(x.encode("utf-32-le", "replace"), np.uint32)]
             seen.update(cps[cps > 0].tolist())
-    alphabet = {cp: i + 2 for i, (cp, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:max_letters])}
+    alphabet = {cp: i + 2 for i, (cp, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0])))}
     model = Model(list(by_lang), alphabet, [], [], [])
     for texts in by_lang.values():
         left, parts = chars_per_lang, []

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+import corpus_pipeline as pipeline
 from faultline.llm import language
 from helpers import edge_docs, edge_rows
 
@@ -70,3 +71,24 @@ def test_tie_goes_to_the_first_language():
     m = model_of({"a": "abab", "b": "abab"})
     lang, score, _ = m.judge(["ab"])[0]
     assert (lang, score) == ("a", pytest.approx(0.5))
+
+
+def test_large_alphabets_and_long_texts_keep_their_letters(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    words = {lang: ["".join(map(chr, rng.integers(first, first + size, 2 if size > 99 else 5))) for _ in range(400)] for lang, first, size in (("ja", 0x4E00, 1500), ("ka", 0x10D0, 30), ("ko", 0xAC00, 900), ("ru", 0x430, 32), ("zh", 0x6000, 1500))}
+    rows = [(10 * i + k, " ".join(rng.choice(words[lang], 3000 if lang == "ka" else 200)), lang, "s", 1) for i in range(20) for k, lang in enumerate(words)]
+    docs = edge_docs(spark, rows)
+    model = language.learn(docs)
+    assert model.langs == sorted(words)  # texts of ka are all longer than a sampled part
+    got = language.identify(docs, model).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {r[0]: r[2] for r in rows}
+    texts = [language.symbols(t[:500], model.alphabet_map) for _, t, *_ in rows[:10]]
+    tables = model.phrases(texts)
+    monkeypatch.setattr(language, "CELLS", 8_000_000)
+    some = language.Model(model.langs, model.alphabet, model.edges, model.states, model.sizes)
+    assert any(some.tabled) and not all(some.tabled)
+    monkeypatch.setattr(language, "CELLS", 0)
+    none = language.Model(model.langs, model.alphabet, model.edges, model.states, model.sizes)
+    assert not any(none.tabled) and (none.phrases(texts) == tables).all() and (some.phrases(texts) == tables).all()
+    kept = pipeline.identify_language(spark, docs, "")
+    assert kept.count() == len(rows)
