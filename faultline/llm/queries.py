@@ -6,7 +6,7 @@ from importlib import import_module
 
 import corpus_pipeline
 
-AREAS = ("language", "passages", "lines", "darts", "search", "vectors", "mixing", "toxicity", "chat", "pieces", "audit", "fingerprints")
+AREAS = ("language", "passages", "lines", "darts", "search", "vectors", "mixing", "toxicity", "chat", "pieces", "audit", "fingerprints", "spelling")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
