@@ -1,5 +1,7 @@
+import hashlib
 import random
-from collections import Counter, defaultdict
+from collections import Counter
+from functools import lru_cache
 
 from faultline.llm import lines
 from helpers import classes, edge_docs, edge_rows
@@ -40,22 +42,38 @@ def test_band_and_keys_against_full_distance():
                 assert set(lines.keys(a, edits)) & set(lines.keys(b, edits))
 
 
+def near_line(a, b, edits=2, shortest=24):
+    """Two edits from 24 characters of the shorter line on, one from 12, else equality, by the full edit matrix."""
+    most = min(edits, min(len(a), len(b)) * edits // shortest)
+    if abs(len(a) - len(b)) > most or not most:
+        return a == b
+    x, y = bag(a), bag(b)
+    return max(sum((x - y).values()), sum((y - x).values())) <= most and distance(a, b) <= most
+
+
+@lru_cache(None)
+def bag(line):
+    return Counter(line)
+
+
 def naive(rows, edits=2, shortest=24, least=2):
-    first = {}
-    for i, text in sorted((i, t) for i, t in rows if i is not None and t is not None):
-        for no, line in enumerate(text.split("\n")):
-            if len(line) >= shortest:
-                first[line] = min(first.get(line, (i, no)), (i, no))
-    near = lambda a, b: abs(len(a) - len(b)) <= edits and bool(lines.within([(a, b)], edits)[0])
-    of = classes(first, near)
-    low = defaultdict(lambda: (float("inf"), 0))
+    """By brute force over all pairs of lines: of a class the first line stays; blank lines and rows of null id keep everything."""
+    first, n = {}, Counter()
+    for i, text in rows:
+        if i is not None and text is not None:
+            for no, line in enumerate(text.split("\n")):
+                if line.strip():
+                    first[line] = min(first.get(line, (i, no)), (i, no))
+                    n[line] += 1
+    of = classes(first, lambda a, b: near_line(a, b, edits, shortest))
+    low, size = {}, Counter()
     for line, c in of.items():
-        low[c] = min(low[c], first[line])
-    n = Counter(of[x] for i, t in rows if i is not None and t is not None for x in t.split("\n") if len(x) >= shortest)
+        low[c] = min(low.get(c, first[line]), first[line])
+        size[c] += n[line]
     out = []
     for i, text in rows:
         ls = [] if text is None else text.split("\n")
-        kept = [x for no, x in enumerate(ls) if i is None or len(x) < shortest or n[of[x]] < least or low[of[x]] == (i, no)]
+        kept = [x for no, x in enumerate(ls) if i is None or not x.strip() or size[of[x]] < least or low[of[x]] == (i, no)]
         out.append((i, len(ls), len(ls) - len(kept), "\n".join(kept)))
     return out
 
@@ -81,23 +99,11 @@ def test_short_lines(spark):
     r = random.Random(5)
     base = ["".join(r.choice("abcdefghij ") for _ in range(r.randint(1, 30))) for _ in range(25)] + ["All rights reserved.", "Yes.", "", "  ", "\r"]
     rows = [(i, "\n".join(edited(r, x, r.choice((0, 0, 1, 2))) if x.strip() else x for x in r.choices(base, k=r.randint(1, 8))), "en", "s", 1) for i in range(60)]
-    # by brute force: two edits from 24 characters of the shorter line on, one from 12, else equality; blank lines stay
-    first, times = {}, Counter()
-    for i, text, *_ in rows:
-        for no, line in enumerate(text.split("\n")):
-            if line.strip():
-                first.setdefault(line, (i, no))
-                times[line] += 1
-    near = lambda a, b: distance(a, b) <= min(2, min(len(a), len(b)) // 12)
-    of = classes(first, near)
-    low = {c: min(first[x] for x in of if of[x] == c) for c in of.values()}
-    want = []
-    for i, text, *_ in rows:
-        ls = text.split("\n")
-        kept = [x for no, x in enumerate(ls) if not x.strip() or low[of[x]] == (i, no)]
-        want.append((i, len(ls), len(ls) - len(kept), "\n".join(kept)))
+    want = sorted(naive([x[:2] for x in rows]))
     assert sorted(got(edge_docs(spark, rows))) == want
-    assert sum(n - 1 for x, n in times.items() if len(x) < 12) > 20 and any(len(x) < 24 and of[x] != x for x in of)
+    seen = [x for _, text, *_ in rows for x in text.split("\n") if x.strip()]
+    assert sum(n - 1 for x, n in Counter(seen).items() if len(x) < 12) > 20
+    assert any(x != y and near_line(x, y) for x in set(seen) for y in set(seen) if len(x) < 24)
 
 
 def test_query(spark, sf_dir, documents):
@@ -105,6 +111,17 @@ def test_query(spark, sf_dir, documents):
     assert {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in lines.op3(spark, sf_dir).collect()} == want
 
 
+def test_query_with_planted_near_lines(spark, documents, tmp_path):
+    r = random.Random(7)
+    some = [x for _, t, *_ in documents[:120] for x in (t or "").split("\n") if len(x) >= 12][:400]
+    planted = [(10_000 + k, "\n".join(edited(r, x, r.choice((1, 1, 2, 3))) for x in r.sample(some, 6))) for k in range(40)]
+    rows = [(i, t) for i, t, *_ in documents[:120]] + planted
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: (n, m, hashlib.sha256(k.encode()).hexdigest()) for i, n, m, k in naive(rows)}
+    got = {x["doc_id"]: (x["n_lines"], x["n_removed"], x["kept_sha256"]) for x in lines.op3(spark, str(tmp_path)).collect()}
+    assert got == want and sum(want[i][1] for i, _ in planted) > 100
+
+
 def test_edges(spark):
     rows = edge_rows()
     assert sorted(map(str, got(edge_docs(spark)))) == sorted(map(str, naive([x[:2] for x in rows])))
