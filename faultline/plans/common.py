@@ -48,3 +48,18 @@ sc AS (SELECT *, event_id % 11 / 20.0 AS adversarial_score, cpu_utilization / 20
   CASE anomaly_type WHEN 'benign' THEN 'benign' WHEN 'data_exfiltration' THEN 'malicious' ELSE 'suspicious' END AS label,
   CASE execution_phase WHEN 'init' THEN 'initialization' WHEN 'shutdown' THEN 'completion' WHEN 'error' THEN 'error' ELSE 'execution' END AS phase
 FROM tel)"""
+
+
+def gap(x: str, y: str, cols: str = "abcd") -> str:
+    """Euclidean distance of two rows in SQL, added up in the order of the columns."""
+    return "sqrt(" + " + ".join(f"({x}.{c} - {y}.{c}) * ({x}.{c} - {y}.{c})" for c in cols) + ")"
+
+
+def dbscan_sql(table: str, cols: str, eps: float, least: int) -> str:
+    """Clauses up to z(id, cluster): the density cluster of each row of ``table``, named by its smallest core row; null for noise."""
+    return f"""e AS MATERIALIZED (SELECT x.id, y.id AS o FROM {table} x, {table} y WHERE {gap("x", "y", cols)} <= {eps}),
+core AS MATERIALIZED (SELECT id FROM e GROUP BY id HAVING count(*) >= {least}),
+ce AS MATERIALIZED (SELECT e.id, e.o FROM e JOIN core a ON a.id = e.id JOIN core b ON b.id = e.o WHERE e.id <> e.o),
+cc(id, cluster) USING KEY (id) AS (SELECT id, id FROM core UNION
+  SELECT ce.o, min(cc.cluster) FROM cc JOIN ce ON ce.id = cc.id JOIN recurring.cc AS old ON old.id = ce.o WHERE cc.cluster < old.cluster GROUP BY ce.o),
+z AS (SELECT t.id, coalesce(any_value(cc.cluster), min(b.cluster)) AS cluster FROM {table} t LEFT JOIN cc ON cc.id = t.id LEFT JOIN e ON e.id = t.id LEFT JOIN cc b ON b.id = e.o GROUP BY t.id)"""

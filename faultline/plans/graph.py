@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline.operators import graphs as G, history as H, provenance as P
-from faultline.plans.common import TEL, Query, r
+from faultline.operators import graphs as G, history as H, neighbours as N, provenance as P
+from faultline.plans.common import TEL, Query, dbscan_sql, r
 from faultline.sources.tables import table, telemetry
 
 QUERIES: dict[str, Query] = {}
@@ -357,3 +357,14 @@ def path_eval(spark, sf_dir):
 def anomaly_clusters(spark, sf_dir):
     nodes = telemetry(spark, sf_dir).select(F.col("event_id").alias("id"), "duration", "memory_spike_kb", "cpu_utilization", F.when(F.col("anomaly_type") != "benign", 1.0).otherwise(0.0).alias("score"))
     return G.anomaly_clusters(nodes, _events_graph(spark, sf_dir)).groupBy("cluster").agg(F.count(F.lit(1)).alias("nodes"), F.max("cluster_score").alias("score"))
+
+
+@query(f"""WITH RECURSIVE {_LAST5},
+n AS (SELECT event_id AS id, CASE WHEN anomaly_type <> 'benign' THEN 1.0 ELSE 0.0 END::DOUBLE AS s, duration, memory_spike_kb, cpu_utilization, coalesce(deg, 0)::DOUBLE AS deg FROM tel LEFT JOIN (SELECT src, count(DISTINCT dst) AS deg FROM ed GROUP BY src) ON src = event_id),
+u AS MATERIALIZED (SELECT id, s, (s - avg(s) OVER ()) / stddev_pop(s) OVER () AS a, (duration - avg(duration) OVER ()) / stddev_pop(duration) OVER () AS b, (memory_spike_kb - avg(memory_spike_kb) OVER ()) / stddev_pop(memory_spike_kb) OVER () AS c,
+  (cpu_utilization - avg(cpu_utilization) OVER ()) / stddev_pop(cpu_utilization) OVER () AS d, (deg - avg(deg) OVER ()) / stddev_pop(deg) OVER () AS e FROM n),
+{dbscan_sql("u", "abcde", 0.5, 3)}
+SELECT cluster, count(*) AS nodes, round(avg(s), 6) AS score FROM z JOIN u USING (id) WHERE cluster IS NOT NULL GROUP BY cluster HAVING count(*) > 1""")
+def anomaly_density_clusters(spark, sf_dir):
+    nodes = telemetry(spark, sf_dir).select(F.col("event_id").alias("id"), "duration", "memory_spike_kb", "cpu_utilization", F.when(F.col("anomaly_type") != "benign", 1.0).otherwise(0.0).alias("score"))
+    return N.density_clusters(nodes, _events_graph(spark, sf_dir)).groupBy("cluster").agg(F.count(F.lit(1)).alias("nodes"), r(F.max("cluster_score")).alias("score"))

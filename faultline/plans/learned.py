@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline.operators import detectors as D, evaluation as V, fusion, models as M
-from faultline.plans.common import TEL, Query, r
+from faultline.operators import detectors as D, evaluation as V, fusion, models as M, neighbours as N
+from faultline.plans.common import TEL, Query, dbscan_sql, gap, r
 from faultline.plans.detectors import _FUSED
 from faultline.sources.tables import telemetry
 
@@ -66,6 +66,55 @@ def isolation_forest_detector(spark, sf_dir):
     return M.isolation_forest(*_parts(spark, sf_dir), COLS).select("event_id", r("score").alias("score"), (F.col("score") > F.col("threshold")).alias("anomalous"))
 
 
+def _held_out(spark, sf_dir):
+    """Four fifths of the benign rows train, everything else is scored."""
+    t = telemetry(spark, sf_dir).withColumn("label", F.col("anomaly_type") != "benign")
+    fit = F.expr("anomaly_type = 'benign' AND event_id % 5 <> 4")
+    return t.where(fit), t.where(~fit)
+
+
+_SPLIT = f"""WITH RECURSIVE {TEL}, tr AS (SELECT * FROM tel WHERE anomaly_type = 'benign' AND event_id % 5 <> 4), te AS (SELECT * FROM tel WHERE NOT (anomaly_type = 'benign' AND event_id % 5 <> 4)),
+f AS (SELECT avg(duration) AS m1, stddev_pop(duration) AS s1, avg(memory_spike_kb) AS m2, stddev_pop(memory_spike_kb) AS s2, avg(cpu_utilization) AS m3, stddev_pop(cpu_utilization) AS s3, avg(network_io_bytes) AS m4, stddev_pop(network_io_bytes) AS s4 FROM tr),
+u AS MATERIALIZED (SELECT event_id AS id, (duration - m1) / s1 AS a, (memory_spike_kb - m2) / s2 AS b, (cpu_utilization - m3) / s3 AS c, (network_io_bytes - m4) / s4 AS d FROM tr, f),
+v AS MATERIALIZED (SELECT event_id AS id, (duration - m1) / s1 AS a, (memory_spike_kb - m2) / s2 AS b, (cpu_utilization - m3) / s3 AS c, (network_io_bytes - m4) / s4 AS d FROM te, f)"""
+
+
+def _lof_sql(k: int) -> str:
+    near = "unnest(min({{'d': {}, 'r': y.rep, 'o': y.id}}, {})) AS n"
+    return f"""{_SPLIT}, w AS MATERIALIZED (SELECT *, min(id) OVER (PARTITION BY a, b, c, d) AS rep FROM u),
+n AS MATERIALIZED (SELECT id, n.d AS dist, n.o AS o FROM (SELECT x.id, {near.format(gap("x", "y"), k)} FROM w x JOIN w y ON x.id <> y.id GROUP BY x.id)),
+k AS (SELECT id, max(dist) AS reach FROM n GROUP BY id),
+l AS (SELECT n.id, 1 / (avg(greatest(dist, reach)) + 1e-10) AS lrd FROM n JOIN k ON k.id = n.o GROUP BY n.id),
+g AS (SELECT n.id, avg(o.lrd) / any_value(l.lrd) AS lof FROM n JOIN l o ON o.id = n.o JOIN l ON l.id = n.id GROUP BY n.id),
+q AS MATERIALIZED (SELECT id, n.d AS dist, n.o AS o FROM (SELECT x.id, {near.format(gap("x", "y"), k)} FROM v x, w y GROUP BY x.id)),
+h AS (SELECT q.id, avg(lrd) * (avg(greatest(dist, reach)) + 1e-10) AS lof FROM q JOIN k ON k.id = q.o JOIN l ON l.id = q.o GROUP BY q.id)
+SELECT id AS event_id, round(lof, 5) AS lof, round((lof - min(lof) OVER ()) / (max(lof) OVER () - min(lof) OVER ()), 5) AS score, lof > (SELECT quantile_cont(lof, 0.9) FROM g) AS anomalous FROM h"""
+
+
+def _lof(spark, sf_dir, k):
+    out = N.local_outlier_factor(*_held_out(spark, sf_dir), COLS, k)
+    return out.select("event_id", r("lof", 5).alias("lof"), r("score", 5).alias("score"), (F.col("score") > F.col("threshold")).alias("anomalous"))
+
+
+@query(_lof_sql(10))
+def lof_detector_10(spark, sf_dir):
+    return _lof(spark, sf_dir, 10)
+
+
+@query(_lof_sql(20))
+def lof_detector_20(spark, sf_dir):
+    return _lof(spark, sf_dir, 20)
+
+
+@query(f"""{_SPLIT}, {dbscan_sql("u", "abcd", 0.5, 5)},
+ctr AS (SELECT avg(a) AS a, avg(b) AS b, avg(c) AS c, avg(d) AS d FROM z JOIN u USING (id) WHERE cluster IS NOT NULL GROUP BY cluster),
+m AS (SELECT v.id, min({gap("v", "ctr")}) AS dist FROM v, ctr GROUP BY v.id)
+SELECT id AS event_id, round(dist / max(dist) OVER (), 5) AS score, dist > avg(dist) OVER () + 2 * stddev_pop(dist) OVER () AS anomalous FROM m""")
+def dbscan_detector(spark, sf_dir):
+    out = N.dbscan_distance(*_held_out(spark, sf_dir), COLS)
+    return out.select("event_id", r("score", 5).alias("score"), (F.col("score") > F.col("threshold")).alias("anomalous"))
+
+
 @query(None)
 def detector_comparison(spark, sf_dir):
     train, test = _parts(spark, sf_dir)
