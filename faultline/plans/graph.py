@@ -304,14 +304,74 @@ def predecessors(spark, sf_dir):
     return P.predecessors(telemetry(spark, sf_dir), ["execution_phase"])
 
 
-@query("WITH RECURSIVE " + _PROV + """, ce AS MATERIALIZED (SELECT src, dst FROM pe WHERE strength >= 0.3), sc AS (SELECT event_id, anomaly_type, least(1, CASE WHEN anomaly_type <> 'benign' THEN 0.3 ELSE 0 END + least(0.2, len(list_filter(res, lambda x: x IN ('database', 'storage', 'memory_intensive'))) * 0.1)) AS s FROM pn),
-b AS (SELECT event_id AS target, event_id AS id, 0 AS hop FROM pn WHERE anomaly_type = 'data_exfiltration' UNION SELECT b.target, ce.src, b.hop + 1 FROM b JOIN ce ON ce.dst = b.id WHERE b.hop < 5), m AS (SELECT target, id, min(hop) AS hop FROM b GROUP BY 1, 2)
-SELECT target, count(*) AS nodes, CAST(max(hop) AS INT) AS hops, round(max(s)::DOUBLE, 6) AS severity, round(avg(s), 6) AS confidence, count(*) FILTER (WHERE anomaly_type <> 'benign') AS anomalous FROM m JOIN sc ON sc.event_id = m.id GROUP BY 1""")
+# --- provenance with content: every event puts out a result, two of three take in a payload; notes carry what flags look for ---
+
+_RES = """list_filter([CASE WHEN network_io_bytes > 1024 THEN 'network' END, CASE WHEN memory_spike_kb > 100000 THEN 'memory_intensive' END, CASE WHEN cpu_utilization > 80 THEN 'cpu_intensive' END], lambda x: x IS NOT NULL)"""
+_FLOW = f"""{TEL}, k AS (SELECT tel.*, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, {_RES} AS res FROM tel JOIN events USING (event_id)),
+fn AS MATERIALIZED (SELECT *, sha256('{{"user":' || user_id || ',"k":' || (k * 3 + 1) % 10 || '}}')[:16] AS made, CASE WHEN event_id % 3 <> 0 THEN sha256('{{"user":' || user_id || ',"k":' || k % 10 || '}}')[:16] END AS taken,
+  CASE WHEN anomaly_type <> 'benign' THEN CASE WHEN event_id % 37 = 0 THEN 'security_event' ELSE 'error_event' END WHEN event_id % 31 = 0 THEN 'external_service' WHEN event_id % 3 <> 0 THEN 'data_input' ELSE 'function_execution' END AS kind FROM k),
+fp AS (SELECT a.event_id AS src, b.event_id AS dst FROM fn a JOIN fn b ON a.function_id = b.function_id AND b.ts_us > a.ts_us AND b.ts_us - a.ts_us <= 300000000
+  UNION SELECT a.event_id, b.event_id FROM fn a JOIN fn b ON a.made = b.taken AND b.ts_us > a.ts_us AND b.ts_us - a.ts_us <= 300000000),
+fs AS (SELECT src, dst, 1 - (b.ts_us - a.ts_us) / 300000000.0 AS tp, CASE WHEN a.made = b.taken THEN 1 ELSE 0 END AS df, CASE WHEN a.function_id = b.function_id THEN 0.8 ELSE 0.6 END AS fu, a.function_id <> b.function_id AS other,
+  CASE WHEN a.anomaly_type <> 'benign' AND b.anomaly_type <> 'benign' THEN 0.7 WHEN a.anomaly_type <> 'benign' THEN 0.3 ELSE 0 END AS er,
+  CASE WHEN len(a.res) > 0 AND len(b.res) > 0 THEN len(list_intersect(a.res, b.res)) / len(list_distinct(list_concat(a.res, b.res))) ELSE 0 END AS rs FROM fp JOIN fn a ON a.event_id = src JOIN fn b ON b.event_id = dst),
+fe AS MATERIALIZED (SELECT src, dst, tp * 0.3 + df * 0.25 + rs * 0.2 + fu * 0.15 + er * 0.1 AS strength, least(0.9, (tp + df + rs + fu) / 4) AS confidence,
+  CASE WHEN df > 0.5 THEN 'derivation' WHEN rs > 0.5 THEN 'dependency' WHEN other THEN 'communication' WHEN er > 0.5 THEN 'causality' ELSE 'temporal' END AS type FROM fs WHERE tp * 0.3 + df * 0.25 + rs * 0.2 + fu * 0.15 + er * 0.1 >= 0.3)
+"""
+
+
+def _flow(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    note = F.when(F.expr("event_id % 31 = 0"), "http partner").when(F.expr("event_id % 29 = 0"), "debug console").when(F.expr("event_id % 41 = 0"), "privilege change").otherwise(F.col("event_type"))
+    content = lambda v: F.struct(F.col("user_id").alias("user"), v.alias("k"))
+    raw = F.to_json(F.struct(F.when(F.expr("event_id % 3 <> 0"), content(k % 10)).alias("payload"), content((k * 3 + 1) % 10).alias("result"), note.alias("note"), F.when(F.expr("event_id % 37 = 0"), "key").alias("auth")))
+    t = telemetry(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", raw.alias("raw")), "event_id")
+    return P.provenance_nodes(t, "raw")
+
+
+@query("WITH " + _FLOW + """SELECT event_id, kind AS node_type, coalesce(taken, '') AS data_in, made AS data_out, CASE WHEN event_id % 37 = 0 THEN 'has_auth' || CASE WHEN event_id % 29 = 0 AND event_id % 31 <> 0 THEN ',contains_debug' ELSE '' END WHEN event_id % 29 = 0 AND event_id % 31 <> 0 THEN 'contains_debug' ELSE '' END AS flags,
+round(least(1, CASE WHEN anomaly_type <> 'benign' THEN 0.3 ELSE 0 END + CASE WHEN event_id % 29 = 0 AND event_id % 31 <> 0 THEN 0.1 ELSE 0 END + CASE WHEN list_contains(res, 'memory_intensive') THEN 0.1 ELSE 0 END + CASE WHEN kind = 'external_service' THEN 0.2 ELSE 0 END)::DOUBLE, 6) AS security_score FROM fn""")
+def provenance_content(spark, sf_dir):
+    n = _flow(spark, sf_dir).withColumn("security_score", P.security_score())
+    return n.select("event_id", "node_type", F.concat_ws(",", "data_in").alias("data_in"), F.concat_ws(",", "data_out").alias("data_out"), F.concat_ws(",", "security_flags").alias("flags"), r("security_score").alias("security_score"))
+
+
+@query("WITH " + _FLOW + """SELECT src, dst, type, round(strength + 1e-9, 6) AS strength, round(confidence + 1e-9, 6) AS confidence FROM fe""")
+def causal_edges_with_content(spark, sf_dir):
+    e = P.causal_edges(_flow(spark, sf_dir), ["function_id"], across=True)
+    return e.select("src", "dst", "type", r(F.col("strength") + 1e-9).alias("strength"), r(F.col("confidence") + 1e-9).alias("confidence"))
+
+
+@query("WITH " + _FLOW + """SELECT b.event_id, a.event_id AS predecessor, b.ts_us - a.ts_us AS age_us FROM fn a JOIN fn b ON (b.ts_us > a.ts_us OR (b.ts_us = a.ts_us AND b.event_id > a.event_id)) AND b.ts_us - a.ts_us <= 60000000
+WHERE coalesce(a.made = b.taken, false) OR (a.execution_phase = b.execution_phase AND (a.function_id = b.function_id OR (a.anomaly_type <> 'benign' AND b.anomaly_type <> 'benign')))""")
+def predecessors_with_content(spark, sf_dir):
+    return P.predecessors(_flow(spark, sf_dir), ["execution_phase"])
+
+
+_CHAINS = "WITH RECURSIVE " + _FLOW + """, st AS (SELECT event_id AS target, 0 AS hop, [event_id] AS seen, [event_id] AS front FROM fn WHERE anomaly_type = 'data_exfiltration'
+  UNION ALL SELECT target, hop + 1, list_concat(any_value(seen), list(DISTINCT src)), list(DISTINCT src) FROM (SELECT target, hop, seen, unnest(front) AS cur FROM st WHERE len(seen) <= 20) x JOIN fe ON fe.dst = x.cur WHERE NOT list_contains(seen, src) GROUP BY target, hop),
+ch AS MATERIALIZED (SELECT target, hop, unnest(front) AS event_id FROM st)
+"""
+
+
+@query(_CHAINS + """, o AS (SELECT target, hop, event_id, kind, anomaly_type, res, ts_us, lead(event_id) OVER w AS nxt, row_number() OVER w AS pos FROM ch JOIN fn USING (event_id) WINDOW w AS (PARTITION BY target ORDER BY hop DESC, ts_us, event_id)),
+p AS (SELECT target, arg_min(o.event_id, pos) AS entry_point, count(*) AS nodes, max(hop)::INT AS hops, count(*) FILTER (kind = 'security_event') AS sec, count(*) FILTER (kind = 'external_service') AS ext, count(*) FILTER (anomaly_type <> 'benign') AS anomalous,
+  count(fe.src) AS edges, count(*) FILTER (strength > 0.7) AS strong, coalesce(avg(confidence), 0) AS confidence, count(*) FILTER (kind IN ('external_service', 'data_input')) + count(*) FILTER (len(res) > 0) AS controls, min(ts_us) AS started FROM o LEFT JOIN fe ON fe.src = o.event_id AND fe.dst = o.nxt GROUP BY target)
+SELECT target, entry_point, nodes, hops, anomalous, controls, started, CASE WHEN sec >= 2 THEN 'multi_stage' WHEN ext >= 1 AND nodes >= 3 THEN 'external_infiltration' WHEN nodes >= 5 THEN 'complex_chain' ELSE 'simple' END AS attack_type,
+  round(confidence + 1e-9, 6) AS confidence, round(least(1, least(0.3, nodes / 10) + least(0.4, sec * 0.2) + least(0.3, CASE WHEN edges > 0 THEN strong / edges ELSE 0 END)) + 1e-9, 6) AS severity FROM p""")
 def attack_paths(spark, sf_dir):
-    n = _prov(spark, sf_dir)
-    e = P.causal_edges(n, ["function_id"], threshold=0.3)
-    out = P.attack_paths(e, n.where("anomaly_type = 'data_exfiltration'"), n, depth=5)
-    return out.select("target", "nodes", "hops", r("severity").alias("severity"), r("confidence").alias("confidence"), "anomalous")
+    n = _flow(spark, sf_dir)
+    out = P.attack_paths(P.causal_edges(n, ["function_id"], across=True), n.where("anomaly_type = 'data_exfiltration'"), n)
+    return out.select("target", "entry_point", "nodes", "hops", "anomalous", F.size("mitigation").cast("bigint").alias("controls"), F.col("timeline")[0]["ts_us"].alias("started"), "attack_type",
+                      r(F.col("confidence") + 1e-9).alias("confidence"), r(F.col("severity") + 1e-9).alias("severity"))
+
+
+@query(_CHAINS + """SELECT target, vector, string_agg(event_id, ',' ORDER BY event_id) AS nodes FROM (SELECT target, event_id, CASE WHEN kind = 'security_event' THEN 'security_event' END AS vector FROM ch JOIN fn USING (event_id)
+UNION ALL SELECT target, event_id, CASE WHEN event_id % 41 = 0 AND event_id % 31 <> 0 AND event_id % 29 <> 0 THEN 'privilege_escalation' END FROM ch) x WHERE vector IS NOT NULL GROUP BY ALL""")
+def attack_vectors(spark, sf_dir):
+    n = _flow(spark, sf_dir)
+    chains = P.attack_ancestors(P.causal_edges(n, ["function_id"], across=True), n.where("anomaly_type = 'data_exfiltration'"))
+    return P.attack_vectors(chains, n).select("target", "vector", F.array_join("nodes", ",").alias("nodes"))
 
 
 _TRUTH = """tt AS (SELECT a.event_id AS src, b.event_id AS dst FROM h a JOIN h b ON a.function_id = b.function_id AND b.rn = a.rn + 1 WHERE b.ts_us - a.ts_us <= 300000000)"""

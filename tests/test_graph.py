@@ -1,4 +1,5 @@
 import hashlib
+import json
 import itertools
 from collections import deque
 
@@ -100,3 +101,43 @@ def test_path_eval(spark):
     assert got["y"].path == [6, 7, 8] and got["y"].completeness == 1
     assert not got["z"].found and not got["one"].found
     assert got["w"].path == [1, 2, 9] and abs(got["w"].completeness - 2 / 3) < 1e-9 and got["w"].ordering == 1
+
+
+def node_rows(spark, rows):
+    """(event_id, ts in seconds, function, raw JSON) as provenance nodes."""
+    df = spark.createDataFrame([(i, s * 1_000_000, f, "benign", raw) for i, s, f, raw in rows], "event_id long, ts_us long, function_id string, anomaly_type string, raw string")
+    zero = {c: F.lit(0.0) for c in ("network_io_bytes", "memory_spike_kb", "cpu_utilization")}
+    return P.provenance_nodes(df.withColumns(zero), "raw")
+
+
+def test_content_flows(spark, monkeypatch):
+    raw = lambda i, o: json.dumps({k: v for k, v in (("payload", i), ("result", o)) if v is not None})
+    hot = [(100 + i, 50 + i % 7, f"x{i}", raw("hot", "hot")) for i in range(40)]
+    rows = [(1, 0, "aa", raw(None, {"k": 1})), (2, 10, "bb", raw({"k": 1}, "z")), (3, 400, "cc", raw({"k": 1}, None)), (4, 10, "dd", raw("external z", None)), (5, 10, "ee", raw("z", {"k": 1})), (6, 20, "ff", None), *hot]
+    time = {i: s for i, s, *_ in rows}
+    ins, outs = ({i: json.loads(r).get(k) for i, _, _, r in rows if r} for k in ("payload", "result"))
+    want = {(a, b) for a, x in outs.items() for b, y in ins.items() if x is not None and x == y and (time[a], a) < (time[b], b) and time[b] - time[a] <= 300}
+    for crowded in (5_000, 3):
+        monkeypatch.setattr(P, "CROWDED", crowded)
+        nodes = node_rows(spark, rows)
+        assert {tuple(r) for r in P.flow_pairs(nodes, 300_000_000).collect()} == want
+    assert {(1, 2), (2, 5)} <= want and len(want) > 600
+    e = {(r.src, r.dst): r.type for r in P.causal_edges(nodes, ["function_id"], across=True).collect()}
+    assert e[1, 2] == "derivation" and all(t == "derivation" for t in e.values())
+    assert {(r.event_id, r.predecessor) for r in P.predecessors(nodes, ["function_id"]).where("event_id < 100").collect()} == {(2, 1), (5, 2)}
+    assert [r.vectors for r in nodes.where("event_id = 4").collect()] == [["external_input"]]
+
+
+def test_long_attack_chain_is_found_whole(spark):
+    chain = [(i, i + 1, 0.8 if i % 2 else 0.5, 0.6) for i in range(1, 13)]  # twelve ancestors of 13
+    wide = [(100 + i, 200, 0.5, 0.5) for i in range(30)] + [(300, 100 + i, 0.5, 0.5) for i in range(30)]  # one level of thirty ends the search
+    e = spark.createDataFrame(chain + wide + [(13, 5, 0.9, 0.1)], "src long, dst long, strength double, confidence double")  # and a circle
+    ids = [*range(1, 14), *range(100, 130), 200, 300, 400]
+    n = spark.createDataFrame([(i, i, "f", "benign" if i > 2 else "error", "security_event" if i < 3 else "data_input", ["network"] if i == 4 else []) for i in ids],
+                              "event_id long, ts_us long, function_id string, anomaly_type string, node_type string, resources array<string>")
+    got = {r.target: r for r in P.attack_paths(e, n.where("event_id IN (13, 200, 400)"), n).collect()}
+    assert (got[13].nodes, got[13].hops, got[13].entry_point, got[13].attack_type) == (13, 12, 1, "multi_stage")
+    assert abs(got[13].severity - 1.0) < 1e-9 and abs(got[13].confidence - 0.6) < 1e-9 and got[13].anomalous == 2
+    assert [x.id for x in got[13].timeline] == list(range(1, 14))
+    assert [(m.control, m.id) for m in got[13].mitigation][:3] == [("input validation", 3), ("input validation", 4), ("resource access control", 4)]
+    assert (got[200].nodes, got[200].hops) == (31, 1) and (got[400].nodes, got[400].attack_type, got[400].confidence) == (1, "simple", 0.0)
