@@ -120,7 +120,24 @@ def stream_trust(spark, sf_dir):
     return _finish(spark, J.trust_stream(s)).select("event_id", r("trust", 4).alias("trust"), "position")
 
 
-@query(None)
+_RULES = f"""WITH RECURSIVE {TEL}, x AS (SELECT event_id % 3 AS shard, ts_us // 1000000 AS sec, execution_phase = 'error' AS bad, event_id % 4 = 1 AS tr, event_id % 4 = 2 AS sd, CASE WHEN event_id % 2 = 0 THEN cpu_utilization / 100 END AS perf FROM tel),
+wm AS (SELECT (max(ts_us) - 5000000) // 1000000 AS w FROM tel),
+s AS MATERIALIZED (SELECT shard, sec + 1 AS t, count(*) AS n, count(*) FILTER (WHERE tr) AS traces, count(*) FILTER (WHERE sd) AS sides, count(*) FILTER (WHERE bad) AS errors, count(perf) AS points, coalesce(sum(perf), 0) AS perf FROM x, wm WHERE sec + 1 <= w GROUP BY 1, 2),
+g AS (SELECT shard, unnest(range(min(t), (SELECT w FROM wm) + 1)) AS t FROM s GROUP BY shard),
+j AS (SELECT g.shard, g.t, n, errors, points, perf, max(CASE WHEN n > 0 THEN g.t END) OVER w AS la, max(CASE WHEN traces > 0 THEN g.t END) OVER w AS lt, max(CASE WHEN sides > 0 THEN g.t END) OVER w AS ls,
+  sum(n) OVER e AS en, sum(errors) OVER e AS ee, sum(points) OVER p AS pp, sum(perf) OVER p AS ps FROM g LEFT JOIN s ON s.shard = g.shard AND s.t = g.t
+  WINDOW w AS (PARTITION BY g.shard ORDER BY g.t), e AS (PARTITION BY g.shard ORDER BY g.t RANGE BETWEEN 29 PRECEDING AND CURRENT ROW), p AS (PARTITION BY g.shard ORDER BY g.t RANGE BETWEEN 59 PRECEDING AND CURRENT ROW)),
+c AS (SELECT shard, t, CASE WHEN t - la > 5 THEN 'no_telemetry' WHEN t - lt > 3 OR t - ls > 3 THEN 'data_missing' WHEN pp >= 10 AND ps / pp < 0.5 THEN 'performance' WHEN ee >= 3 AND ee / en > 0.2 THEN 'error_rate' END AS trig FROM j),
+k AS MATERIALIZED (SELECT *, min(CASE WHEN trig IS NOT NULL THEN t END) OVER (PARTITION BY shard ORDER BY t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS soon FROM c),
+r AS (SELECT shard, t, 0 AS step, NULL::VARCHAR AS was, trig, soon FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY t) AS rn FROM k WHERE trig IS NOT NULL) WHERE rn = 1
+  UNION ALL SELECT k.shard, k.t, step + 1, r.trig, k.trig, k.soon FROM r JOIN k ON k.shard = r.shard AND k.t = CASE WHEN r.trig IS NULL THEN r.soon ELSE r.t + 30 END)
+"""
+
+
+@query(_RULES + """SELECT shard, t AS second, CASE WHEN was IS NULL THEN 'NORMAL' ELSE 'DEGRADED' END AS previous, CASE WHEN trig IS NULL THEN 'NORMAL' ELSE 'DEGRADED' END AS mode, coalesce(trig, 'recovered') AS reason FROM r WHERE was IS DISTINCT FROM trig""")
 def stream_fallback(spark, sf_dir):
-    s = _telemetry_stream(spark, sf_dir).withColumn("is_error", F.col("execution_phase") == "error")
-    return _finish(spark, J.fallback_stream(s))
+    kind = F.expr("CASE event_id % 4 WHEN 1 THEN 'trace' WHEN 2 THEN 'side' ELSE 'telemetry' END")
+    s = _telemetry_stream(spark, sf_dir).select(F.expr("CAST(event_id % 3 AS STRING)").alias("shard"), "ts", kind.alias("kind"), (F.col("execution_phase") == "error").alias("is_error"),
+                                                F.expr("CASE WHEN event_id % 2 = 0 THEN cpu_utilization / 100 END").alias("performance"), F.lit(None).cast("string").alias("channel"), F.lit(None).cast("double").alias("qos"))
+    out = _finish(spark, J.fallback_stream(s, "shard"))
+    return out.select(F.col("shard").cast("bigint").alias("shard"), (F.col("second") - EPOCH_US // 1_000_000).alias("second"), "previous", "mode", "reason")

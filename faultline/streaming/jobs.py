@@ -115,38 +115,157 @@ def trust_stream(feedback: DataFrame, key: str = "function_id", initial: float =
 
 
 # --- fixed values: fallback triggers and delays in seconds ---
-SILENCE_S, COOLDOWN_S, HYSTERESIS_S, ERROR_WINDOW_S, ERROR_RATE, MIN_ERRORS = 5.0, 30.0, 10.0, 30.0, 0.2, 3
+SILENCE_S, MISSING_S, COOLDOWN_S, HYSTERESIS_S = 5, 3, 30, 10
+ERROR_WINDOW_S, ERROR_RATE, MIN_ERRORS = 30, 0.2, 3
+PERFORMANCE_WINDOW_S, LOW_PERFORMANCE, MIN_POINTS = 60, 0.5, 10
+LOW_QOS, QOS_STEP, HEALTHY_QOS = 0.3, 0.1, 0.4
 
 
-def fallback_stream(events: DataFrame, key: str = "function_id") -> DataFrame:
-    """Mode changes NORMAL <-> DEGRADED per key.
+def fallback_seconds(events: DataFrame, key: str, time: str = "ts", lateness: str = LATENESS) -> DataFrame:
+    """What happened per key and second: all that the fallback rules look at. Partial sums meet, so a busy key is one row a second.
 
-    Degraded by silence of five seconds before a record, or by an error rate above 20% (three
-    errors at least) in 30 s; after a change 30 s cool down; back when both have been clear for
-    ten seconds. Input: key, ts_us, event_id, is_error. State is the recent half minute.
+    ``events`` has key, time, kind (telemetry, trace or side), is_error, performance and channel with qos (null where a record has none).
+    Of several qos values of a channel in a second the lowest counts.
     """
-    out = T.StructType([T.StructField(key, T.StringType()), T.StructField("event_id", T.LongType()), T.StructField("mode", T.StringType()), T.StructField("reason", T.StringType())])
-    kept = T.StructType([T.StructField("mode", T.StringType()), T.StructField("changed", T.DoubleType()), T.StructField("clear_since", T.DoubleType()), T.StructField("last", T.DoubleType()),
-                         T.StructField("recent", T.ArrayType(T.DoubleType())), T.StructField("errors", T.ArrayType(T.DoubleType()))])
-
-    def step(k: Any, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mode, changed, clear, last, recent, errors = state.get if state.exists else ("NORMAL", -1e18, -1.0, -1.0, [], [])
-        recent, errors, changes = list(recent), list(errors), []
-        for r in pd.concat(list(parts)).sort_values(["ts_us", "event_id"]).itertuples():
-            t = r.ts_us / 1e6
-            recent = [x for x in recent if t - x <= ERROR_WINDOW_S] + [t]
-            errors = [x for x in errors if t - x <= ERROR_WINDOW_S] + ([t] if r.is_error else [])
-            reason = "no_telemetry" if last >= 0 and t - last > SILENCE_S else "error_rate" if len(errors) >= MIN_ERRORS and len(errors) / len(recent) > ERROR_RATE else None
-            clear = -1.0 if reason else (clear if clear >= 0 else t)
-            ready = t - changed > COOLDOWN_S
-            if mode == "NORMAL" and reason and ready:
-                mode, changed = "DEGRADED", t
-                changes.append((k[0], r.event_id, mode, reason))
-            elif mode == "DEGRADED" and not reason and ready and t - clear >= HYSTERESIS_S:
-                mode, changed = "NORMAL", t
-                changes.append((k[0], r.event_id, mode, "recovered"))
-            last = t
-        state.update((mode, changed, clear, last, recent, errors))
-        yield pd.DataFrame(changes, columns=[key, "event_id", "mode", "reason"])
-
-    return events.select(key, "ts_us", "event_id", "is_error").groupBy(key).applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.NoTimeout)
+    part = F.window(time, "1 second").alias("w")
+    qos = F.map_from_entries(F.collect_list(F.when(F.col("channel").isNotNull() & F.col("low").isNotNull(), F.struct("channel", "low"))))
+    each = (_marked(events, time, lateness) if events.isStreaming else events).groupBy(part, key, "channel").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "trace").alias("traces"), F.count_if(F.col("kind") == "side").alias("sides"), F.count_if("is_error").alias("errors"),
+        F.count("performance").alias("points"), F.sum("performance").alias("performance"), F.min("qos").alias("low"))
+    sums = [F.sum(c).alias(c) for c in ("n", "traces", "sides", "errors", "points", "performance")]
+    return each.groupBy("w", key).agg(*sums, qos.alias("qos"))
+
+
+class Fallback:
+    """The fallback rules of one key, stepped second by second."""
+
+    def __init__(self, kept: str | None = None) -> None:
+        import json
+
+        d = json.loads(kept) if kept else {}
+        self.mode, self.trigger = d.get("mode", "NORMAL"), d.get("trigger")
+        self.cooldown, self.hysteresis = d.get("cooldown", -1), d.get("hysteresis", -1 << 40)
+        self.now, self.last = d.get("now"), d.get("last", {})  # last second with any record, a trace, a side record
+        self.recent = [tuple(r) for r in d.get("recent", [])]  # (tick, records, errors, points, performance) of the last minute
+        self.qos, self.checked = d.get("qos", {}), d.get("checked", {})
+
+    def keep(self) -> str:
+        import json
+
+        return json.dumps(self.__dict__)
+
+    def tick(self, t: int) -> tuple | None:
+        """Check the conditions at second t; the change it makes, if any."""
+        self.now = t
+        self.recent = [r for r in self.recent if t - r[0] < PERFORMANCE_WINDOW_S]
+        if t < self.cooldown:
+            return None
+        low = [c for c, q in self.qos.items() if q < LOW_QOS and abs(q - self.checked.get(c, 1.0)) > QOS_STEP]
+        silent = "any" in self.last and t - self.last["any"] > SILENCE_S
+        points, total = sum(r[3] for r in self.recent), sum(r[4] for r in self.recent)
+        near = [r for r in self.recent if t - r[0] < ERROR_WINDOW_S]
+        errors, n = sum(r[2] for r in near), sum(r[1] for r in near)
+        trigger, target = None, "DEGRADED"
+        if silent:
+            trigger = "no_telemetry"
+        elif any(k in self.last and t - self.last[k] > MISSING_S for k in ("trace", "side")):
+            trigger = "data_missing"
+        elif points >= MIN_POINTS and total / points < LOW_PERFORMANCE:
+            trigger = "performance"
+        elif errors >= MIN_ERRORS and errors / n > ERROR_RATE:
+            trigger = "error_rate"
+        else:
+            self.checked = dict(self.qos)  # channels are looked at only when nothing before them fires
+            if low:
+                if any(q >= HEALTHY_QOS for c, q in self.qos.items() if c not in low):
+                    return None  # another channel takes over
+                trigger, target = "channel_degradation", "EMERGENCY"
+        before = (self.mode, self.trigger)
+        if trigger:
+            self.mode, self.trigger, self.cooldown, self.hysteresis = target, trigger, t + COOLDOWN_S, t
+        elif self.mode != "NORMAL" and t >= self.hysteresis + HYSTERESIS_S:
+            self.mode, self.trigger = "NORMAL", None
+        return None if (self.mode, self.trigger) == before else (t, before[0], self.mode, self.trigger or "recovered")
+
+    def wait(self, until: int) -> list[tuple]:
+        """The ticks before second ``until``. Once nothing but silence is left, whole cooldowns are skipped: each only repeats itself."""
+        out = []
+        while self.now is not None and self.now + 1 < until:
+            if self.trigger == "no_telemetry" and not self.recent and self.now >= self.cooldown - COOLDOWN_S:
+                t = self.cooldown + (max(until - 1 - self.cooldown, 0) // COOLDOWN_S) * COOLDOWN_S
+                if self.cooldown < until:
+                    self.cooldown, self.hysteresis = t + COOLDOWN_S, t
+                self.now = until - 1
+                break
+            out.append(self.tick(self.now + 1))
+        return [x for x in out if x]
+
+    def read(self, second: int, row: Any) -> list[tuple]:
+        """The records of one second; they are checked at its end."""
+        out = self.wait(second + 1)
+        for name, count in (("any", row.n), ("trace", row.traces), ("side", row.sides)):
+            if count:
+                self.last[name] = second + 1
+        self.recent.append((second + 1, int(row.n), int(row.errors), int(row.points), float(row.performance) if row.points else 0.0))
+        self.qos.update(dict(row.qos or {}))
+        found = self.tick(second + 1)
+        return out + [found] if found else out
+
+    def due(self) -> int | None:
+        """The second until which the rules must be looked at without any further record; None once only silence repeats itself."""
+        if self.trigger == "no_telemetry" and not self.recent:
+            return None
+        return None if self.now is None else max(self.now + 1, self.cooldown)
+
+
+def fallback_stream(events: DataFrame, key: str = "function_id", time: str = "ts", lateness: str = LATENESS) -> DataFrame:
+    """(key, second, previous, mode, reason): changes of the fallback mode of each key, noticed also while no record arrives.
+
+    At the end of every second the triggers are tested in order: no record for more than 5 s; no trace or no side record for more than 3 s (of kinds the key
+    has had); mean performance below .5 (60 s, ten points at least); more than 20% errors (30 s, three errors at least); a channel whose quality fell
+    by more than .1 to below .3. The last one leads to EMERGENCY unless another channel is at .4 or better, the others to DEGRADED. Then 30 s of
+    cooldown follow; back to NORMAL when no trigger holds, ten seconds after the last one at the earliest. A trigger that only repeats is no change.
+    Records are summed per second before they reach the state, which holds a minute of such sums; seconds without records are
+    stepped through by event-time timers, so the watermark alone moves a silent key on. Timers need the RocksDB state store, which is set for the session.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    out = T.StructType([T.StructField(key, T.StringType()), T.StructField("second", T.LongType()), T.StructField("previous", T.StringType()), T.StructField("mode", T.StringType()), T.StructField("reason", T.StringType())])
+    kept = T.StructType([T.StructField("kept", T.StringType())])
+
+    class Rules(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("rules", kept)
+
+        def _rules(self) -> Fallback:
+            return Fallback(self.state.get()[0] if self.state.exists() else None)
+
+        def _close(self, k: Any, rules: Fallback, changes: list[tuple]) -> Iterator[pd.DataFrame]:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            due = rules.due()
+            if due is not None:
+                self.handle.registerTimer(due * 1_000)
+            self.state.update((rules.keep(),))
+            yield pd.DataFrame([(k[0], *c) for c in changes], columns=out.names)
+
+        def handleInputRows(self, k: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+            rules, changes = self._rules(), []
+            each = pd.concat(list(rows))  # one row per second, and a batch's seconds of one key only
+            for row in each.sort_values("second").itertuples():
+                changes += rules.read(row.second, row)
+            yield from self._close(k, rules, changes)
+
+        def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+            rules = self._rules()
+            changes = rules.wait(max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) // 1_000 + 1)
+            yield from self._close(key, rules, changes)
+
+        def close(self) -> None:
+            pass
+
+    seconds = fallback_seconds(events, key, time, lateness)
+    flat = seconds.select(key, F.unix_seconds("w.start").alias("second"), "n", "traces", "sides", "errors", "points", "performance", "qos", F.window_time("w").alias("at"))
+    return flat.groupBy(key).transformWithStateInPandas(Rules(), out, "Append", "EventTime")
