@@ -26,7 +26,7 @@ UNDETERMINED = "und"
 def letters() -> np.ndarray:
     """For each code point the code point of its lower case if it is a letter, else 0."""
     out = np.zeros(0x110000, np.uint32)
-    for cp in range(0x30000):
+    for cp in range(0x110000):
         c = chr(cp)
         if c.isalpha():
             low = c.lower()
@@ -237,11 +237,11 @@ class Model:
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_langs: int = 64, docs_per_lang: int = 60, chars_per_lang: int = 48_000, longest: int = 8_000) -> Model:
     """A model from a bounded sample of labelled rows: at most ``max_langs`` languages (the most frequent), for each about
-    ``docs_per_lang`` documents of 40 characters or more (the first ``longest`` of each), chosen by a hash of the id, and
+    ``docs_per_lang`` documents (the first ``longest`` characters of each), chosen by a hash of the id, those of 40 characters or more first, and
     ``chars_per_lang`` symbols of them. All letters of the sample count, in every language its own. Languages of fewer rows give what they have. Rows without label or text are not used; an empty
     table gives a model without languages, which answers ``und``.
     """
-    train = docs.selectExpr(f"`{id_col}` AS id", f"substring(`{text_col}`, 1, {longest}) AS text", f"`{lang_col}` AS lang").filter("lang IS NOT NULL AND text IS NOT NULL AND length(text) >= 40")
+    train = docs.selectExpr(f"`{id_col}` AS id", f"substring(`{text_col}`, 1, {longest}) AS text", f"`{lang_col}` AS lang").filter("lang IS NOT NULL AND text <> ''")
     counts = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     if not counts:
         return Model([], {}, [], [], [])
@@ -250,7 +250,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     bound = F.create_map(*[x for lang, p in rate.items() for x in (F.lit(lang), F.lit(int(p * (1 << 40))))])
     sample = train.withColumn("draw", draw).filter(F.col("draw") < bound[F.col("lang")]).select("lang", "draw", "text").collect()
     by_lang: dict[str, list[str]] = {lang: [] for lang in sorted(rate)}
-    for r in sorted(sample, key=lambda r: (r["draw"], r["text"])):
+    for r in sorted(sample, key=lambda r: (len(r["text"]) < 40, r["draw"], r["text"])):
         by_lang[r["lang"]].append(r["text"])
     by_lang = {k: v[:docs_per_lang] for k, v in by_lang.items() if v}
     seen: Counter[int] = Counter()

@@ -218,6 +218,15 @@ def removals(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, leas
     return each.join(first, "line").filter("struct(id, no) <> first").groupBy("id").agg(F.collect_set("no").alias("gone"))
 
 
+def origins(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, least: int = LEAST) -> DataFrame:
+    """(id, origin, gone): like `removals`, apart for each document ``origin`` that holds the first occurrences of the lines removed."""
+    docs = docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
+    near = near_lines(docs, edits, shortest).select(F.col("id").alias("line"), "component")
+    each = store(occurrences(docs).join(near, "line", "left").select("id", "no", F.coalesce("component", "line").alias("line")))
+    first = each.groupBy("line").agg(F.min(F.struct("id", "no")).alias("first"), F.count("*").alias("n")).filter(f"n >= {least}").select("line", "first")
+    return each.join(first, "line").filter("struct(id, no) <> first").groupBy("id", F.col("first.id").alias("origin")).agg(F.collect_set("no").alias("gone"))
+
+
 def deduplicate(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, n_removed, kept), one row per row: each text without the lines that repeat an earlier line.
 

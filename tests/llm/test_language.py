@@ -92,3 +92,12 @@ def test_large_alphabets_and_long_texts_keep_their_letters(spark, monkeypatch):
     assert not any(none.tabled) and (none.phrases(texts) == tables).all() and (some.phrases(texts) == tables).all()
     kept = pipeline.identify_language(spark, docs, "")
     assert kept.count() == len(rows)
+
+
+def test_letters_beyond_the_third_plane_and_short_languages(spark):
+    short = [(100 + i, f"kwi zmo {i}", "xx", "s", 1) for i in range(50)]
+    rows = [(i, "the cat and the dog went home in the rain again and again " * 2, "en", "s", 1) for i in range(20)] + short + [(200, chr(0x30001) * 20, None, "s", 1), (201, "zmo kwi kwi zmo", None, "s", 1), (202, "12 34", None, "s", 1)]
+    docs = edge_docs(spark, rows)
+    model = language.learn(docs)
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, model).collect()}
+    assert model.langs == ["en", "xx"] and got[200] != "und" and got[201] == "xx" and got[202] == "und"
