@@ -22,7 +22,7 @@ STRICT, LOOSE = 5, 3
 #: one chunk of a fingerprint: its digest and how many bytes of the text it covers in all
 ENTRY = np.dtype([("digest", "<u8"), ("weight", "<u4")])
 #: rows that make up a slot of the order by id, and the most slots there are
-SLOT_ROWS, MOST_SLOTS = 20_000, 20_000
+SLOT_ROWS, MOST_SLOTS = 2_000, 20_000
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -113,8 +113,8 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return own.mapInArrow(run, f"`{id_col}` bigint, n_chars bigint, fingerprint string")
 
 
-def _in_slots(docs: DataFrame) -> DataFrame:
-    """(slot, guest, id, rank, packed): texts compressed, in slots of ids of about SLOT_ROWS rows; each slot also gets, as a guest,
+def _in_slots(docs: DataFrame) -> tuple[int, DataFrame]:
+    """The number of slots, and (slot, guest, id, rank, packed): texts compressed, in slots of ids of about SLOT_ROWS rows; each slot also gets, as a guest,
     the row before its first one in ascending order of ids (the first slot gets the last row of all).
 
     Only the slots' bounds and largest ids reach the driver, at most MOST_SLOTS numbers each.
@@ -155,7 +155,7 @@ def _in_slots(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["slot", "guest", "id", "rank", "packed"])
 
-    return docs.mapInArrow(place, "slot bigint, guest boolean, id bigint, rank bigint, packed binary")
+    return slots, docs.mapInArrow(place, "slot bigint, guest boolean, id bigint, rank bigint, packed binary")
 
 
 def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,7 +173,8 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    placed = _in_slots(own).repartition("slot").sortWithinPartitions("slot", F.desc("guest"), F.asc_nulls_first("id"), "rank")
+    slots, placed = _in_slots(own)
+    placed = placed.repartition(slots, "slot").sortWithinPartitions("slot", F.desc("guest"), F.asc_nulls_first("id"), "rank")
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
