@@ -109,6 +109,21 @@ def decode(encoded: DataFrame, model_file: str, table_rows: int = TABLE_ROWS) ->
     return encoded.select("id", "ids").mapInArrow(run, f"id {kind}, ids array<int>, text string")
 
 
+def encode_and_check(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", table_rows: int = TABLE_ROWS) -> DataFrame:
+    """(id, ids, decoded_sha256): `encode`, and the digest of what `decode` makes of the ids, in one pass and one Python worker a task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = _table(model_file, table_rows)
+        bos, eos = (np.array([x], "<u4").tobytes() for x in (t.sp.bos_id(), t.sp.eos_id()))
+        for b in steps(batches):
+            ids = [np.frombuffer(bos + g + eos, "<i4") for g in t.encode([x or "" for x in b.column(1).to_pylist()])]
+            text_sha = [hashlib.sha256(t.sp.decode(x.tolist()).encode()).hexdigest() for x in ids]
+            bounds = np.cumsum([0, *map(len, ids)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(ids))), pa.array(text_sha, pa.string())], ["id", "ids", "decoded_sha256"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(run, f"id {kind}, ids array<int>, decoded_sha256 string")
+
+
 def digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", table_rows: int = TABLE_ROWS) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): `encode` and `decode` in one pass, so that no id list leaves its task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
