@@ -80,9 +80,8 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     small_batches(spark)
     keyed = docs.select(F.struct("doc_id", "lang", "source").alias("key"), "text")
-    model = pieces.model_path()
-    coded = pieces.decode(pieces.encode(keyed, model, id_col="key"), model)
-    return coded.select("id.doc_id", "id.lang", "id.source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    coded = pieces.encode_and_check(keyed, pieces.model_path(), id_col="key")
+    return coded.select("id.doc_id", "id.lang", "id.source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [
