@@ -75,22 +75,81 @@ def overwrite_latest(out: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+#: buckets of keys that the history of a stream is stored in
+BUCKETS = 64
+
+
+class KeyedState:
+    """Rows by bucket of keys in Parquet, versioned by batch: a batch rewrites only the buckets that its keys fall into.
+
+    A manifest per batch says which version of each bucket counts after it; there are at most BUCKETS rows of it. A repeated batch reads the manifest
+    of the batch before and rewrites its own files only. What neither this batch's nor the last one's manifest names is removed.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, key: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.folder, self.key, self.buckets = spark, folder, key, buckets
+
+    def bucketed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("state_bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
+
+    def touched(self, df: DataFrame) -> list[int]:
+        return sorted(r[0] for r in self.bucketed(df).select("state_bucket").distinct().collect())
+
+    def manifest(self, number: int) -> dict[int, int]:
+        if number < 0:
+            return {}
+        return {r["bucket"]: r["version"] for r in self.spark.read.schema("bucket int, version long").parquet(f"{self.folder}/manifest/batch={number}").collect()}
+
+    def read(self, number: int, buckets: Sequence[int], schema: T.StructType) -> DataFrame | None:
+        """The rows of the buckets after batch ``number``; None if there are none yet."""
+        at = self.manifest(number)
+        paths = [f"{self.folder}/batch={at[b]}/state_bucket={b}" for b in buckets if b in at]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else None
+
+    def write(self, number: int, buckets: Sequence[int], rows: DataFrame) -> None:
+        """``rows`` as the new content of the buckets."""
+        self.bucketed(rows).repartition("state_bucket").write.mode("overwrite").partitionBy("state_bucket").parquet(f"{self.folder}/batch={number}")
+        last = self.manifest(number - 1)
+        now = last | {b: number for b in buckets}
+        self.spark.createDataFrame(sorted(now.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/batch={number}")
+        if number > 1 and self._there(f"manifest/batch={number - 2}"):
+            old = self.manifest(number - 2)
+            for b, version in old.items():
+                if version not in (last.get(b), now.get(b)):
+                    self._remove(f"batch={version}/state_bucket={b}")
+            self._remove(f"manifest/batch={number - 2}")
+
+    def _files(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _there(self, name: str) -> bool:
+        fs, path = self._files(name)
+        return fs.exists(path)
+
+    def _remove(self, name: str) -> None:
+        fs, path = self._files(name)
+        fs.delete(path, True)
+
+
 def detect_with_history(events: DataFrame, names: Sequence[str], out: str, state: str, checkpoint: str, key: str = "function_id",
-                        limit: int = H.HISTORY, once: bool = True) -> StreamingQuery:
+                        limit: int = H.HISTORY, once: bool = True, buckets: int = BUCKETS) -> StreamingQuery:
     """History detectors on a stream.
 
-    The last ``2 limit - 1`` records of every key (the farthest any detector looks back) are kept as a table. Each micro-batch joins it with
-    the new records and runs the batch engine, so a hot key is blocked and spread exactly as in
-    batch. Results and state carry the batch number: a repeated batch rewrites its own files only.
+    The last ``2 limit - 1`` records of every key (the farthest any detector looks back) are kept as `KeyedState`. Each micro-batch joins the buckets its
+    keys fall into with the new records and runs the batch engine, so a hot key is blocked and spread exactly as in
+    batch, and keys without new records cost nothing. Results and state carry the batch number: a repeated batch rewrites its own files only.
     """
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        store = KeyedState(batch.sparkSession, state, key, buckets)
+        touched = store.touched(batch)
+        held = store.read(number - 1, touched, batch.schema)
         new = batch.withColumn("_new", F.lit(True))
-        both = new if number == 0 else new.unionByName(spark.read.parquet(f"{state}/batch={number - 1}").withColumn("_new", F.lit(False)))
+        both = new if held is None else new.unionByName(held.withColumn("_new", F.lit(False)))
         D.detect(both, names, keys=(key,), limit=limit).where("_new").drop("_new").write.mode("overwrite").parquet(f"{out}/batch={number}")
         # rates look back twice as far, at every tenth row: whole tens are dropped, so that positions keep their remainder
         kept = H.index_rows(both.drop("_new"), [key]).where(F.expr(f"rn > (greatest(key_rows - {2 * limit - 1}, 0) DIV 10) * 10")).drop("rn", "key_rows")
-        kept.write.mode("overwrite").parquet(f"{state}/batch={number}")
+        store.write(number, touched, kept)
 
     q = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return (q.trigger(availableNow=True) if once else q).start()

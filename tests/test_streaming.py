@@ -21,6 +21,27 @@ def test_history_detectors_over_several_batches(spark, sf_dir, tmp_path):
     assert got == want
 
 
+def test_state_rewrites_touched_buckets_only(spark, tmp_path):
+    state = J.KeyedState(spark, str(tmp_path / "state"), "k", 8)
+    frame = lambda rows: spark.createDataFrame(rows, "k string, v long")
+    held = {}
+    for number, names in enumerate([list("abcdefghij"), ["a"], ["b", "c"], ["a"], ["a"]]):
+        new = frame([(k, number) for k in names])
+        touched = state.touched(new)
+        old = state.read(number - 1, touched, new.schema)
+        assert {tuple(r) for r in (old.collect() if old is not None else [])} == {(k, v) for k, v in held.items() if state.touched(frame([(k, 0)]))[0] in touched}
+        held |= {k: number for k in names}
+        rows = [(k, v) for k, v in held.items() if state.touched(frame([(k, 0)]))[0] in touched]
+        for _ in range(2):  # a batch that is repeated changes nothing
+            state.write(number, touched, frame(rows))
+        written = {p.name for p in (tmp_path / "state" / f"batch={number}").glob("state_bucket=*")}
+        assert written == {f"state_bucket={b}" for b in touched} and (number == 0 or len(written) < 8)
+        everything = state.read(number, range(8), new.schema)
+        assert {tuple(r) for r in everything.collect()} == set(held.items())
+    left = {int(p.parent.name.split("=")[1]) for p in (tmp_path / "state").glob("batch=*/state_bucket=*") if p.name == f"state_bucket={state.touched(frame([('a', 0)]))[0]}"}
+    assert left == {3, 4} and {p.name for p in (tmp_path / "state" / "manifest").glob("batch=*")} == {"batch=3", "batch=4"}
+
+
 def test_trust_state_survives_batches(spark, tmp_path):
     rows = [("f", i, i, 0.05 if i % 3 else -0.05) for i in range(40)]
     df = spark.createDataFrame(rows, "function_id string, ts_us long, event_id long, trust_delta double")
