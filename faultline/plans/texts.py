@@ -200,3 +200,17 @@ _UNSAFE = ", ".join(f"CASE WHEN regexp_matches(html, '{p}') THEN '{n}' END" for
 SELECT page_id, array_to_string(CASE WHEN long THEN list_append(found, 'too_long') ELSE found END, ',') AS issues, CASE WHEN len(found) > 0 THEN 'critical' WHEN long THEN 'warning' ELSE 'none' END AS severity FROM i""")
 def payload_safety(spark, sf_dir):
     return validation.payload_safety(spread(table(spark, sf_dir, "pages")), "html").select("page_id", F.concat_ws(",", "issues").alias("issues"), "severity")
+
+
+@query("""WITH p AS (SELECT event_id AS id, CASE WHEN event_id % 101 = 0 THEN '{broken' ELSE '{"deep":' || repeat('{"d":', (event_id % 14)::INT) || '1' || repeat('}', (event_id % 14)::INT) || ',"list":[' || array_to_string(range(0, CAST(json_extract_string(props, '$.k') AS BIGINT) + 1), ',')
+  || '],"keys":{' || array_to_string(list_transform(range(0, event_id % 9 + 1), lambda i: '"a' || i || '":1'), ',') || '},"note":"' || repeat('x', (event_id % 17)::INT) || '"}' END AS raw FROM events),
+t AS (SELECT p.id, j.fullkey, j.path, j.type, j.atom, len(regexp_replace(j.fullkey, '[^.\\[]', '', 'g')) AS depth FROM (SELECT * FROM p WHERE raw <> '{broken') p, json_tree(p.raw) j)
+SELECT id, 'root' AS path, 'invalid_json' AS issue, 0::BIGINT AS size FROM p WHERE raw = '{broken'
+UNION ALL SELECT id, 'root' || fullkey[2:], 'too_deep', 11 FROM t WHERE depth = 11
+UNION ALL SELECT id, 'root' || fullkey[2:], 'string_too_long', len(json_extract_string(atom, '$')) FROM t WHERE type = 'VARCHAR' AND depth <= 10 AND len(json_extract_string(atom, '$')) > 12
+UNION ALL SELECT c.id, 'root' || c.path[2:], CASE WHEN any_value(o.type) = 'OBJECT' THEN 'too_many_keys' ELSE 'list_too_long' END, count(*) FROM t c JOIN t o ON o.id = c.id AND o.fullkey = c.path AND c.fullkey <> '$' WHERE c.depth <= 11 GROUP BY c.id, c.path
+  HAVING count(*) > CASE WHEN any_value(o.type) = 'OBJECT' THEN 5 ELSE 90 END""")
+def payload_structure(spark, sf_dir):
+    raw = F.expr("""CASE WHEN event_id % 101 = 0 THEN '{broken' ELSE concat('{"deep":', repeat('{"d":', int(event_id % 14)), '1', repeat('}', int(event_id % 14)), ',"list":[',
+        array_join(sequence(0, int(get_json_object(props, '$.k'))), ','), '],"keys":{', array_join(transform(sequence(0, int(event_id % 9)), i -> concat('"a', i, '":1')), ','), '},"note":"', repeat('x', int(event_id % 17)), '"}') END""")
+    return validation.payload_structure(spread(table(spark, sf_dir, "events")).withColumn("raw", raw), "event_id", "raw", 10, 5, 90, 12)

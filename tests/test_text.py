@@ -66,3 +66,38 @@ def test_overlapping_spans_are_covered_once(spark):
     assert row.mask == "call " + "*" * 16 + " now, " + "*" * 11
     assert row.remove == "call [REMOVED] now, [REMOVED]"
     assert row.hash.startswith("call [HASH:") and row.hash.count("[HASH:") == 2 and " now, " in row.hash
+
+
+def test_payload_structure_against_recursion(spark):
+    import json
+    import random
+
+    from faultline.operators import validation
+
+    r = random.Random(1)
+
+    def tree(depth):
+        kind = r.random()
+        if depth == 0 or kind < 0.2:
+            return r.choice((1, 2.5, None, True, "x" * r.randint(0, 14), ""))
+        if kind < 0.6:
+            return {f"k{i}": tree(depth - 1) for i in range(r.randint(0, 5))}
+        return [tree(depth - 1) for _ in range(r.randint(0, 5))]
+
+    def walk(v, path, depth, found):
+        if depth > 3:
+            found.append((path, "too_deep", depth))
+        elif isinstance(v, str) and len(v) > 10:
+            found.append((path, "string_too_long", len(v)))
+        elif isinstance(v, (dict, list)):
+            if len(v) > 3:
+                found.append((path, "too_many_keys" if isinstance(v, dict) else "list_too_long", len(v)))
+            for k, x in v.items() if isinstance(v, dict) else enumerate(v):
+                walk(x, f"{path}.{k}" if isinstance(v, dict) else f"{path}[{k}]", depth + 1, found)
+        return found
+
+    trees = [tree(6) for _ in range(60)]
+    rows = [(i, json.dumps(v)) for i, v in enumerate(trees)] + [(100, None), (101, "{broken"), (102, "[NaN]")]
+    got = validation.payload_structure(spark.createDataFrame(rows, "id long, raw string"), "id", "raw", 3, 3, 3, 10).collect()
+    want = [(i, *x) for i, v in enumerate(trees) for x in walk(v, "root", 0, [])] + [(101, "root", "invalid_json", 0), (102, "root", "invalid_json", 0)]
+    assert sorted(tuple(x) for x in got) == sorted(want) and len({x[2] for x in want}) == 5
