@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline.operators import graphs as G, history as H, neighbours as N, provenance as P
+from faultline.operators import communities as C, flows as L, graphs as G, history as H, neighbours as N, provenance as P
 from faultline.plans.common import TEL, Query, dbscan_sql, r
 from faultline.sources.tables import table, telemetry
 
@@ -249,6 +249,66 @@ def execution_flows(spark, sf_dir):
     return G.execution_flows(e).agg(F.sum("steps").alias("steps"))
 
 
+_SCORE = "CASE anomaly_type WHEN 'data_exfiltration' THEN 0.9 WHEN 'timeout_fallback' THEN 0.8 WHEN 'execution_failure' THEN 0.6 ELSE cpu_utilization / 200 END"
+_FLOW = "0.3 * least(1, n / 10.0) + 0.4 * anomalous + 0.2 * least(1, span_s / 300) + 0.1 * (1 - 1 / (1 + v))"
+
+
+def _scored_nodes(spark, sf_dir):
+    return telemetry(spark, sf_dir).select(F.col("event_id").alias("id"), "ts_us", F.expr(_SCORE).cast("double").alias("score"), "duration", "memory_spike_kb")
+
+
+# the nearest successor of a record is the next one of its function, if an edge leads there at all
+_ISLES = f"""{TEL}, hb AS (SELECT *, {_SCORE} AS score, coalesce(ts_us - lag(ts_us) OVER w, 999999999) >= 300000000 AS brk FROM tel WINDOW w AS (PARTITION BY function_id ORDER BY ts_us, event_id)),
+il AS (SELECT *, sum(CAST(brk AS INT)) OVER (PARTITION BY function_id ORDER BY ts_us, event_id) AS isle FROM hb),
+fm AS (SELECT *, first_value(event_id) OVER w AS flow, row_number() OVER w - 1 AS position, count(*) OVER (PARTITION BY function_id, isle) AS size FROM il WINDOW w AS (PARTITION BY function_id, isle ORDER BY ts_us, event_id))
+"""
+
+
+@query("WITH " + _ISLES + "SELECT flow, position, event_id AS id FROM fm WHERE size >= 3")
+def flow_members(spark, sf_dir):
+    return L.chain_members(_events_graph(spark, sf_dir), _scored_nodes(spark, sf_dir))
+
+
+@query("WITH " + _ISLES + f""", fs AS (SELECT flow, count(*) AS n, (max(ts_us) - min(ts_us)) / 1e6 AS span_s, avg(CAST(score > 0.5 AS INT)) AS anomalous, var_pop(duration) AS v,
+  CASE WHEN arg_max(memory_spike_kb, position) > arg_min(memory_spike_kb, position) THEN 'increasing' ELSE 'decreasing' END AS memory_trend FROM fm WHERE size >= 3 GROUP BY flow)
+SELECT 'linear_chain' AS type, flow, n, round(span_s, 6) AS span_s, round(anomalous, 6) AS anomalous, memory_trend, round(({_FLOW})::DOUBLE, 6) AS flow_score FROM fs""")
+def scored_flows(spark, sf_dir):
+    out = L.execution_flows(_events_graph(spark, sf_dir), _scored_nodes(spark, sf_dir))
+    return out.select("type", "flow", "n", r("span_s").alias("span_s"), r("anomalous").alias("anomalous"), "memory_trend", r("flow_score").alias("flow_score"))
+
+
+@query("WITH RECURSIVE " + _ACT + f""", fw AS (SELECT id, id AS c FROM nd UNION SELECT g.dst, fw.c FROM fw JOIN g ON g.src = fw.id),
+sc AS (SELECT a.id, min(b.id) AS flow FROM nd a JOIN fw x ON x.c = a.id JOIN fw y ON y.id = a.id AND y.c = x.id JOIN nd b ON b.id = x.id GROUP BY 1),
+un AS (SELECT user_id AS id, min(ts_us) AS ts_us, avg({_SCORE}) AS score, avg(duration) AS duration, max(memory_spike_kb) AS m FROM tel JOIN events USING (event_id) GROUP BY 1),
+fs AS (SELECT flow, count(*) AS n, (max(ts_us) - min(ts_us)) / 1e6 AS span_s, avg(CAST(score > 0.5 AS INT)) AS anomalous, var_pop(duration) AS v,
+  CASE WHEN arg_max(m, (ts_us, id)) > arg_min(m, (ts_us, id)) THEN 'increasing' ELSE 'decreasing' END AS memory_trend FROM sc JOIN un USING (id) GROUP BY flow HAVING count(*) > 1)
+SELECT flow, n, round(span_s, 6) AS span_s, round(anomalous, 6) AS anomalous, memory_trend, round(({_FLOW})::DOUBLE, 6) AS flow_score FROM fs""")
+def ring_flows(spark, sf_dir):
+    """Flows of users that follow each other in a circle."""
+    t = telemetry(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id")
+    nodes = t.groupBy(F.col("user_id").alias("id")).agg(F.min("ts_us").alias("ts_us"), F.avg(F.expr(_SCORE).cast("double")).alias("score"), F.avg("duration").alias("duration"), F.max("memory_spike_kb").alias("memory_spike_kb"))
+    out = L.score_flows(L.ring_members(_actors(spark, sf_dir), nodes), nodes)
+    return out.select("flow", "n", r("span_s").alias("span_s"), r("anomalous").alias("anomalous"), "memory_trend", r("flow_score").alias("flow_score"))
+
+
+@query("WITH RECURSIVE " + _LAST5 + f""", ev AS MATERIALIZED (SELECT event_id AS id, ts_us, {_SCORE} AS score FROM tel), es AS MATERIALIZED (SELECT src, dst, max(round(weight, 9)) AS w FROM ed GROUP BY 1, 2 HAVING max(round(weight, 9)) > 0.3),
+fb AS MATERIALIZED (SELECT src, arg_min(dst, (-w, dst)) AS dst, max(w) AS w FROM es GROUP BY 1), bb AS MATERIALIZED (SELECT dst, arg_min(src, (-w, src)) AS src, max(w) AS w FROM es GROUP BY 1),
+wf AS (SELECT id, id AS pos, 0.0::DOUBLE AS w, 0 AS n FROM ev WHERE score > 0.7 UNION ALL SELECT id, fb.dst, fb.w, n + 1 FROM wf JOIN fb ON fb.src = pos WHERE n < 15),
+wb AS (SELECT id, id AS pos, 0.0::DOUBLE AS w, 0 AS n FROM ev WHERE score > 0.7 UNION ALL SELECT id, bb.src, bb.w, n - 1 FROM wb JOIN bb ON bb.dst = pos WHERE n > -15),
+pt AS (SELECT * FROM wf UNION ALL SELECT * FROM wb WHERE n < 0),
+pr AS (SELECT pt.id, list(pos ORDER BY n) AS path, count(*) AS k, avg(score) AS m, max(score) AS x, avg(CAST(score > 0.5 AS INT)) AS c, (max(ts_us) - min(ts_us)) / 1e6 AS span, sum(w) AS s FROM pt JOIN ev ON ev.id = pos GROUP BY pt.id),
+rk AS (SELECT id, path, least(1, 0.4 * m + 0.2 * x + 0.2 * c + 0.1 * least(1, 10 * k / greatest(1, span)) + 0.1 * s / greatest(1, k - 1)) AS risk FROM pr WHERE k >= 3)
+SELECT id, array_to_string(path, ' ') AS path, round((risk + 1e-9)::DOUBLE, 6) AS risk FROM rk WHERE risk > 0.5""")
+def suspicious_paths(spark, sf_dir):
+    out = L.suspicious_paths(_events_graph(spark, sf_dir).withColumn("weight", F.round("weight", 9)), _scored_nodes(spark, sf_dir))
+    return out.select("id", F.concat_ws(" ", F.col("path").cast("array<string>")).alias("path"), r(F.col("risk") + 1e-9).alias("risk"))
+
+
+@query(None)
+def modularity_communities(spark, sf_dir):
+    return C.community_report(C.communities(_actors(spark, sf_dir)))
+
+
 @query("WITH " + _ACT + """, f AS (SELECT id, (id % 13)::DOUBLE AS a FROM nd), m1 AS (SELECT x AS id, avg(a) AS a1 FROM bo JOIN f ON f.id = y GROUP BY 1), m2 AS (SELECT x AS id, avg(a1) AS a2 FROM bo JOIN m1 ON m1.id = y GROUP BY 1)
 SELECT id, a, round(a1, 6) AS a_1, round(a2, 6) AS a_2 FROM f LEFT JOIN m1 USING (id) LEFT JOIN m2 USING (id)""")
 def neighbour_features(spark, sf_dir):

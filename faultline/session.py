@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,17 +29,29 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint for iterative jobs.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only when neither
-    that setting nor a checkpoint folder exists (a local test) is a temporary one made.
-    """
-    spark = df.sparkSession
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where a local test sets neither that nor a folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-faultline-", dir="/tmp"))
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint for iterative jobs."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read back.
+
+    For loops that join a state with itself: a checkpoint keeps the estimated size of its plan, which such a join squares each
+    round until planning takes longer than the work; a written table has the size of its files.
+    """
+    path = f"{_checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
