@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline.operators import detectors as D, evaluation as V, fusion, models as M, neighbours as N
+from faultline.operators import detectors as D, evaluation as V, fusion, models as M, neighbours as N, one_class as O
 from faultline.plans.common import TEL, Query, dbscan_sql, gap, r
 from faultline.plans.detectors import _FUSED
 from faultline.sources.tables import telemetry
@@ -115,6 +115,21 @@ def dbscan_detector(spark, sf_dir):
     return out.select("event_id", r("score", 5).alias("score"), (F.col("score") > F.col("threshold")).alias("anomalous"))
 
 
+def _svm(spark, sf_dir, nu):
+    out = O.one_class_svm(*_held_out(spark, sf_dir), COLS, nu)
+    return out.select("event_id", r("decision").alias("decision"), r("score").alias("score"), (F.col("decision") < 0).alias("anomalous"))
+
+
+@query(None)
+def one_class_svm_detector_10(spark, sf_dir):
+    return _svm(spark, sf_dir, 0.10)
+
+
+@query(None)
+def one_class_svm_detector_05(spark, sf_dir):
+    return _svm(spark, sf_dir, 0.05)
+
+
 @query(None)
 def detector_comparison(spark, sf_dir):
     train, test = _parts(spark, sf_dir)
