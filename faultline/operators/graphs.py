@@ -12,7 +12,7 @@ from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from faultline.operators import history as H
+from faultline.operators import history as H, semantics
 from faultline.session import cut_lineage
 
 SEC = 1_000_000
@@ -82,36 +82,42 @@ def recent_edges(df: DataFrame, trace: str, last: int = 5) -> DataFrame:
 
 
 def correlation_edges(df: DataFrame, trace: str, window_us: int = 600 * SEC) -> DataFrame:
-    """Edges by temporal (.2), behavioural (.25) and causal (.15) correlation of pairs; with confidence.
+    """Edges of four types from pairs of a trace: temporal (from .2), semantic (.3), behavioural (.25) and causal (.15), with confidence.
 
-    Phases are ordered init, invoke, shutdown. The semantic arm needs payloads and embeddings and is
-    left to ``semantic_correlation``.
+    ``df`` holds records after ``semantics.describe``. Phases are ordered init, invoke, shutdown; a record's place in its trace
+    counts from 0. Where there is a column ``parent_nodes``, a cause named among the later record's parents weighs double.
     """
-    rows = H.with_previous(df, [trace], ["ts_us"]).withColumn("arrival", F.coalesce((F.col("ts_us") - F.col("prev_ts_us")) / SEC, F.lit(0.0)))
+    rows = H.with_previous(df, [trace], ["ts_us"]).withColumns({"arrival": F.coalesce((F.col("ts_us") - F.col("prev_ts_us")) / SEC, F.lit(0.0)), "place": F.col("rn") - 1})
     if trace == "function_id":
         rows = rows.withColumn("_trace", F.col(trace))
         trace = "_trace"
-    cols = ["event_id", "ts_us", "arrival", "function_id", "execution_phase", "anomaly_type", "duration", "memory_spike_kb", "cpu_utilization", "network_io_bytes"]
+    parents = ["parent_nodes"] if "parent_nodes" in df.columns else []
+    cols = ["event_id", "ts_us", "arrival", "place", "function_id", "execution_phase", "anomaly_type", "duration", "memory_spike_kb", "cpu_utilization", "network_io_bytes",
+            "textual", "call_pattern", "payload_signature", "error_message", *parents]
     p = range_pairs(rows, [trace], window_us, cols)
     rank = "CASE {0} WHEN 'init' THEN 0 WHEN 'invoke' THEN 1 WHEN 'shutdown' THEN 2 END"
-    like = lambda c, s: f"exp(-abs(a_{c} - b_{c}) / {s}D)"
+    like = lambda c, s: f"1D / (1D + abs(a_{c} - b_{c}) / {s}D)"
+    same = lambda c: f"CASE WHEN a_{c} = b_{c} THEN 1D ELSE 0D END"
+    child = "* CASE WHEN array_contains(b_parent_nodes, a_function_id) THEN 2D ELSE 1D END" if parents else ""
     p = p.withColumns({
-        "dt": (F.col("b_ts_us") - F.col("a_ts_us")) / SEC,
         "temporal": F.expr(f"""0.4D * (1 - (b_ts_us - a_ts_us) / {window_us}D)
             + 0.25D * CASE WHEN a_execution_phase = b_execution_phase THEN 1D ELSE coalesce(1 - abs({rank.format('a_execution_phase')} - {rank.format('b_execution_phase')}) / 3, 0D) END
-            + 0.2D * CASE WHEN a_arrival = 0 OR b_arrival = 0 THEN 0.5D ELSE least(a_arrival, b_arrival) / greatest(a_arrival, b_arrival) END + 0.15D * 0.5D"""),
+            + 0.2D * CASE WHEN a_arrival = 0 OR b_arrival = 0 THEN 0.5D ELSE least(a_arrival, b_arrival) / greatest(a_arrival, b_arrival) END
+            + 0.15D * CASE WHEN a_place = 0 OR b_place = 0 THEN 0.5D ELSE 1D / (1 + abs(b_place - a_place)) END"""),
+        "semantic": semantics.similarity(),
         "behavioural": F.expr(f"""0.2D * {like('duration', 1)} + 0.2D * {like('memory_spike_kb', 10000)} + 0.15D * {like('cpu_utilization', 100)} + 0.1D * {like('network_io_bytes', 10000)}
-            + 0.15D * CASE WHEN a_execution_phase = b_execution_phase THEN 1D ELSE 0.5D END + 0.1D * CASE WHEN a_function_id = b_function_id THEN 1D ELSE 0D END
-            + 0.1D * CASE WHEN a_anomaly_type = b_anomaly_type THEN 1D ELSE 0D END"""),
-        "causal": F.expr(f"""CASE WHEN b_ts_us = a_ts_us THEN 0D ELSE least(1D, exp(-(b_ts_us - a_ts_us) / {60 * SEC}D) * CASE WHEN a_memory_spike_kb > 50000 OR a_cpu_utilization > 80 THEN 1.5D ELSE 1D END
+            + 0.15D * CASE WHEN a_execution_phase = b_execution_phase THEN 1D ELSE 0.5D END + 0.1D * {same('call_pattern')} + 0.1D * {same('anomaly_type')}"""),
+        "causal": F.expr(f"""CASE WHEN b_ts_us = a_ts_us THEN 0D ELSE least(1D, exp(-(b_ts_us - a_ts_us) / {60 * SEC}D) {child}
+            * CASE WHEN a_memory_spike_kb > 50000 OR a_cpu_utilization > 80 THEN 1.5D ELSE 1D END
             * CASE WHEN a_anomaly_type <> 'benign' AND b_anomaly_type <> 'benign' THEN 1.3D ELSE 1D END) END"""),
     })
-    strong = "(CAST(temporal > 0.7 AS INT) + CAST(behavioural > 0.7 AS INT) + CAST(causal > 0.7 AS INT))"
-    mid = "(CAST(temporal BETWEEN 0.4 AND 0.7 AS INT) + CAST(behavioural BETWEEN 0.4 AND 0.7 AS INT) + CAST(causal BETWEEN 0.4 AND 0.7 AS INT))"
+    kinds = {"temporal": 0.2, "semantic": 0.3, "behavioural": 0.25, "causal": 0.15}  # fixed values: least correlation of each type
+    counted = lambda test: " + ".join(f"CAST({k} {test} AS INT)" for k in kinds)
     p = p.withColumns({
-        "types": F.expr("array_compact(array(CASE WHEN temporal >= 0.2 THEN 'temporal' END, CASE WHEN behavioural >= 0.25 THEN 'behavioural' END, CASE WHEN causal >= 0.15 THEN 'causal' END))"),
-        "confidence": F.expr(f"least(1D, (temporal + behavioural + causal) / 3 * CASE WHEN {strong} >= 2 THEN 1.2D WHEN {strong} = 1 AND {mid} >= 2 THEN 1.1D ELSE 1D END)")})
-    return p.select(F.col("a_event_id").alias("src"), F.col("b_event_id").alias("dst"), F.explode("types").alias("type"), "temporal", "behavioural", "causal", "confidence")
+        "types": F.array_compact(F.array(*[F.when(F.col(k) >= least, F.lit(k)) for k, least in kinds.items()])),
+        "confidence": F.expr(f"""least(1D, ({' + '.join(kinds)}) / 4 * CASE WHEN {counted('> 0.7')} >= 2 THEN 1.2D
+            WHEN {counted('> 0.7')} = 1 AND {counted('BETWEEN 0.4 AND 0.7')} >= 2 THEN 1.1D ELSE 1D END)""")})
+    return p.select(F.col("a_event_id").alias("src"), F.col("b_event_id").alias("dst"), F.explode("types").alias("type"), *kinds, "confidence")
 
 
 def semantic_correlation(a_vec: Column, b_vec: Column, same_function: Column, same_payload: Column, same_error: Column, textual: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline.operators import communities as C, flows as L, graphs as G, history as H, neighbours as N, provenance as P
+from faultline.operators import communities as C, flows as L, graphs as G, history as H, neighbours as N, provenance as P, semantics as S
 from faultline.plans.common import TEL, Query, dbscan_sql, r
 from faultline.sources.tables import table, telemetry
 
@@ -56,17 +56,59 @@ def recent_edges(spark, sf_dir):
     return _events_graph(spark, sf_dir).withColumn("weight", r(F.col("weight") + 1e-9))  # away from ties
 
 
-@query(_PAIRS.replace("{w}", "600000000").replace("row_number() OVER (PARTITION BY function_id ORDER BY ts_us, event_id) AS rn", "row_number() OVER w AS rn, coalesce((ts_us - lag(ts_us) OVER w) / 1e6, 0) AS arr").replace("AS rn, coalesce((ts_us - lag(ts_us) OVER w) / 1e6, 0) AS arr FROM tel", "AS rn, coalesce((ts_us - lag(ts_us) OVER w) / 1e6, 0) AS arr FROM tel WINDOW w AS (PARTITION BY function_id ORDER BY ts_us, event_id)").replace("a.ts_us AS ats", "a.arr AS aa, b.arr AS ba, a.ts_us AS ats") + """,
-q AS (SELECT *, CASE ap WHEN 'init' THEN 0 WHEN 'invoke' THEN 1 WHEN 'shutdown' THEN 2 END AS ra, CASE bp WHEN 'init' THEN 0 WHEN 'invoke' THEN 1 WHEN 'shutdown' THEN 2 END AS rb FROM p),
-c AS (SELECT src, 0.4 * (1 - (bts - ats) / 600000000.0) + 0.25 * CASE WHEN ap = bp THEN 1 ELSE coalesce(1 - abs(ra - rb) / 3.0, 0) END + 0.2 * CASE WHEN aa = 0 OR ba = 0 THEN 0.5 ELSE least(aa, ba) / greatest(aa, ba) END + 0.075 AS temporal,
-  0.2 * exp(-abs(ad - bd)) + 0.2 * exp(-abs(am - bm) / 10000.0) + 0.15 * exp(-abs(ac - bc) / 100) + 0.1 * exp(-abs(an - bn) / 10000.0) + 0.15 * CASE WHEN ap = bp THEN 1 ELSE 0.5 END + 0.1 + 0.1 * CASE WHEN aty = bty THEN 1 ELSE 0 END AS behavioural,
-  CASE WHEN ats = bts THEN 0 ELSE least(1, exp(-(bts - ats) / 60000000.0) * CASE WHEN am > 50000 OR ac > 80 THEN 1.5 ELSE 1 END * CASE WHEN aty <> 'benign' AND bty <> 'benign' THEN 1.3 ELSE 1 END) END AS causal FROM q),
-x AS (SELECT *, least(1, (temporal + behavioural + causal) / 3 * CASE WHEN CAST(temporal > 0.7 AS INT) + CAST(behavioural > 0.7 AS INT) + CAST(causal > 0.7 AS INT) >= 2 THEN 1.2
-   WHEN CAST(temporal > 0.7 AS INT) + CAST(behavioural > 0.7 AS INT) + CAST(causal > 0.7 AS INT) = 1 AND CAST(temporal BETWEEN 0.4 AND 0.7 AS INT) + CAST(behavioural BETWEEN 0.4 AND 0.7 AS INT) + CAST(causal BETWEEN 0.4 AND 0.7 AS INT) >= 2 THEN 1.1 ELSE 1 END) AS conf FROM c)
-SELECT type, count(*) AS n, round(avg(conf), 6) AS mean_confidence FROM (SELECT 'temporal' AS type, conf FROM x WHERE temporal >= 0.2 UNION ALL SELECT 'behavioural', conf FROM x WHERE behavioural >= 0.25 UNION ALL SELECT 'causal', conf FROM x WHERE causal >= 0.15) GROUP BY 1""")
+# --- gateway events over the telemetry: the same expressions in Spark and in the check ---
+
+_NAME = "CASE WHEN event_id % 2 = 0 THEN 'api-' || execution_phase || '-handler' ELSE execution_phase || '-Worker' END"
+_EVENT = """CASE WHEN event_id % 7 > 0 THEN '{"httpMethod":"' || CASE execution_phase WHEN 'invoke' THEN 'GET' ELSE 'POST' END || '","path":"/' || execution_phase || '","headers":{"h":"1"'
+  || CASE WHEN event_id % 3 = 0 THEN ',"g":"2"' ELSE '' END || '},"body":' || CASE event_id % 4 WHEN 0 THEN '""' WHEN 1 THEN '"no json"'
+  WHEN 2 THEN '{"k":' || CAST(memory_spike_kb AS STRING) || ',"a":{"p":[1,{"q":"x,y"}]}}' ELSE '"' || replace('{"k": ' || CAST(memory_spike_kb AS STRING) || '}', '"', chr(92) || '"') || '"' END || '}' END"""
+_MESSAGE = """CASE WHEN execution_phase = 'error' THEN CASE event_id % 5 WHEN 0 THEN 'Timeout after 3 s' WHEN 1 THEN 'out of memory' WHEN 2 THEN 'not authorised' WHEN 3 THEN 'Connection reset' ELSE 'unknown' END END"""
+_DESCRIBED = f"""{TEL}, ev AS (SELECT *, function_id AS trace, {_NAME} AS name, {_EVENT} AS ev, {_MESSAGE} AS message FROM tel),
+eb AS (SELECT *, CAST(json_extract(ev, '$.body') AS VARCHAR) AS raw, json_extract_string(ev, '$.body') AS body FROM ev),
+ej AS (SELECT *, raw IS NOT NULL AND raw <> '""' AS has_body, CASE WHEN json_valid(body) THEN CAST(json(body) AS VARCHAR) END AS j FROM eb),
+de AS (SELECT *, CAST(len(string_split(name, '-')) AS DOUBLE) AS f0, CASE WHEN event_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0 END AS f1, CASE WHEN event_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0 END AS f2,
+  CASE WHEN ev IS NULL THEN NULL WHEN event_id % 4 = 2 THEN 3.0::DOUBLE ELSE 2.0 END AS f3, CAST(len(json_keys(ev)) AS DOUBLE) AS f4, CASE WHEN ev IS NOT NULL THEN 1.0::DOUBLE END AS f5,
+  CASE WHEN message IS NULL THEN 0.0::DOUBLE ELSE 1 END AS f6, CASE WHEN message IS NULL THEN 0.0::DOUBLE ELSE CASE event_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 ELSE 0.5 END END AS f7,
+  substr(md5('{{"body_present": ' || CASE WHEN has_body THEN 'true' ELSE 'false' END || ', "headers_count": ' || coalesce(len(json_keys(ev, '$.headers')), 0) || ', "method": "' || coalesce(ev->>'$.httpMethod', '')
+    || '", "path": "' || coalesce(ev->>'$.path', '') || '"}}'), 1, 8) AS pattern,
+  CASE WHEN NOT has_body THEN 'no_payload' WHEN j IS NULL THEN 'invalid_json' ELSE substr(md5('{{"keys": [' || array_to_string(list_transform(list_sort(json_keys(j)), lambda k: '"' || k || '"'), ', ')
+    || '], "size": ' || (length(j) + length(regexp_replace(regexp_replace(j, '"[^"]*"', 's', 'g'), '[^,:]', '', 'g'))) || ', "type": "dict"}}'), 1, 8) END AS sig FROM ej),
+dv AS (SELECT *, CASE WHEN ev IS NULL THEN [f0, f1, f2, f6, f7, 0, 0, 0] ELSE [f0, f1, f2, f3, f4, f5, f6, f7] END AS v FROM de)"""
+
+
+def _described(spark, sf_dir):
+    t = telemetry(spark, sf_dir).withColumns({"trace": F.col("function_id"), "function_id": F.expr(_NAME), "event": F.expr(_EVENT), "error_message": F.expr(_MESSAGE)})
+    return S.describe(t.withColumn("parent_nodes", F.when(F.col("event_id") % 3 == 0, F.array(F.lit("api-invoke-handler"))).otherwise(F.array())))
+
+
+@query(f"""WITH {_DESCRIBED} SELECT event_id, f0 AS func_complexity, f1 AS has_handler, f2 AS has_api, f3 AS payload_depth, f4 AS payload_keys, f5 AS has_nested_objects, f6 AS has_error, f7 AS error_type,
+  pattern AS call_pattern, sig AS payload_signature, round(list_sum(list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y))))), 6) AS vector_sum FROM dv""")
+def semantic_features(spark, sf_dir):
+    total = F.aggregate(S.embedding(), F.lit(0.0), lambda s, x: s + x)
+    return _described(spark, sf_dir).select("event_id", "textual.*", "call_pattern", "payload_signature", r(total).alias("vector_sum"))
+
+
+_STRONG, _MID = [" + ".join(f"CAST({k} {t} AS INT)" for k in ("temporal", "semantic", "behavioural", "causal")) for t in ("> 0.7", "BETWEEN 0.4 AND 0.7")]
+
+
+@query(f"""WITH {_DESCRIBED}, h AS (SELECT *, row_number() OVER w - 1 AS place, coalesce((ts_us - lag(ts_us) OVER w) / 1e6, 0) AS arr, sqrt(list_sum(list_transform(v, lambda y: y * y))) AS norm,
+  CASE execution_phase WHEN 'init' THEN 0 WHEN 'invoke' THEN 1 WHEN 'shutdown' THEN 2 END AS rk FROM dv WINDOW w AS (PARTITION BY trace ORDER BY ts_us, event_id)),
+c AS (SELECT 0.4 * (1 - (b.ts_us - a.ts_us) / 600000000.0) + 0.25 * CASE WHEN a.execution_phase = b.execution_phase THEN 1 ELSE coalesce(1 - abs(a.rk - b.rk) / 3.0, 0) END
+    + 0.2 * CASE WHEN a.arr = 0 OR b.arr = 0 THEN 0.5 ELSE least(a.arr, b.arr) / greatest(a.arr, b.arr) END + 0.15 * CASE WHEN a.place = 0 OR b.place = 0 THEN 0.5 ELSE 1.0::DOUBLE / (1 + b.place - a.place) END AS temporal,
+  0.25 * CAST(a.name = b.name AS INT) + 0.35 * least(1, (a.v[1] * b.v[1] + a.v[2] * b.v[2] + a.v[3] * b.v[3] + a.v[4] * b.v[4] + a.v[5] * b.v[5] + a.v[6] * b.v[6] + a.v[7] * b.v[7] + a.v[8] * b.v[8]) / (a.norm * b.norm))
+    + 0.2 * list_avg(list_filter([1 - abs(a.f0 - b.f0) / greatest(1, a.f0, b.f0), 1 - abs(a.f1 - b.f1) / greatest(1, a.f1, b.f1), 1 - abs(a.f2 - b.f2) / greatest(1, a.f2, b.f2), 1 - abs(a.f3 - b.f3) / greatest(1, a.f3, b.f3), 1 - abs(a.f4 - b.f4) / greatest(1, a.f4, b.f4), 1 - abs(a.f5 - b.f5) / greatest(1, a.f5, b.f5), 1 - abs(a.f6 - b.f6) / greatest(1, a.f6, b.f6), 1 - abs(a.f7 - b.f7) / greatest(1, a.f7, b.f7)], lambda q: q IS NOT NULL)) + 0.1 * CAST(a.sig = b.sig AS INT) + 0.1 * CAST(coalesce(a.message, '') = coalesce(b.message, '') AS INT) AS semantic,
+  0.2 / (1 + abs(a.duration - b.duration)) + 0.2 / (1 + abs(a.memory_spike_kb - b.memory_spike_kb) / 10000.0) + 0.15 / (1 + abs(a.cpu_utilization - b.cpu_utilization) / 100.0) + 0.1 / (1 + abs(a.network_io_bytes - b.network_io_bytes) / 10000.0)
+    + 0.15 * CASE WHEN a.execution_phase = b.execution_phase THEN 1 ELSE 0.5 END + 0.1 * CAST(a.pattern = b.pattern AS INT) + 0.1 * CAST(a.anomaly_type = b.anomaly_type AS INT) AS behavioural,
+  CASE WHEN a.ts_us = b.ts_us THEN 0 ELSE least(1, exp(-(b.ts_us - a.ts_us) / 60000000.0) * CASE WHEN b.event_id % 3 = 0 AND a.name = 'api-invoke-handler' THEN 2 ELSE 1 END
+    * CASE WHEN a.memory_spike_kb > 50000 OR a.cpu_utilization > 80 THEN 1.5 ELSE 1 END * CASE WHEN a.anomaly_type <> 'benign' AND b.anomaly_type <> 'benign' THEN 1.3 ELSE 1 END) END AS causal
+  FROM h a JOIN h b ON a.trace = b.trace AND b.place > a.place AND b.ts_us - a.ts_us <= 600000000),
+x AS (SELECT *, least(1, (temporal + semantic + behavioural + causal) / 4 * CASE WHEN {_STRONG} >= 2 THEN 1.2 WHEN {_STRONG} = 1 AND {_MID} >= 2 THEN 1.1 ELSE 1 END) AS conf FROM c)
+SELECT type, count(*) AS n, round(avg(conf)::DOUBLE, 6) AS mean_confidence, round(avg(score)::DOUBLE, 6) AS mean_score FROM (SELECT 'temporal' AS type, conf, temporal AS score FROM x WHERE temporal >= 0.2
+  UNION ALL SELECT 'semantic', conf, semantic FROM x WHERE semantic >= 0.3 UNION ALL SELECT 'behavioural', conf, behavioural FROM x WHERE behavioural >= 0.25 UNION ALL SELECT 'causal', conf, causal FROM x WHERE causal >= 0.15) GROUP BY 1""")
 def correlation_edges(spark, sf_dir):
-    e = G.correlation_edges(telemetry(spark, sf_dir), "function_id")
-    return e.groupBy("type").agg(F.count(F.lit(1)).alias("n"), r(F.avg("confidence")).alias("mean_confidence"))
+    e = G.correlation_edges(_described(spark, sf_dir), "trace")
+    score = F.coalesce(*[F.when(F.col("type") == k, F.col(k)) for k in ("temporal", "semantic", "behavioural", "causal")])
+    return e.groupBy("type").agg(F.count(F.lit(1)).alias("n"), r(F.avg("confidence")).alias("mean_confidence"), r(F.avg(score)).alias("mean_score"))
 
 
 @query(f"WITH {TEL} SELECT event_id, round((ts_us - lag(ts_us) OVER (PARTITION BY function_id ORDER BY ts_us, event_id)) / 1e6, 6) AS inter_arrival FROM tel")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultline.operators import detectors as D, evaluation as V, fusion, models as M, neighbours as N, one_class as O
+from faultline.operators.detectors import forest
 from faultline.plans.common import TEL, Query, dbscan_sql, gap, r
 from faultline.plans.detectors import _FUSED
 from faultline.sources.tables import telemetry
@@ -66,6 +67,12 @@ def isolation_forest_detector(spark, sf_dir):
     return M.isolation_forest(*_parts(spark, sf_dir), COLS).select("event_id", r("score").alias("score"), (F.col("score") > F.col("threshold")).alias("anomalous"))
 
 
+@query(None)
+def history_forest(spark, sf_dir):
+    out = forest.history_forest(telemetry(spark, sf_dir))
+    return out.select("event_id", "outlier", "detected", "anomaly_type", r("confidence").alias("confidence"), r("decision").alias("decision"), "model_rows")
+
+
 def _held_out(spark, sf_dir):
     """Four fifths of the benign rows train, everything else is scored."""
     t = telemetry(spark, sf_dir).withColumn("label", F.col("anomaly_type") != "benign")
