@@ -279,3 +279,21 @@ def keyed_hash(value: Column, salt: str, algorithm: str = "sha256") -> Column:
     if algorithm == "blake2b":
         return blake2b(value, salt)
     raise ValueError(f"unsupported algorithm {algorithm!r}")
+
+
+def hash_with(value: Column, algorithm: str = "sha256", salt: Column | None = None, iterations: int = 1) -> Column:
+    """Hex digest of salt and value, hashed again ``iterations - 1`` times; the salt is a stored column, so that it can be verified. Null stays null."""
+    kinds = {"sha256": lambda c: F.sha2(c, 256), "sha512": lambda c: F.sha2(c, 512), "blake2b": blake2b}
+    if algorithm not in kinds:
+        raise ValueError(f"unsupported algorithm {algorithm!r}")
+    if iterations < 1:
+        raise ValueError("iterations must be at least 1")
+    out = value if salt is None else F.concat(salt, value)
+    for _ in range(iterations):
+        out = kinds[algorithm](out)
+    return out
+
+
+def verify_hash(value: Column, expected: Column, algorithm: str = "sha256", salt: Column | None = None, iterations: int = 1) -> Column:
+    """Whether the value has this digest under its stored salt; false where either is null."""
+    return F.coalesce(hash_with(value, algorithm, salt, iterations) == expected, F.lit(False))

@@ -286,8 +286,8 @@ def pivots(edges: DataFrame, count: int = 100, seed: int = 42) -> DataFrame:
     return nodes_of(edges).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(count)
 
 
-def sampled_paths(edges: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Betweenness and closeness from breadth-first search out of the pivot nodes.
+def _shortest(edges: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Summed dependencies (id, betweenness) and all (s, v, d, paths) of breadth-first search out of the sources.
 
     One row per (pivot, reached node): distance and number of shortest paths. Dependencies are
     then summed backwards level by level. Work is pivots x edges, never nodes x edges.
@@ -310,12 +310,38 @@ def sampled_paths(edges: DataFrame, sources: DataFrame) -> tuple[DataFrame, Data
                 .groupBy("s", F.col("src").alias("v")).agg(F.sum(F.col("pu") / F.col("pl") * (1 + F.col("delta"))).alias("delta")))
         dep = cut_lineage(upper.select("s", "v").join(flow, ["s", "v"], "left").select("s", "v", F.coalesce("delta", F.lit(0.0)).alias("delta")))
         total = total.unionAll(dep)
-    between = total.where("s <> v").groupBy(F.col("v").alias("id")).agg(F.sum("delta").alias("betweenness"))
+    return total.where("s <> v").groupBy(F.col("v").alias("id")).agg(F.sum("delta").alias("betweenness")), seen
+
+
+def sampled_paths(edges: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Betweenness of all nodes over paths out of the pivot nodes, and closeness of the pivots."""
+    between, seen = _shortest(edges, sources)
     close = seen.where("s <> v").groupBy(F.col("s").alias("id")).agg(F.count(F.lit(1)).alias("reached"), F.sum("d").alias("total_distance")).withColumn(
         "closeness", F.col("reached") / F.col("total_distance"))
     return between, close
 
 
+def centrality(edges: DataFrame, exact: int = 1_000, sample: int = 100) -> DataFrame:
+    """(id, betweenness, closeness, exact) of every node, directed, self loops left out.
+
+    Up to ``exact`` nodes every node is a source, so both are exact: betweenness as a share of the (n-1)(n-2) ordered pairs,
+    closeness over the nodes that reach a node, scaled by their share of all others (0 where none does). A larger graph takes
+    ``sample`` sources in digest order: betweenness is then an estimate, scaled up by n / sample, and closeness is null.
+    With fewer than three nodes betweenness is 0.
+    """
+    nodes = cut_lineage(nodes_of(edges))
+    n = nodes.count()
+    whole = n <= exact
+    used = n if whole else sample
+    sources = nodes if whole else nodes.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(sample)
+    between, seen = _shortest(edges, sources)
+    scale = n / max(used, 1) / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    near = seen.where("s <> v").groupBy(F.col("v").alias("id")).agg(F.count(F.lit(1)).alias("_r"), F.sum("d").alias("_t"))
+    close = F.coalesce(F.col("_r") / F.col("_t") * (F.col("_r") / max(n - 1, 1)), F.lit(0.0)) if whole else F.lit(None).cast("double")
+    out = nodes.join(between, "id", "left").join(near, "id", "left")
+    return out.select("id", (F.coalesce("betweenness", F.lit(0.0)) * scale).alias("betweenness"), close.alias("closeness"), F.lit(whole).alias("exact"))
+
+
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(id, community): each node repeatedly takes the most frequent label around it (ties: smallest)."""
     u = cut_lineage(undirected(edges))

@@ -31,6 +31,13 @@ def verify(df: DataFrame, key: str, fields: Iterable[str] = CONTENT_FIELDS) -> D
     return df.withColumn("fault", fault).withColumn("verified", F.col("fault").isNull())
 
 
+def broken(key: str, fields: Iterable[str] = CONTENT_FIELDS) -> dict[str, Column]:
+    """The two faults of a signed record as conditions of their own; an absent or empty hash or signature is no fault."""
+    held = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    return {"hash_mismatch": held("content_hash") & (canonical_hash(fields) != F.col("content_hash")),
+            "bad_signature": held("signature") & (hmac_sha256(F.coalesce(F.col("content_hash"), F.lit("")), key) != F.col("signature"))}
+
+
 def payload_hash(columns: Iterable[str], exclude: Iterable[str] = VOLATILE) -> Column:
     """Hash of a payload's columns without its volatile ones."""
     left = set(columns) - set(exclude)

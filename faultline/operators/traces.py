@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from faultline.operators import history as H
+from faultline.operators import history as H, signing
 
 # --- fixed values: state predicates ---
 PREDICATES = {
@@ -180,8 +180,13 @@ def validate_chain(blocks: DataFrame, chain: str, height: str, root: str) -> Dat
     return rows.groupBy(chain).agg(F.count(F.lit(1)).alias("blocks"), F.min(F.when(own | link, F.col(height))).alias("first_break"))
 
 
-def integrity_faults(df: DataFrame, batch: str, digest: str, time: str = "ts_us", tie: str = "event_id") -> DataFrame:
-    """Faults per batch: duration outliers, repeated content, impossible metrics, disorder in arrival (``tie``) order."""
+def integrity_faults(df: DataFrame, batch: str, digest: str, time: str = "ts_us", tie: str = "event_id", key: str | None = None,
+                     fields: Sequence[str] = signing.CONTENT_FIELDS) -> DataFrame:
+    """Faults per batch: duration outliers, repeated content, impossible metrics, disorder in arrival (``tie``) order.
+
+    With the signing ``key`` also content that does not match its ``content_hash`` and signatures that do not match that hash,
+    each counted by itself; a record without hash or signature is not held against either.
+    """
     stats = df.groupBy(batch).agg(F.count(F.lit(1)).alias("_n"), F.avg("duration").alias("_m"), F.stddev_pop("duration").alias("_s"))
     dup = df.groupBy(batch, digest).agg((F.count(F.lit(1)) - 1).alias("_d")).groupBy(batch).agg(F.sum("_d").alias("duplicate_hash"))
     rows = H.with_previous(df, [batch], [time], time=tie, tie=tie).join(stats, batch)
@@ -190,6 +195,8 @@ def integrity_faults(df: DataFrame, batch: str, digest: str, time: str = "ts_us"
         F.count_if((F.col("_n") > 3) & (F.col("_s") > 0) & (F.abs(F.col("duration") - F.col("_m")) > 3 * F.col("_s"))).alias("duration_outlier"),
         F.count_if((F.col("duration") > 0.1) & (F.col("cpu_utilization") == 0)).alias("impossible_cpu"),
         F.count_if((F.col("memory_spike_kb") > 1_000_000) & (F.col("duration") < 0.001)).alias("impossible_memory"),
-        F.count_if(F.col(time) < F.col(f"prev_{time}") - 60_000_000).alias("_late"))
+        F.count_if(F.col(time) < F.col(f"prev_{time}") - 60_000_000).alias("_late"),
+        *([] if key is None else [F.count_if(c).alias(n) for n, c in signing.broken(key, fields).items()]))
     out = out.join(dup, batch).withColumn("disorder", (F.col("_late") > F.col("records") * 0.1).cast("int"))
-    return out.withColumn("faults", F.expr("duration_outlier + duplicate_hash + impossible_cpu + impossible_memory + disorder")).drop("_late")
+    return out.withColumn("faults", F.expr(
+        "duration_outlier + duplicate_hash + impossible_cpu + impossible_memory + disorder" + ("" if key is None else " + hash_mismatch + bad_signature"))).drop("_late")

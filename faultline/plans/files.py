@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline.operators import evaluation as V, fusion, records, signing
+from faultline.operators import evaluation as V, fusion, records, signing, traces as T
 from faultline.plans.common import SCORED, TEL, Query, r
 from faultline.plans.streams import _place
 from faultline.plans.texts import _pad
@@ -65,6 +65,20 @@ def sign_records(spark, sf_dir):
     return signing.verify(bad, "salt").select("event_id", "content_hash", F.col("kept").alias("signature"), "fault")
 
 
+@query(f"""WITH {TEL}, x AS (SELECT event_id, function_id || '/' || (ts_us // 3600000000) AS batch, ts_us, cpu_utilization, duration + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS duration,
+  lag(ts_us) OVER (PARTITION BY function_id || '/' || (ts_us // 3600000000) ORDER BY event_id) AS pt FROM tel), s AS (SELECT batch, count(*) AS n, avg(duration) AS m, stddev_pop(duration) AS sd FROM x GROUP BY 1),
+f AS (SELECT batch, any_value(n) AS records, count(*) FILTER (WHERE event_id % 10 = 0) AS hash_mismatch, count(*) FILTER (WHERE event_id % 10 = 1) AS bad_signature,
+  count(*) FILTER (WHERE n > 3 AND abs(duration - m) > 3 * sd) + count(*) FILTER (WHERE duration > 0.1 AND cpu_utilization = 0) + CAST(count(*) FILTER (WHERE ts_us < pt - 60000000) > any_value(n) * 0.1 AS INT) AS others FROM x JOIN s USING (batch) GROUP BY 1)
+SELECT batch, records, hash_mismatch, bad_signature, CAST(others + hash_mismatch + bad_signature AS BIGINT) AS faults FROM f""")
+def signed_integrity_faults(spark, sf_dir):
+    """The changed records and wrong signatures of ``sign_records``, found per function and hour."""
+    t = signing.sign(telemetry(spark, sf_dir).withColumns({"source": F.lit("primary"), "timestamp": F.col("ts_us")}), "salt")
+    bad = t.withColumns({"duration": F.when(F.col("event_id") % 10 == 0, F.col("duration") + 1).otherwise(F.col("duration")),
+                         "signature": F.when(F.col("event_id") % 10 == 1, "0").otherwise(F.col("signature")),
+                         "batch": F.concat("function_id", F.lit("/"), F.expr("CAST(ts_us DIV 3600000000 AS STRING)"))})
+    return T.integrity_faults(bad, "batch", "content_hash", key="salt").select("batch", "records", "hash_mismatch", "bad_signature", "faults")
+
+
 @query("""SELECT event_id, sha256('{"event_id":' || event_id || ',"event_type":"' || event_type || '","user_id":' || user_id || '}') AS hash,
   substr(md5('event_id:' || printf('%.2f', event_id::DOUBLE) || '|event_type:string|user_id:' || printf('%.2f', user_id::DOUBLE)), 1, 16) AS signature FROM events""")
 def payload_hash_of(spark, sf_dir):

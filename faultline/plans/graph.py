@@ -228,6 +228,22 @@ def betweenness_closeness(spark, sf_dir):
     return between.join(close, "id", "full").select("id", r("betweenness", 4).alias("betweenness"), r("closeness").alias("closeness"))
 
 
+@query("WITH RECURSIVE " + _ACT + """, nn AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM nd), ge AS MATERIALIZED (SELECT src, dst FROM g WHERE src <> dst),
+so AS MATERIALIZED (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY md5(id::VARCHAR), id) AS k FROM nd), nn WHERE k <= 100 OR n <= 1000),
+bf AS (SELECT id AS s, [id] AS fr, [id] AS seen, 0 AS d FROM so UNION ALL
+  SELECT s, list(DISTINCT dst), any_value(seen) || list(DISTINCT dst), d + 1 FROM (SELECT bf.s, bf.seen, bf.d, ge.dst FROM bf JOIN ge ON list_contains(bf.fr, ge.src)) WHERE NOT list_contains(seen, dst) GROUP BY s, d),
+di AS MATERIALIZED (SELECT s, unnest(fr) AS v, d FROM bf),
+pc AS (SELECT id AS s, id AS v, 0 AS d, 1.0::DOUBLE AS c FROM so UNION ALL SELECT pc.s, ge.dst, pc.d + 1, sum(pc.c) FROM pc JOIN ge ON ge.src = pc.v JOIN di ON di.s = pc.s AND di.v = ge.dst AND di.d = pc.d + 1 GROUP BY 1, 2, 3),
+ps AS MATERIALIZED (SELECT * FROM pc),
+dp AS (SELECT s, v, d, c, 0.0::DOUBLE AS delta, (SELECT max(d) FROM ps) AS lv FROM ps WHERE d = (SELECT max(d) FROM ps) UNION ALL
+  SELECT u.s, u.v, u.d, u.c, coalesce(sum(u.c / dp.c * (1 + dp.delta)), 0), u.d FROM (SELECT DISTINCT lv FROM dp) z JOIN ps u ON u.d = z.lv - 1 LEFT JOIN ge ON ge.src = u.v LEFT JOIN dp ON dp.s = u.s AND dp.v = ge.dst GROUP BY ALL),
+bt AS (SELECT v, sum(delta) AS b FROM dp WHERE s <> v GROUP BY 1), cs AS (SELECT v, count(*)::DOUBLE AS r, sum(d)::DOUBLE AS t FROM di WHERE s <> v GROUP BY 1)
+SELECT id, round(coalesce(b, 0) * n / (SELECT count(*) FROM so) / ((n - 1) * (n - 2)), 8) AS betweenness, CASE WHEN n <= 1000 THEN round(coalesce(r / t * (r / (n - 1)), 0), 8) END AS closeness, n <= 1000 AS exact
+FROM nd CROSS JOIN nn LEFT JOIN bt ON bt.v = id LEFT JOIN cs ON cs.v = id""")
+def centrality(spark, sf_dir):
+    return G.centrality(_actors(spark, sf_dir)).select("id", r("betweenness", 8).alias("betweenness"), r("closeness", 8).alias("closeness"), "exact")
+
+
 @query(None)
 def graph_communities(spark, sf_dir):
     e = _actors(spark, sf_dir)
@@ -496,13 +512,14 @@ vr AS (SELECT 'baseline' AS variant, 0.3 AS a, 0.2 AS b, 0.15 AS c, 0.1 AS d UNI
   UNION ALL SELECT 'only_function', 0, 0, 0.15, 0 UNION ALL SELECT 'only_error', 0, 0, 0, 0.1),
 k AS (SELECT variant, count(*) FILTER (WHERE tt.src IS NOT NULL AND st >= 0.35) AS tp, count(*) FILTER (WHERE tt.src IS NULL AND st >= 0.35) AS fp FROM (SELECT *, tp * a + rs * b + fn * c + er * d AS st FROM ps, vr) z LEFT JOIN tt ON tt.src = z.src AND tt.dst = z.dst GROUP BY 1),
 f AS (SELECT variant, tp, fp, (SELECT count(*) FROM tt) - tp AS fn, 2 * tp / (tp + fp + (SELECT count(*) FROM tt)) AS f1 FROM k)
-SELECT variant, tp, fp, fn, round(f1, 6) AS f1, round((SELECT f1 FROM f WHERE variant = 'baseline') - f1, 6) AS importance FROM f"""
+SELECT variant, tp, fp, fn, round(f1, 6) AS f1, round((SELECT f1 FROM f WHERE variant = 'baseline') - f1, 6) AS importance,
+  CASE WHEN variant LIKE 'without%' THEN row_number() OVER (PARTITION BY variant LIKE 'without%' ORDER BY round((SELECT f1 FROM f WHERE variant = 'baseline') - f1, 9) DESC, variant) END AS rank FROM f"""
 
 
 @query(_ABL)
 def ablation(spark, sf_dir):
     out = P.ablation(_prov(spark, sf_dir), ["function_id"], _truth(spark, sf_dir), threshold=0.35)
-    return out.select("variant", "tp", "fp", "fn", r("f1").alias("f1"), r("importance").alias("importance"))
+    return out.select("variant", "tp", "fp", "fn", r("f1").alias("f1"), r("importance").alias("importance"), "rank")
 
 
 @query(None)

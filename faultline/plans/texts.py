@@ -153,6 +153,16 @@ def hash_fields(spark, sf_dir):
     return spread(table(spark, sf_dir, "documents")).select("doc_id", TX.keyed_hash(F.col("text"), "salt").alias("digest"))
 
 
+@query("""SELECT doc_id, sha256(sha256(md5(doc_id::VARCHAR) || text)) AS digest, text IS NOT NULL AS verified, text IS NOT NULL AND doc_id % 10 > 0 AS verified_changed FROM documents""")
+def salted_hash(spark, sf_dir):
+    """Texts hashed twice under a stored salt and verified, once as they are and once with every tenth text changed."""
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", "text", F.md5(F.col("doc_id").cast("string").cast("binary")).alias("salt"))
+    d = d.withColumn("digest", TX.hash_with(F.col("text"), salt=F.col("salt"), iterations=2))
+    changed = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    check = lambda v: TX.verify_hash(v, F.col("digest"), salt=F.col("salt"), iterations=2)
+    return d.select("doc_id", "digest", check(F.col("text")).alias("verified"), check(changed).alias("verified_changed"))
+
+
 @query(None)
 def hash_blake2b(spark, sf_dir):
     return spread(table(spark, sf_dir, "documents")).select("doc_id", TX.keyed_hash(F.col("text"), "salt", "blake2b").alias("digest"))

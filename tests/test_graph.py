@@ -67,6 +67,33 @@ def test_betweenness_matches_brute_force(spark):
     assert abs(c[1] - (len(d1) - 1) / sum(d1.values())) < 1e-12
 
 
+def test_centrality_of_all_nodes(spark):
+    """Against a search from every node; with too many nodes an estimate from a sample."""
+    adj, nodes = {}, sorted({x for e in EDGES for x in e})
+    for a, b in EDGES:
+        adj.setdefault(a, set()).add(b)
+    dist = {}
+    for s in nodes:
+        dist[s], level, d = {s: 0}, {s}, 0
+        while level:
+            d += 1
+            level = {w for v in level for w in adj.get(v, ())} - dist[s].keys()
+            dist[s] |= dict.fromkeys(level, d)
+    n = len(nodes)
+    got = {r.id: r for r in G.centrality(edges(spark)).collect()}
+    assert got.keys() == set(nodes)
+    summed = {r.id: r.betweenness for r in G.sampled_paths(edges(spark), G.nodes_of(edges(spark)))[0].collect()}
+    for v in nodes:
+        reach = [dist[s][v] for s in nodes if s != v and v in dist[s]]
+        want = len(reach) / sum(reach) * len(reach) / (n - 1) if reach else 0.0
+        assert got[v].exact and abs(got[v].closeness - want) < 1e-12
+        assert abs(got[v].betweenness - summed.get(v, 0.0) / ((n - 1) * (n - 2))) < 1e-12
+    rough = G.centrality(edges(spark), exact=n - 1, sample=n).collect()  # a sample of all nodes is the exact value
+    assert all(not r.exact and r.closeness is None and abs(r.betweenness - got[r.id].betweenness) < 1e-12 for r in rough)
+    assert G.centrality(edges(spark).where("false")).count() == 0
+    assert {r.betweenness for r in G.centrality(edges(spark).limit(1)).collect()} == {0.0}
+
+
 def test_merkle(spark):
     rows, want = [], {}
     for n in (1, 2, 3, 255, 256, 257, 700):

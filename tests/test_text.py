@@ -1,6 +1,7 @@
 import hashlib
 import hmac
 
+import pytest
 from pyspark.sql import functions as F
 
 from faultline.functions import text as TX
@@ -101,3 +102,19 @@ def test_payload_structure_against_recursion(spark):
     got = validation.payload_structure(spark.createDataFrame(rows, "id long, raw string"), "id", "raw", 3, 3, 3, 10).collect()
     want = [(i, *x) for i, v in enumerate(trees) for x in walk(v, "root", 0, [])] + [(101, "root", "invalid_json", 0), (102, "root", "invalid_json", 0)]
     assert sorted(tuple(x) for x in got) == sorted(want) and len({x[2] for x in want}) == 5
+
+
+def test_salted_hashes(spark):
+    rows = spark.createDataFrame([("a", "s1"), ("a", "s2"), ("", "s"), (None, "s"), ("ä" * 5000, None)], "v string, salt string")
+    for name in ("sha256", "sha512", "blake2b"):
+        plain = lambda b: getattr(hashlib, name)(b.encode()).hexdigest()  # noqa: B023, E731
+        out = rows.withColumns({"h": TX.hash_with(F.col("v"), name, F.col("salt"), 2), "u": TX.hash_with(F.col("v"), name)})
+        out = out.withColumns({"ok": TX.verify_hash(F.col("v"), F.col("h"), name, F.col("salt"), 2), "other": TX.verify_hash(F.concat("v", F.lit(".")), F.col("h"), name, F.col("salt"), 2)})
+        for r in out.collect():
+            whole = r.v is not None and r.salt is not None
+            assert r.h == (plain(plain(r.salt + r.v)) if whole else None) and r.u == (None if r.v is None else plain(r.v))
+            assert (r.ok, r.other) == (whole, False)
+    with pytest.raises(ValueError):
+        TX.hash_with(F.col("v"), "md5")
+    with pytest.raises(ValueError):
+        TX.hash_with(F.col("v"), iterations=0)
