@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from faultline.operators.quantiles import exact_quantiles
 
@@ -111,7 +111,7 @@ def distribution_shift(pairs: DataFrame, fields: Sequence[str], before: str = "o
     for f in fields:
         for side, sign in ((before, 1), (after, -1)):
             arms.append(F.struct(F.lit(f).alias("field"), F.col(side + f).cast("double").alias("value"), F.lit(sign).alias("sign")))
-    long = pairs.select(F.inline(F.array(*arms)))
+    long = pairs.select(F.inline(F.array(*arms))).where("value IS NOT NULL")
     counts = long.groupBy("field", "value").agg(F.count_if(F.col("sign") > 0).alias("a"), F.count_if(F.col("sign") < 0).alias("b"))
     edges = counts.groupBy("field").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
     slotted = counts.join(edges, "field").withColumn("slot", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 1024)).otherwise(0))
@@ -136,6 +136,99 @@ def utility_metrics(pairs: DataFrame, fields: Sequence[str], before: str = "o_",
         "field", kept("ma", "mb").alias("mean_kept"), kept("va", "vb").alias("variance_kept"), F.abs("corr").alias("correlation_kept"))
 
 
+def _sides(pairs: DataFrame, fields: Sequence[str], before: str, after: str) -> DataFrame:
+    """(field, side, value) of the numeric columns in both versions, nulls left out."""
+    arms = [F.struct(F.lit(f).alias("field"), F.lit(side).alias("side"), F.col(p + f).cast("double").alias("value")) for f in fields for side, p in (("o", before), ("p", after))]
+    return pairs.select(F.inline(F.array(*arms))).where("value IS NOT NULL")
+
+
+def _from_zero(c: Column) -> Column:
+    """Not below 0; unlike ``greatest`` a null stays null."""
+    return F.when(c < 0, 0.0).otherwise(c)
+
+
+def _fidelity(a: str, b: str) -> Column:
+    """1 minus the change relative to the original, not below 0."""
+    return _from_zero(1 - F.abs(F.col(a) - F.col(b)) / (F.abs(F.col(a)) + 1e-10))
+
+
+def distribution_fidelity(pairs: DataFrame, fields: Sequence[str], before: str = "o_", after: str = "p_", probs: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
+    """How well each numeric column keeps its distribution: four moments, Kolmogorov-Smirnov, earth mover's distance over the
+    original's range, mean of the percentiles, and the mean of these seven. A score without a value (constant column, no rows) is null
+    and left out of the mean."""
+    long = _sides(pairs, fields, before, after)
+    kinds = {"mean": F.avg, "variance": F.var_pop, "skewness": F.skewness, "kurtosis": F.kurtosis, "low": F.min, "high": F.max}
+    wide = long.groupBy("field").agg(*[fn(F.when(F.col("side") == side, F.col("value"))).alias(f"{side}_{n}") for n, fn in kinds.items() for side in "op"])
+    q = exact_quantiles(long, ["field", "side"], "value", probs).groupBy("field", "p").agg(*[F.max(F.when(F.col("side") == s, F.col("q"))).alias(f"{s}_q") for s in "op"])
+    q = q.groupBy("field").agg(F.avg(_fidelity("o_q", "p_q")).alias("quantiles"))
+    span = lambda lo, hi: F.col(hi) - F.col(lo)
+    moved = F.col("emd") * (F.greatest("o_high", "p_high") - F.least("o_low", "p_low")) / (span("o_low", "o_high") + 1e-10)
+    out = wide.join(distribution_shift(pairs, fields, before, after), "field", "left").join(q, "field", "left").select(
+        "field", *[F.nanvl(_fidelity(f"o_{n}", f"p_{n}"), F.lit(None)).alias(n) for n in ("mean", "variance", "skewness", "kurtosis")],
+        (1 - F.col("ks")).alias("ks"), _from_zero(1 - moved).alias("emd"), "quantiles")
+    scores = F.array_compact(F.array("mean", "variance", "skewness", "kurtosis", "ks", "emd", "quantiles"))
+    return out.withColumn("overall", F.aggregate(scores, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(scores), F.lit(0)))
+
+
+def pattern_fidelity(pairs: DataFrame, fields: Sequence[str], before: str = "o_", after: str = "p_") -> DataFrame:
+    """(field, presence, type_kept, pattern): rows that keep a value, type (1 or, if it changes, .5), and likeness of the values.
+
+    Numbers score 1 minus the relative change (of a zero: 1 if it stays, else .5); texts the mean of the ratio of their lengths and
+    1 minus the change in the share of letters (two empty ones 1, one empty 0). Other types have no pattern, columns without values no presence.
+    """
+    types, out = dict(pairs.dtypes), []
+    numeric = ("int", "bigint", "smallint", "tinyint", "float", "double", "decimal")
+    for f in fields:
+        a, b = F.col(before + f), F.col(after + f)
+        kinds = [types[p + f] for p in (before, after)]
+        if all(k.startswith(numeric) for k in kinds):
+            x, y = a.cast("double"), b.cast("double")
+            like = F.when(x != 0, _from_zero(1 - F.abs(x - y) / F.abs(x))).when(y == 0, 1.0).when(y.isNotNull(), 0.5)
+        elif kinds == ["string", "string"]:
+            la, lb = F.length(a), F.length(b)
+            letters = lambda c: F.length(F.regexp_replace(c, r"[^\p{L}]", "")) / F.length(c)
+            like = F.when((la > 0) & (lb > 0), (F.least(la, lb) / F.greatest(la, lb) + 1 - F.abs(letters(a) - letters(b))) / 2).when((la == 0) & (lb == 0), 1.0).when(la.isNotNull() & lb.isNotNull(), 0.0)
+        else:
+            like = F.lit(None).cast("double")
+        out.append(F.struct(F.lit(f).alias("field"), (F.count_if(a.isNotNull() & b.isNotNull()) / F.nullif(F.count(a), F.lit(0))).alias("presence"),
+                            F.lit(1.0 if kinds[0] == kinds[1] else 0.5).alias("type_kept"), F.avg(like).alias("pattern")))
+    return pairs.agg(F.array(*out).alias("x")).select(F.inline("x"))
+
+
+def correlation_fidelity(pairs: DataFrame, fields: Sequence[str], before: str = "o_", after: str = "p_") -> tuple[DataFrame, DataFrame]:
+    """What stays of the correlations: one row (structure, fidelity) over both matrices, and (field, rank_correlation) between the versions.
+
+    ``structure`` correlates the pairwise coefficients, ``fidelity`` is 1 minus their mean absolute change over the whole matrix.
+    Ranks come from running counts of distinct values and are joined to counts of distinct pairs, so no column is ever sorted in
+    one task and a value that most rows share is one row. Needs two fields; without a spread coefficients are null.
+    """
+    if len(fields) < 2:
+        raise ValueError("correlations need two fields")
+    both = correlation_matrix(pairs, [before + f for f in fields]), correlation_matrix(pairs, [after + f for f in fields])
+    strip = lambda df, p, name: df.select(F.substring("a", len(p) + 1, 1 << 20).alias("a"), F.substring("b", len(p) + 1, 1 << 20).alias("b"), F.col("corr").alias(name))
+    joined = strip(both[0], before, "x").join(strip(both[1], after, "y"), ["a", "b"])
+    k = len(fields)
+    structure = joined.agg(_from_zero(F.corr("x", "y")).alias("structure"), _from_zero(1 - 2 * F.sum(F.abs(F.col("x") - F.col("y"))) / (k * k)).alias("fidelity"))
+    arms = [F.struct(F.lit(f).alias("field"), F.col(before + f).cast("double").alias("x"), F.col(after + f).cast("double").alias("y")) for f in fields]
+    counts = pairs.select(F.inline(F.array(*arms))).where("x IS NOT NULL AND y IS NOT NULL").groupBy("field", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    ranked = counts
+    for c in "xy":
+        per = counts.groupBy("field", c).agg(F.sum("n").alias("k"))
+        ranked = ranked.join(_centred_ranks(per, c), ["field", c])
+    w = lambda p, q: F.sum(F.col("n") * F.col(f"r{p}") * F.col(f"r{q}"))
+    ranks = ranked.groupBy("field").agg((w("x", "y") / F.nullif(F.sqrt(w("x", "x")) * F.sqrt(w("y", "y")), F.lit(0.0))).alias("rank_correlation"))
+    return structure, ranks.withColumn("rank_correlation", _from_zero(F.col("rank_correlation")))
+
+
+def _centred_ranks(per: DataFrame, c: str, slots: int = 1024) -> DataFrame:
+    """(field, c, r<c>): mean rank of each distinct value minus the mean of all ranks; running totals over value slots."""
+    ends = per.groupBy("field").agg(F.min(c).alias("lo"), F.max(c).alias("hi"), F.sum("k").alias("all"))
+    slotted = per.join(ends, "field").withColumn("slot", F.when(F.col("hi") > F.col("lo"), F.floor((F.col(c) - F.col("lo")) / (F.col("hi") - F.col("lo")) * slots)).otherwise(0))
+    base = slotted.groupBy("field", "slot").agg(F.sum("k").alias("in_slot")).withColumn("base", F.sum("in_slot").over(W.partitionBy("field").orderBy("slot")) - F.col("in_slot"))
+    upto = F.sum("k").over(W.partitionBy("field", "slot").orderBy(c))
+    return slotted.join(base.drop("in_slot"), ["field", "slot"]).select("field", c, (F.col("base") + upto - F.col("k") + (F.col("k") + 1) / 2 - (F.col("all") + 1) / 2).alias(f"r{c}"))
+
+
 def add_noise(df: DataFrame, column: str, epsilon: float, mechanism: str = "laplace", seed: int = 42, out: str | None = None) -> DataFrame:
     """Differential-privacy noise; sensitivity is 10% of the value, at least 1."""
     sens = F.greatest(F.lit(1.0), F.abs(F.col(column)) * 0.1)

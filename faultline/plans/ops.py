@@ -407,6 +407,44 @@ def distribution_shift(spark, sf_dir):
     return P.distribution_shift(_pairs(spark, sf_dir), ["duration", "cpu_utilization"]).select("field", r("ks").alias("ks"), r("emd").alias("emd"))
 
 
+_BOTH = f"""{TEL}, k AS (SELECT duration AS o1, duration + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 1e-12 END AS p1, memory_spike_kb::DOUBLE AS o2, (memory_spike_kb + event_id % 2)::DOUBLE AS p2, cpu_utilization AS o3, cpu_utilization * 0.9::DOUBLE AS p3,
+  execution_phase AS o4, CASE WHEN event_id % 5 = 0 THEN 'x' ELSE execution_phase END AS p4 FROM tel)"""
+_LONG = " UNION ALL ".join(f"SELECT '{f}' AS field, o{i} AS o, p{i} AS p FROM k" for i, f in ((1, "duration"), (2, "memory_spike_kb"), (3, "cpu_utilization")))
+_FID = "greatest(0, 1 - abs({a} - {b}) / (abs({a}) + 1e-10))"
+
+
+@query(f"""WITH {_BOTH}, l AS ({_LONG}), m AS (SELECT field, avg(o) AS om, avg(p) AS pm, var_pop(o) AS ov, var_pop(p) AS pv, max(o) - min(o) AS rg FROM l GROUP BY 1),
+h AS (SELECT field, avg(power(o - om, 3)) / power(any_value(ov), 1.5) AS os, avg(power(p - pm, 3)) / power(any_value(pv), 1.5) AS ps, avg(power(o - om, 4)) / power(any_value(ov), 2) - 3 AS ok, avg(power(p - pm, 4)) / power(any_value(pv), 2) - 3 AS pk FROM l JOIN m USING (field) GROUP BY 1),
+q AS (SELECT field, unnest(quantile_cont(o, [0.1, 0.25, 0.5, 0.75, 0.9])) AS a, unnest(quantile_cont(p, [0.1, 0.25, 0.5, 0.75, 0.9])) AS b FROM l GROUP BY 1), qq AS (SELECT field, avg({_FID.format(a='a', b='b')}) AS quantiles FROM q GROUP BY 1),
+u AS (SELECT field, o AS v, 1 AS x FROM l UNION ALL SELECT field, p, 0 FROM l), g AS (SELECT field, v, sum(x) AS a, sum(1 - x) AS b FROM u GROUP BY 1, 2),
+n AS (SELECT *, sum(a) OVER w / sum(a) OVER f - sum(b) OVER w / sum(b) OVER f AS d, lead(v) OVER w - v AS wd FROM g WINDOW w AS (PARTITION BY field ORDER BY v), f AS (PARTITION BY field)),
+e AS (SELECT field, max(abs(d)) AS ks, sum(abs(d) * coalesce(wd, 0)) AS emd FROM n GROUP BY 1),
+r AS (SELECT field, {_FID.format(a='om', b='pm')} AS mean, {_FID.format(a='ov', b='pv')} AS variance, {_FID.format(a='os', b='ps')} AS skewness, {_FID.format(a='ok', b='pk')} AS kurtosis, 1 - ks AS ks, greatest(0, 1 - emd / (rg + 1e-10)) AS emd, quantiles
+  FROM m JOIN h USING (field) JOIN qq USING (field) JOIN e USING (field))
+SELECT field, {", ".join(f"round({c}::DOUBLE, 5) AS {c}" for c in ("mean", "variance", "skewness", "kurtosis", "ks", "emd", "quantiles"))}, round(((mean + variance + skewness + kurtosis + ks + emd + quantiles) / 7)::DOUBLE, 5) AS overall FROM r""")
+def distribution_fidelity(spark, sf_dir):
+    out = P.distribution_fidelity(_pairs(spark, sf_dir), ["duration", "memory_spike_kb", "cpu_utilization"])
+    return out.select("field", *[r(c, 5).alias(c) for c in out.columns[1:]])
+
+
+@query(f"""WITH {_BOTH}, l AS (SELECT 'execution_phase' AS field, (length(o4) / greatest(length(o4), 1) * least(length(o4), length(p4)) / greatest(length(o4), length(p4)) + 1) / 2 AS s, 1.0::DOUBLE AS t FROM k
+  UNION ALL SELECT 'duration', CASE WHEN o1 <> 0 THEN greatest(0, 1 - abs(o1 - p1) / abs(o1)) WHEN p1 = 0 THEN 1 ELSE 0.5 END, 1.0 FROM k
+  UNION ALL SELECT 'memory_spike_kb', CASE WHEN o2 <> 0 THEN greatest(0, 1 - abs(o2 - p2) / abs(o2)) WHEN p2 = 0 THEN 1 ELSE 0.5 END, 1.0 FROM k
+  UNION ALL SELECT 'cpu_utilization', CASE WHEN o3 <> 0 THEN greatest(0, 1 - abs(o3 - p3) / abs(o3)) WHEN p3 = 0 THEN 1 ELSE 0.5 END, 1.0 FROM k)
+SELECT field, 1.0::DOUBLE AS presence, any_value(t) AS type_kept, round(avg(s)::DOUBLE, 6) AS pattern FROM l GROUP BY 1""")
+def pattern_fidelity(spark, sf_dir):
+    out = P.pattern_fidelity(_pairs(spark, sf_dir), ["execution_phase", "duration", "memory_spike_kb", "cpu_utilization"])
+    return out.select("field", "presence", "type_kept", r("pattern").alias("pattern"))
+
+
+@query(f"""WITH {_BOTH}, l AS ({_LONG}), rk AS (SELECT field, rank() OVER (PARTITION BY field ORDER BY o) + (count(*) OVER (PARTITION BY field, o) - 1) / 2.0 AS a, rank() OVER (PARTITION BY field ORDER BY p) + (count(*) OVER (PARTITION BY field, p) - 1) / 2.0 AS b FROM l),
+c AS (SELECT unnest([corr(o1, o2), corr(o1, o3), corr(o2, o3)]) AS x, unnest([corr(p1, p2), corr(p1, p3), corr(p2, p3)]) AS y FROM k), s AS (SELECT greatest(0, corr(x, y)) AS structure, greatest(0, 1 - 2 * sum(abs(x - y)) / 9) AS fidelity FROM c)
+SELECT field, round(greatest(0, corr(a, b)), 6) AS rank_correlation, any_value(round(structure, 6)) AS structure, any_value(round(fidelity, 6)) AS fidelity FROM rk, s GROUP BY 1""")
+def correlation_fidelity(spark, sf_dir):
+    structure, ranks = P.correlation_fidelity(_pairs(spark, sf_dir), ["duration", "memory_spike_kb", "cpu_utilization"])
+    return ranks.crossJoin(F.broadcast(structure)).select("field", *[r(c).alias(c) for c in ("rank_correlation", "structure", "fidelity")])  # one row
+
+
 @query(f"""WITH {TEL}, k AS (SELECT *, duration + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 1e-12 END AS pd, cpu_utilization * 0.9 AS pc FROM tel)
 SELECT 'duration' AS field, round(greatest(0, 1 - abs(avg(duration) - avg(pd)) / avg(duration)), 6) AS mean_kept, round(greatest(0, 1 - abs(var_pop(duration) - var_pop(pd)) / var_pop(duration)), 6) AS variance_kept, round(abs(corr(duration, pd)), 6) AS correlation_kept FROM k
 UNION ALL SELECT 'cpu_utilization', round(greatest(0, 1 - abs(avg(cpu_utilization) - avg(pc)) / avg(cpu_utilization)), 6), round(greatest(0, 1 - abs(var_pop(cpu_utilization) - var_pop(pc)) / var_pop(cpu_utilization)), 6), round(abs(corr(cpu_utilization, pc)), 6) FROM k""")
