@@ -80,10 +80,16 @@ def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     return parts.agg(F.sum("v").alias("mutual_information"))
 
 
+def _corr(a: Column, b: Column) -> Column:
+    """Pearson correlation over the rows that have both; null where one of them is constant."""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def correlation_matrix(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """All pairwise Pearson correlations in one aggregation pass."""
     pairs = [(a, b) for i, a in enumerate(fields) for b in fields[i + 1:]]
-    one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs])
+    one = df.agg(*[_corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs])
     long = one.unpivot([], [F.col(f"`{a}|{b}`") for a, b in pairs], "pair", "corr")
     return long.select(F.substring_index("pair", "|", 1).alias("a"), F.substring_index("pair", "|", -1).alias("b"), "corr")
 
@@ -130,7 +136,7 @@ def utility_metrics(pairs: DataFrame, fields: Sequence[str], before: str = "o_",
     aggs = []
     for f in fields:
         a, b = F.col(before + f).cast("double"), F.col(after + f).cast("double")
-        aggs.append(F.struct(F.lit(f).alias("field"), F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.var_pop(a).alias("va"), F.var_pop(b).alias("vb"), F.corr(a, b).alias("corr")))
+        aggs.append(F.struct(F.lit(f).alias("field"), F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.var_pop(a).alias("va"), F.var_pop(b).alias("vb"), _corr(a, b).alias("corr")))
     kept = lambda x, y: F.greatest(F.lit(0.0), 1 - F.abs(F.col(x) - F.col(y)) / F.greatest(F.abs(F.col(x)), F.lit(1e-9)))
     return pairs.agg(F.array(*aggs).alias("x")).select(F.inline("x")).select(
         "field", kept("ma", "mb").alias("mean_kept"), kept("va", "vb").alias("variance_kept"), F.abs("corr").alias("correlation_kept"))
@@ -208,7 +214,7 @@ def correlation_fidelity(pairs: DataFrame, fields: Sequence[str], before: str =
     strip = lambda df, p, name: df.select(F.substring("a", len(p) + 1, 1 << 20).alias("a"), F.substring("b", len(p) + 1, 1 << 20).alias("b"), F.col("corr").alias(name))
     joined = strip(both[0], before, "x").join(strip(both[1], after, "y"), ["a", "b"])
     k = len(fields)
-    structure = joined.agg(_from_zero(F.corr("x", "y")).alias("structure"), _from_zero(1 - 2 * F.sum(F.abs(F.col("x") - F.col("y"))) / (k * k)).alias("fidelity"))
+    structure = joined.agg(_from_zero(_corr(F.col("x"), F.col("y"))).alias("structure"), _from_zero(1 - 2 * F.sum(F.abs(F.col("x") - F.col("y"))) / (k * k)).alias("fidelity"))
     arms = [F.struct(F.lit(f).alias("field"), F.col(before + f).cast("double").alias("x"), F.col(after + f).cast("double").alias("y")) for f in fields]
     counts = pairs.select(F.inline(F.array(*arms))).where("x IS NOT NULL AND y IS NOT NULL").groupBy("field", "x", "y").agg(F.count(F.lit(1)).alias("n"))
     ranked = counts
