@@ -92,7 +92,7 @@ register(Detector(
 
 register(Detector(
     "trend_change", needs=("dur20",), enough="n >= 20",
-    steps={"tc_slope": "abs(dur20_slope)"},
+    steps={"tc_slope": "round(abs(dur20_slope), 9)"},  # else noise decides whether a slope of just 0.01 is above it
     detected="tc_slope > 0.01", confidence="least(tc_slope / 0.02, 1)",
     kind="CASE WHEN tc_slope > 0.01 THEN 'timeout_fallback' ELSE 'benign' END", features=("dur20_slope",),
 ))
