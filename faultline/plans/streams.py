@@ -127,7 +127,7 @@ g AS (SELECT shard, unnest(range(min(t), (SELECT w FROM wm) + 1)) AS t FROM s GR
 j AS (SELECT g.shard, g.t, n, errors, points, perf, max(CASE WHEN n > 0 THEN g.t END) OVER w AS la, max(CASE WHEN traces > 0 THEN g.t END) OVER w AS lt, max(CASE WHEN sides > 0 THEN g.t END) OVER w AS ls,
   sum(n) OVER e AS en, sum(errors) OVER e AS ee, sum(points) OVER p AS pp, sum(perf) OVER p AS ps FROM g LEFT JOIN s ON s.shard = g.shard AND s.t = g.t
   WINDOW w AS (PARTITION BY g.shard ORDER BY g.t), e AS (PARTITION BY g.shard ORDER BY g.t RANGE BETWEEN 29 PRECEDING AND CURRENT ROW), p AS (PARTITION BY g.shard ORDER BY g.t RANGE BETWEEN 59 PRECEDING AND CURRENT ROW)),
-c AS (SELECT shard, t, CASE WHEN t - la > 5 THEN 'no_telemetry' WHEN t - lt > 3 OR t - ls > 3 THEN 'data_missing' WHEN pp >= 10 AND ps / pp < 0.5 THEN 'performance' WHEN ee >= 3 AND ee / en > 0.2 THEN 'error_rate' END AS trig FROM j),
+c AS (SELECT shard, t, CASE WHEN t - la > 5 THEN 'no_telemetry' WHEN t - lt > 3 OR t - ls > 3 THEN 'data_missing' WHEN pp >= 10 AND round(ps / pp, 9) < 0.5 THEN 'performance' WHEN ee >= 3 AND ee / en > 0.2 THEN 'error_rate' END AS trig FROM j),
 k AS MATERIALIZED (SELECT *, min(CASE WHEN trig IS NOT NULL THEN t END) OVER (PARTITION BY shard ORDER BY t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS soon FROM c),
 r AS (SELECT shard, t, 0 AS step, NULL::VARCHAR AS was, trig, soon FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY t) AS rn FROM k WHERE trig IS NOT NULL) WHERE rn = 1
   UNION ALL SELECT k.shard, k.t, step + 1, r.trig, k.trig, k.soon FROM r JOIN k ON k.shard = r.shard AND k.t = CASE WHEN r.trig IS NULL THEN r.soon ELSE r.t + 30 END)

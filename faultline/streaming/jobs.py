@@ -229,7 +229,7 @@ class Fallback:
             trigger = "no_telemetry"
         elif any(k in self.last and t - self.last[k] > MISSING_S for k in ("trace", "side")):
             trigger = "data_missing"
-        elif points >= MIN_POINTS and total / points < LOW_PERFORMANCE:
+        elif points >= MIN_POINTS and round(total / points, 9) < LOW_PERFORMANCE:  # the order of a sum decides nothing
             trigger = "performance"
         elif errors >= MIN_ERRORS and errors / n > ERROR_RATE:
             trigger = "error_rate"
@@ -281,7 +281,7 @@ def fallback_stream(events: DataFrame, key: str = "function_id", time: str = "ts
     """(key, second, previous, mode, reason): changes of the fallback mode of each key, noticed also while no record arrives.
 
     At the end of every second the triggers are tested in order: no record for more than 5 s; no trace or no side record for more than 3 s (of kinds the key
-    has had); mean performance below .5 (60 s, ten points at least); more than 20% errors (30 s, three errors at least); a channel whose quality fell
+    has had); mean performance, to nine decimals, below .5 (60 s, ten points at least); more than 20% errors (30 s, three errors at least); a channel whose quality fell
     by more than .1 to below .3. The last one leads to EMERGENCY unless another channel is at .4 or better, the others to DEGRADED. Then 30 s of
     cooldown follow; back to NORMAL when no trigger holds, ten seconds after the last one at the earliest. A trigger that only repeats is no change.
     Records are summed per second before they reach the state, which holds a minute of such sums; seconds without records are

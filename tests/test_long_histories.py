@@ -1,10 +1,13 @@
 """Queries against their SQL where one key has more rows than a history holds, equal instants and values that lie just on a bound."""
 
+from types import SimpleNamespace
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from faultline.streaming import jobs as J
 
 
 @pytest.fixture(scope="module")
@@ -37,3 +40,10 @@ def differing(spark, sf_dir, name):
 @pytest.mark.parametrize("name", ["detector_execution_pattern", "detector_seasonal_deviation", "detector_temporal_deviation", "detector_trend_change"])
 def test_long_history_matches_sql(spark, long_dir, name):
     assert differing(spark, long_dir, name)[:3] == []
+
+
+
+def test_mean_performance_on_the_bound_is_not_low():
+    """Ten points whose mean is .5, added up with noise."""
+    row = SimpleNamespace(n=10, traces=1, sides=1, errors=0, points=10, performance=5 - 1e-15, qos={})
+    assert J.Fallback().read(0, row) == []
