@@ -391,7 +391,7 @@ def assess_preservation(spark, sf_dir):
     return P.assess_preservation(_pairs(spark, sf_dir)).select("event_id", F.concat_ws(",", "at_risk").alias("at_risk"), "preservation")
 
 
-@query(f"""WITH {TEL}, k AS (SELECT event_id, (CASE WHEN event_id % 5 = 0 THEN 0 ELSE 1 END + CASE WHEN event_id % 3 = 0 THEN 1 - 1 / (duration + 1) ELSE 1 END + CASE WHEN event_id % 2 = 1 THEN 1 - 1 / (memory_spike_kb + 1) ELSE 1 END
+@query(f"""WITH {TEL}, k AS (SELECT event_id, (CASE WHEN event_id % 5 = 0 THEN 0 ELSE 1 END + CASE WHEN event_id % 3 = 0 THEN 1 - 1 / (duration + 1) ELSE 1 - (duration + 1e-12 - duration) / (duration + 1e-12) END + CASE WHEN event_id % 2 = 1 THEN 1 - 1 / (memory_spike_kb + 1) ELSE 1 END
    + CASE WHEN cpu_utilization = 0 THEN 1 ELSE 0.9 END) / 4 AS s FROM tel) SELECT event_id, round(s, 6) AS similarity, CASE WHEN s >= 0.95 THEN 'excellent' WHEN s >= 0.8 THEN 'good' WHEN s >= 0.6 THEN 'moderate' WHEN s >= 0.4 THEN 'poor' WHEN s >= 0.2 THEN 'critical' ELSE 'lost' END AS level FROM k""")
 def transform_impact(spark, sf_dir):
     out = P.transform_impact(_pairs(spark, sf_dir), ["execution_phase", "duration", "memory_spike_kb", "cpu_utilization"])
