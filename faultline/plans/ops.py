@@ -100,8 +100,9 @@ def economic_risk(spark, sf_dir):
     return out.select("function_id", "attack", r("risk").alias("risk"))
 
 
-@query(f"""WITH {TEL}, c AS (SELECT *, {_COST} AS cost FROM tel), p AS (SELECT *, count(*) OVER a AS k, avg(cost) OVER a AS m FROM c
-  WINDOW a AS (PARTITION BY function_id ORDER BY ts_us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW))
+@query(f"""WITH {TEL}, c AS (SELECT *, {_COST} AS cost FROM tel), h AS (SELECT *, row_number() OVER (PARTITION BY function_id ORDER BY ts_us, event_id) AS rn FROM c),
+q AS (SELECT *, least(1000, rn - min(rn) OVER (PARTITION BY function_id ORDER BY ts_us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW) + 1) AS k FROM h),
+p AS (SELECT *, avg(cost) OVER (PARTITION BY function_id ORDER BY rn ROWS BETWEEN (k - 1) PRECEDING AND CURRENT ROW) AS m FROM q)
 SELECT event_id, k AS recent_count, round(m * 1e6, 3) AS micro_recent, CASE WHEN k / 60.0 > 10 THEN 'high_frequency' WHEN k / 60.0 > 1 THEN 'moderate_frequency' ELSE 'normal_frequency' END AS pattern,
   CASE WHEN greatest(dow, cr) < 0.3 THEN NULL WHEN dow >= cr THEN 'denial_of_wallet' ELSE 'cryptomining' END AS attack
 FROM (SELECT *, CASE WHEN k / 60.0 > 5 THEN 0.3 ELSE 0 END + CASE WHEN cost / greatest(duration, 0.001) > 0.001 THEN 0.4 ELSE 0 END + CASE WHEN cpu_utilization > 90 THEN 0.3 ELSE 0 END AS dow,

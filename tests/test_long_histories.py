@@ -37,7 +37,7 @@ def differing(spark, sf_dir, name):
     return sorted(got ^ {tuple(r[i] for i in idx) for r in rel.fetchall()}, key=str)
 
 
-@pytest.mark.parametrize("name", ["detector_execution_pattern", "detector_seasonal_deviation", "detector_temporal_deviation", "detector_trend_change", "transform_impact"])
+@pytest.mark.parametrize("name", ["detector_execution_pattern", "detector_seasonal_deviation", "detector_temporal_deviation", "detector_trend_change", "transform_impact", "attack_type"])
 def test_long_history_matches_sql(spark, long_dir, name):
     assert differing(spark, long_dir, name)[:3] == []
 
