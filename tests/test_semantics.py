@@ -3,6 +3,7 @@ import json
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from faultline.operators import graphs as G, semantics as S
 
@@ -87,3 +88,13 @@ def test_edges_of_four_types(spark):
     assert one["semantic"] == pytest.approx(1.0) and one["behavioural"] == pytest.approx(1.0) and one["causal"] == pytest.approx(math.exp(-1 / 60))
     assert one["confidence"] == 1.0
     assert G.correlation_edges(S.describe(rows.where("false")), "trace").count() == 0
+
+
+def test_totals_are_those_of_the_correlations(spark):
+    from faultline.plans import graph
+    rows = graph._described(spark, "/root/testdata/sf0.001").limit(300).localCheckpoint()
+    edges = G.correlation_edges(rows, "trace", 3_600_000_000)
+    score = F.expr("CASE type WHEN 'temporal' THEN temporal WHEN 'semantic' THEN semantic WHEN 'behavioural' THEN behavioural ELSE causal END")
+    want = edges.groupBy("type").agg(F.count(F.lit(1)), F.round(F.avg("confidence"), 9), F.round(F.avg(score), 9))
+    got = G.correlation_totals(rows, "trace", 3_600_000_000).select("type", "n", F.round("mean_confidence", 9), F.round("mean_score", 9))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and got.count() >= 3
