@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline.operators import history as H, signing
+from faultline.session import cut_lineage
 
 # --- fixed values: state predicates ---
 PREDICATES = {
@@ -130,33 +131,49 @@ def merkle_proofs(leaves: DataFrame, batch: str, position: str, digest: str) ->
     """Siblings of each leaf, bottom up, and the root of its batch, for batches of any size.
 
     Runs of 256 nodes are folded eight levels at a time, as in `merkle_roots`. A leaf's proof is its path in its run
-    followed by the path of the run's root one step up: log256(n) joins on (batch, run).
+    followed by the path of the run's root one step up, so a run hears of what lies above it once, before it is taken
+    apart: digests are shuffled as nodes of a run, proofs never.
     """
     sizes = leaves.groupBy(batch).agg((F.max(position) + 1).alias("_n"))
     largest = sizes.agg(F.max("_n")).first()[0] or 0  # one number, to know the number of rounds
     nodes = leaves.select(batch, F.col(position).alias("_i"), F.col(digest).alias("_h")).join(sizes, batch)
-    out = leaves.select(batch, position, F.col(digest).alias("leaf"), F.col(position).alias("_at"), F.array().cast("array<struct<sibling:string,direction:string>>").alias("proof"))
+    rounds = []
     while True:
-        runs = nodes.groupBy(batch, "_n", F.expr(f"_i DIV {FAN}").alias("_b")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_h"))), lambda x: x["_h"]).alias("l0"))
+        runs = nodes.groupBy(batch, F.expr(f"_i DIV {FAN}").alias("_b")).agg(
+            F.max("_n").alias("_n"), F.transform(F.array_sort(F.collect_list(F.struct("_i", "_h"))), lambda x: x["_h"]).alias("l0"))
+        rounds.append(runs)
+        largest = -(-largest // FAN)
+        if largest <= 1:
+            break
+        top = runs.withColumn("_l", F.col("l0"))
+        for _ in range(8):
+            top = top.withColumn("_l", F.when(F.col("_n") > 1, F.expr(_LEVEL.format("_l"))).otherwise(F.col("_l"))).withColumn("_n", F.ceil(F.col("_n") / 2))
+        nodes = cut_lineage(top.select(batch, F.col("_b").alias("_i"), F.col("_l")[0].alias("_h"), "_n"))  # a 256th of the nodes below
+    above = None
+    at = lambda k: f"(i DIV {2 ** k})"
+    steps = [F.expr(f"""CASE WHEN n{k} > 1 THEN named_struct('sibling', coalesce(get(l{k}, CAST({at(k)} + 1 - 2 * ({at(k)} % 2) AS INT)), l{k}[{at(k)}]),
+        'direction', CASE WHEN {at(k)} % 2 = 0 THEN 'right' ELSE 'left' END) END""") for k in range(8)]
+    for runs in reversed(rounds):
         left = F.col("_n")
         for k in range(8):
             runs = runs.withColumn(f"n{k}", left).withColumn(f"l{k + 1}", F.when(left > 1, F.expr(_LEVEL.format(f"l{k}"))).otherwise(F.col(f"l{k}"))).withColumn("_n", F.ceil(left / 2))
-        at = lambda k: f"(i DIV {2 ** k})"
-        steps = [F.expr(f"""CASE WHEN n{k} > 1 THEN named_struct('sibling', coalesce(get(l{k}, CAST({at(k)} + 1 - 2 * ({at(k)} % 2) AS INT)), l{k}[{at(k)}]),
-            'direction', CASE WHEN {at(k)} % 2 = 0 THEN 'right' ELSE 'left' END) END""") for k in range(8)]
-        wide = runs.select(batch, "_b", "_n", F.col("l8")[0].alias("_h"), F.posexplode("l0").alias("i", "_own"), *[f"l{k}" for k in range(8)], *[f"n{k}" for k in range(8)])
-        paths = wide.select(batch, (F.col("_b") * FAN + F.col("i")).alias("_at"), "_b", F.array_compact(F.array(*steps)).alias("_path"), F.col("_h").alias("root"))
-        out = out.join(paths, [batch, "_at"]).select(batch, position, "leaf", F.col("_b").alias("_at"), F.concat("proof", "_path").alias("proof"), "root")
-        largest = -(-largest // FAN)
-        if largest <= 1:
-            return out.select(batch, position, "leaf", "root", "proof")
-        out = out.drop("root")
-        nodes = runs.select(batch, F.col("_b").alias("_i"), F.col("l8")[0].alias("_h"), "_n")
+        if above is None:
+            runs = runs.withColumns({"root": F.col("l8")[0], "_up": F.array().cast("array<struct<sibling:string,direction:string>>")})
+        else:
+            runs = runs.join(above, [batch, "_b"])
+        wide = runs.select(batch, "_b", "root", "_up", F.posexplode("l0").alias("i", "leaf"), *[f"l{k}" for k in range(8)], *[f"n{k}" for k in range(8)])
+        out = wide.select(batch, (F.col("_b") * FAN + F.col("i")).alias(position), "leaf", "root", F.concat(F.array_compact(F.array(*steps)), "_up").alias("proof"))
+        above = out.select(batch, F.col(position).alias("_b"), "root", F.col("proof").alias("_up"))
+    return out
+
+
+def proof_end(leaf: Column, proof: Column) -> Column:
+    """The digest that a proof leads to from a leaf."""
+    return F.aggregate(proof, leaf, lambda h, s: F.sha2(F.when(s["direction"] == "left", F.concat(s["sibling"], h)).otherwise(F.concat(h, s["sibling"])), 256))
 
 
 def verify_proof(leaf: Column, proof: Column, root: Column) -> Column:
-    end = F.aggregate(proof, leaf, lambda h, s: F.sha2(F.when(s["direction"] == "left", F.concat(s["sibling"], h)).otherwise(F.concat(h, s["sibling"])), 256))
-    return end == root
+    return proof_end(leaf, proof) == root
 
 
 def build_chain(blocks: DataFrame, chain: str, height: str, root: str) -> DataFrame:

@@ -121,6 +121,16 @@ def test_proofs_of_more_than_one_run(spark):
     assert {len(p.proof) for p in proofs if p.batch == "a"} == {10}
 
 
+def test_proofs_are_not_shuffled(spark):
+    """A leaf's proof is made from its run, above the last exchange, whatever the number of rounds."""
+    rows = [("a", i, hashlib.sha256(str(i).encode()).hexdigest()) for i in range(70_000)]
+    proofs = T.merkle_proofs(spark.createDataFrame(rows, "batch string, i long, h string"), "batch", "i", "h")
+    plan = proofs._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange")
+    ends = proofs.select("i", F.size("proof").alias("steps"), T.proof_end(F.col("leaf"), F.col("proof")).alias("end"), "root").distinct().collect()
+    assert len(ends) == 70_000 and {r.steps for r in ends} == {17} and len({r.end for r in ends} | {r.root for r in ends}) == 1
+
+
 def test_path_eval(spark):
     paths = spark.createDataFrame([("x", [1, 2, 3, 4]), ("y", [6, 8]), ("z", [5, 9]), ("one", [1]), ("w", [1, 10, 9])], "attack string, nodes array<long>")
     got = {r.attack: r for r in P.path_eval(edges(spark), paths).collect()}
