@@ -172,10 +172,10 @@ def payload_safety(df: DataFrame, column: str, max_length: int = 10_000, truncat
 def payload_structure(df: DataFrame, id_col: str, column: str, max_depth: int = 10, max_keys: int = 1_000, max_list: int = 1_000, max_string: int = 10_000) -> DataFrame:
     """(id, path, issue, size): where a JSON payload breaks a limit: invalid_json, too_deep, too_many_keys, list_too_long or string_too_long.
 
-    The trees of all payloads are walked level by level as variants: each level's objects and lists are taken apart by one explode, rows that hold no further
-    value drop out, and the walk ends when no row is left. What lies deeper than ``max_depth`` (the payload itself has depth 0) is reported
-    and not entered, so levels are bounded and nothing recurses. size is the number of levels, keys, items or characters found.
-    A null payload has no issues. Paths start at root: root.key[0].
+    The trees of all payloads are walked level by level as variants. An object or list tells its size itself, and of what it holds only what can still
+    break a limit goes on: objects, lists and over-long strings. Nothing is shuffled, and the walk ends when no row is left. What lies deeper than
+    ``max_depth`` (the payload itself has depth 0) is reported and not entered, so levels are bounded and nothing recurses. size is the number of
+    levels, keys, items or characters found. A null payload has no issues. Paths start at root: root.key[0].
     """
     from faultline.session import cut_lineage
 
@@ -183,21 +183,23 @@ def payload_structure(df: DataFrame, id_col: str, column: str, max_depth: int =
     broken = front.where("given AND v IS NULL").select("id", "path", F.lit("invalid_json").alias("issue"), F.lit(0).cast("bigint").alias("size"))
     front, out, depth = front.where("v IS NOT NULL").select("id", "path", "v"), [broken], 0
     while True:
-        typed = front.withColumn("kind", F.schema_of_variant("v"))
         if depth > max_depth:
-            out.append(typed.select("id", "path", F.lit("too_deep").alias("issue"), F.lit(depth).cast("bigint").alias("size")))
+            out.append(front.select("id", "path", F.lit("too_deep").alias("issue"), F.lit(depth).cast("bigint").alias("size")))
             break
-        text = F.length(F.try_variant_get("v", "$", "string"))
-        out.append(typed.where("kind = 'STRING'").select("id", "path", F.lit("string_too_long").alias("issue"), text.cast("bigint").alias("size")).where(F.col("size") > max_string))
-        inner = typed.where("kind LIKE 'OBJECT%' OR kind LIKE 'ARRAY%'").select("id", "path", "v", F.col("kind").startswith("OBJECT").alias("object"))
-        parts = cut_lineage(inner.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer())).select("id", F.col("path").alias("above"), "object", "pos", "key", "value"))
-        size = parts.groupBy("id", "above", "object").agg(F.count(F.lit(1)).alias("size"))
-        out.append(size.where(F.when(F.col("object"), F.col("size") > max_keys).otherwise(F.col("size") > max_list)).select(
-            "id", F.col("above").alias("path"), F.when(F.col("object"), "too_many_keys").otherwise("list_too_long").alias("issue"), "size"))
-        step = F.when(F.col("object"), F.concat(F.lit("."), F.col("key"))).otherwise(F.concat(F.lit("["), F.col("pos"), F.lit("]")))
-        front, depth = parts.select("id", F.concat("above", step).alias("path"), F.col("value").alias("v")), depth + 1
-        if front.isEmpty():
+        kind = F.schema_of_variant("v")
+        typed = front.withColumn("kind", F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "list").when(kind == "STRING", "text"))
+        size = (F.when(F.col("kind") == "object", F.size(F.try_variant_get("v", "$", "map<string,variant>"))).when(F.col("kind") == "list", F.size(F.try_variant_get("v", "$", "array<variant>")))
+                .otherwise(F.length(F.try_variant_get("v", "$", "string"))).cast("bigint"))
+        told = cut_lineage(typed.where("kind IS NOT NULL").withColumn("size", size).where(F.col("kind").isin("object", "list") | (F.col("size") > max_string)))
+        issue = F.when(F.col("kind") == "object", "too_many_keys").when(F.col("kind") == "list", "list_too_long").otherwise("string_too_long")
+        most = F.when(F.col("kind") == "object", max_keys).when(F.col("kind") == "list", max_list).otherwise(max_string)
+        out.append(told.where(F.col("size") > most).select("id", "path", issue.alias("issue"), "size"))
+        inner = told.where("kind <> 'text' AND size > 0").select("id", F.col("path").alias("above"), "kind", "v")
+        if inner.isEmpty():
             break
+        parts = inner.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()))
+        step = F.when(F.col("kind") == "object", F.concat(F.lit("."), F.col("key"))).otherwise(F.concat(F.lit("["), F.col("pos"), F.lit("]")))
+        front, depth = parts.select("id", F.concat("above", step).alias("path"), F.col("value").alias("v")), depth + 1
     result = out[0]
     for part in out[1:]:
         result = result.unionAll(part)
