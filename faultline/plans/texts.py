@@ -35,14 +35,23 @@ s AS (SELECT id, md5(e) AS digest, array_to_string(list_filter([CASE WHEN a <> t
 """
 
 
+def short_batches(spark) -> None:
+    """At most 256 whole texts in one Arrow batch: a Python worker holds a batch several times over, whatever the table's size."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(key, "10000"))
+    spark.conf.set(key, str(min(rows, 256) if rows > 0 else 256))
+
+
 @query("WITH src AS (SELECT page_id AS id, html AS v FROM pages), " + _SANI + "SELECT id AS page_id, digest, flags FROM s")
 def sanitise_pages(spark, sf_dir):
+    short_batches(spark)
     out = TX.sanitise(spread(table(spark, sf_dir, "pages")), "html")
     return out.select("page_id", F.md5("sanitised").alias("digest"), F.concat_ws(",", "flags").alias("flags"))
 
 
 @query("WITH src AS (SELECT doc_id AS id, text AS v FROM documents), " + _SANI + "SELECT id AS doc_id, digest, flags FROM s")
 def sanitise_documents(spark, sf_dir):
+    short_batches(spark)
     out = TX.sanitise(spread(table(spark, sf_dir, "documents")), "text")
     return out.select("doc_id", F.md5("sanitised").alias("digest"), F.concat_ws(",", "flags").alias("flags"))
 

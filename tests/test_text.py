@@ -118,3 +118,17 @@ def test_salted_hashes(spark):
         TX.hash_with(F.col("v"), "md5")
     with pytest.raises(ValueError):
         TX.hash_with(F.col("v"), iterations=0)
+
+
+@pytest.mark.parametrize("name", ["sanitise_pages", "sanitise_documents"])
+def test_python_gets_few_whole_texts_at_a_time(spark, sf_dir, name):
+    from faultline.plans.texts import QUERIES
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        QUERIES[name](spark, sf_dir)
+        assert int(spark.conf.get(key)) <= 256
+    finally:
+        spark.conf.set(key, before)
