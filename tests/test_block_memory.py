@@ -26,3 +26,19 @@ def test_look_back_finds_chosen_fields(spark):
     assert out.columns == ["k", "t", "rn", "p", "a", "b"] and out.select("a.*").columns == ["n"] and out.select("b.*").columns == ["n", "x"]
     got = {r.rn: (r.a and r.a.n, r.b and tuple(r.b)) for r in out.collect()}
     assert got == {1: (None, None), 2: (None, None), 3: (None, None), 4: (3, (1, 0)), 5: (4, (4, 18))}
+
+
+def test_no_two_blocks_share_a_task(spark, sf_dir):
+    """20 blocks of one key: a hash over 40 tasks would bring some of them together."""
+    t = telemetry(spark, sf_dir).withColumn("function_id", F.lit("f"))
+    out = D.detect(t, ["error_clustering"], limit=25, block=50).select(F.spark_partition_id().alias("task"))
+    assert [r["count"] for r in out.groupBy("task").count().collect()] == [50] * (t.count() // 50)
+
+
+def test_keys_far_smaller_than_a_block_share_tasks(spark, sf_dir):
+    """100 keys of 5 rows beside one of 500 in blocks of 100: five tasks for the large one, about half a block in each of the others."""
+    t = telemetry(spark, sf_dir).withColumn("function_id", F.expr("CASE WHEN event_id % 2 = 0 THEN 'f' ELSE concat('g', event_id DIV 2 % 100) END"))
+    out = D.detect(t, ["error_clustering"], limit=50, block=100).select("function_id", F.spark_partition_id().alias("task"))
+    tasks = {r.task: (r.keys, r.rows) for r in out.groupBy("task").agg(F.collect_set("function_id").alias("keys"), F.count(F.lit(1)).alias("rows")).collect()}
+    large = [rows for keys, rows in tasks.values() if "f" in keys]
+    assert large == [100] * 5 and sum(rows for _, rows in tasks.values()) == t.count() and 15 >= len(tasks) > 5
