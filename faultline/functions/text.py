@@ -117,7 +117,7 @@ def sanitise_url(url: Column) -> Column:
 
 
 def redact_intake(text: Column) -> Column:
-    v = F.regexp_replace(text, EMAIL, "[REDACTED_EMAIL]")
+    v = F.when(text.contains("@"), F.regexp_replace(text, EMAIL, "[REDACTED_EMAIL]")).otherwise(text)  # searching costs most where there is none
     v = F.regexp_replace(v, LOOSE_PHONE, "[REDACTED_PHONE]")
     # no pattern matches without a digit or an at sign
     return F.when(text.rlike("[0-9@]"), F.regexp_replace(v, LOOSE_CARD, "[REDACTED_CARD]")).otherwise(text)

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.operators import evaluation as V, layers, records, validation
+from faultline.functions import text as TX
+from faultline.sources.tables import scored_telemetry
 
 
 def record(spark, **over):
@@ -69,3 +71,11 @@ def test_rules(spark):
     df = spark.createDataFrame([("x", "not-mail")], "a string, b string")
     out = validation.validate_rules(df, [{"field": "a", "kind": "type", "type": "int"}, {"field": "b", "kind": "email"}]).first()
     assert out.failed_rules == ["a:type", "b:email"]
+
+
+def test_signals_are_ranked_without_a_lambda(spark):
+    """A sort by a lambda is interpreted for each record; e-mail addresses are only searched in texts with an at sign."""
+    out = layers.run_pipeline(scored_telemetry(spark, "/root/testdata/sf0.001"), verbosity="verbose")
+    assert "array_sort(" not in out._jdf.queryExecution().analyzed().toString()
+    texts = spark.createDataFrame([("a.b@c.de call 123 456 789",), ("plain 7",), ("x@y",), (None,)], "t string")
+    assert [r[0] for r in texts.select(TX.redact_intake(F.col("t"))).collect()] == ["[REDACTED_EMAIL] call [REDACTED_PHONE]", "plain 7", "x@y", None]
