@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from faultline.operators import evaluation as V, layers, records, validation
 from faultline.functions import text as TX
-from faultline.sources.tables import scored_telemetry
 
 
 def record(spark, **over):
